@@ -10,6 +10,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from fluxspark import constants as K
 from fluxspark.forecast.folds import design_names, fold_rows
@@ -28,7 +29,7 @@ FAMILY = {
 def _solver(p: int, alpha: float):
     upper = [(i, j) for i in range(p) for j in range(i, p)]
 
-    @F.pandas_udf("ols double, ridge double")
+    @F.pandas_udf(StructType([StructField("ols", DoubleType()), StructField("ridge", DoubleType())]))
     def solve(n: pd.Series, sx: pd.Series, sy: pd.Series, xx: pd.Series, xy: pd.Series, test: pd.Series, kept: pd.Series) -> pd.DataFrame:
         out = []
         for m, a, b, g, h, t, use in zip(n, sx, sy, xx, xy, test, kept):

@@ -8,6 +8,7 @@ from statistics import NormalDist
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
 def _betacf(a: float, b: float, x: float) -> float:
@@ -84,37 +85,37 @@ def _each(f, *cols: pd.Series) -> pd.Series:
     return pd.Series([np.nan if any(pd.isna(v) for v in vs) else f(*vs) for vs in zip(*cols)], dtype="float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def t_p_value(t: pd.Series, df: pd.Series) -> pd.Series:
     return _each(t_two_sided, t, df)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def t_quantile_two_sided(alpha: pd.Series, df: pd.Series) -> pd.Series:
     return _each(t_critical, alpha, df)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def normal_p_value(z: pd.Series) -> pd.Series:
     return _each(lambda v: math.erfc(abs(v) / math.sqrt(2.0)), z)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def normal_cdf(z: pd.Series) -> pd.Series:
     return _each(lambda v: 0.5 * math.erfc(-v / math.sqrt(2.0)), z)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def normal_quantile(p: pd.Series) -> pd.Series:
     return _each(NormalDist().inv_cdf, p)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def kolmogorov_p_value(x: pd.Series) -> pd.Series:
     return _each(kolmogorov_tail, x)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def sign_test_p_value(wins: pd.Series, n: pd.Series) -> pd.Series:
     def two_sided(w, m):
         w, m = int(w), int(m)

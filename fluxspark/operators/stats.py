@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 from pyspark.sql.window import Window
 
 from fluxspark import constants as K
@@ -504,7 +505,7 @@ def combine_additively(df: DataFrame, bias: str = "bias_log", keys: Keys = ()) -
 # ---- seasonal structure ---------------------------------------------------------------------------
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(ArrayType(DoubleType()))
 def _seasonal_coefficients(n: pd.Series, s: pd.Series) -> pd.Series:
     """Least squares on the calendar terms from per-calendar-month counts and sums."""
     m = np.arange(1, 13)

@@ -293,11 +293,13 @@ QUERIES["year_support"] = query(
     "site i:year n_months n_months_outside_range *pct_months_outside covariates_outside *joint_distance_median *joint_distance_max support",
     f"""WITH o AS (SELECT * FROM {OUT}), far AS (SELECT * FROM {NEAR(TGT)})
         SELECT t.site, year(t.month) AS year, count(*) AS n_months, count(x.month) AS n_months_outside_range, round_even(100.0 * count(x.month) / count(*), 0) AS pct_months_outside,
-        coalesce((SELECT string_agg(DISTINCT covariate, ', ' ORDER BY covariate) FROM o WHERE o.site = t.site AND year(o.month) = year(t.month)), '') AS covariates_outside,
+        coalesce(max(names), '') AS covariates_outside,
         round_even(quantile_cont(distance, 0.5), 3) AS joint_distance_median, round_even(max(distance), 3) AS joint_distance_max,
         CASE WHEN count(x.month) > 0 THEN 'outside' ELSE 'inside' END AS support
         FROM {TGT} t LEFT JOIN (SELECT DISTINCT site, month FROM o) x ON x.site = t.site AND x.month = t.month
-        LEFT JOIN far f ON f.site = t.site AND f.month = t.month GROUP BY t.site, year(t.month)""")
+        LEFT JOIN far f ON f.site = t.site AND f.month = t.month
+        LEFT JOIN (SELECT site, year(month) AS y, string_agg(DISTINCT covariate, ', ' ORDER BY covariate) AS names FROM o GROUP BY 1, 2) c ON c.site = t.site AND c.y = year(t.month)
+        GROUP BY t.site, year(t.month)""")
 QUERIES["support_classes"] = query(
     lambda s, d: P.support_classes(B.covariates(s, d), "wte_m", fit(s, d), B.EXCLUDE, KEYS), "windows", "site month *wte_m *fit_min *fit_max support",
     f"""SELECT g.site, g.month, wte_m, lo AS fit_min, hi AS fit_max, CASE WHEN g.month IN (DATE '1999-06-01', DATE '1999-09-01') THEN 'removed' WHEN wte_m IS NULL THEN 'missing'
@@ -445,10 +447,6 @@ QUERIES["holdout_against_published"] = query(
     """SELECT site, y AS year, n AS n_months_integrated, round_even(g, 2) AS predicted_g_c_m2, v AS published_g_c_m2, u AS uncertainty_g_c, round_even(g - v, 2) AS difference_g_c, abs(g - v) <= u AS within_interval
        FROM (SELECT site, year(month) AS y, count(*) AS n, round_even(sum(flux_mean * day(last_day(month)) * 86400 * 1e-9 * 16.043) * (12.011::DOUBLE / 16.043), 3) AS g FROM flux GROUP BY 1, 2)
        JOIN (VALUES (1998, 14.0::DOUBLE, 2.0::DOUBLE), (1999, 12.0, 0.5)) p(y2, v, u) ON y2 = y""")
-QUERIES["published_reconstruction_range"] = query(
-    lambda s, d: V.published_reconstruction_range(s).join(
-        A.monthly_flux_to_annual(B.flux(s, d), "flux_mean", KEYS).groupBy().agg(F.min("g_c_m2").alias("observed_low"), F.max("g_c_m2").alias("observed_high")), F.lit(1) == F.lit(1)))
-del QUERIES["published_reconstruction_range"]
 obs_pred = lambda s, d: T.monthly_comparison(
     B.flux(s, d).select(*ON, F.col("flux_mean").alias("observed")), B.covariates(s, d).select(*ON, F.col("soil_temp_f").alias("p")).filter("p is not null").select(*ON, (F.col("p") * 1.5).alias("predicted")), KEYS)
 GC = "day(last_day(month)) * 86400 * 1e-9 * 16.043 * (12.011::DOUBLE / 16.043)"

@@ -279,7 +279,7 @@ THRESH = f"""SELECT site, CAST(date_trunc('month', date) AS DATE) AS month, {",
 T3 = (3, 4, 6)
 QUERIES["threshold_comparison"] = query(
     lambda s, d: A.threshold_comparison(B.merged(s, d), thresholds=T3, keys=KEYS), "merged",
-    "site month " + " ".join(f"*mean_t{t} days_t{t}" for t in T3), THRESH)
+    "site month " + " ".join(f"*mean_t{t} days_t{t}" for t in T3), THRESH, 10)
 QUERIES["threshold_summary"] = query(
     lambda s, d: A.threshold_summary(A.threshold_comparison(B.merged(s, d), thresholds=T3, keys=KEYS), T3, KEYS), "merged",
     "site i:threshold n_months b:total_days *mean_flux *max_abs_shift *median_abs_shift months_lost",
@@ -300,7 +300,7 @@ QUERIES["cycle_strength"] = query(
 QUERIES["diurnal_cycle_by_season"] = query(
     lambda s, d: A.diurnal_cycle_by_season(B.merged(s, d), keys=KEYS), "merged", "site i:hour *JJA *other",
     """SELECT site, hour(ts) AS hour, avg(value) FILTER (month(ts) IN (6, 7, 8)) AS "JJA", avg(value) FILTER (month(ts) NOT IN (6, 7, 8)) AS other
-       FROM merged WHERE value IS NOT NULL GROUP BY 1, 2""")
+       FROM merged WHERE value IS NOT NULL GROUP BY 1, 2""", 10)
 QUERIES["event_diurnal_cycle"] = query(
     lambda s, d: A.cycle_strength(B.table(s, d, "events"), "value", keys=["event_type"]).select("event_type", "n", "total_variance", "diurnal_amplitude", "diurnal_eta_squared"),
     "", "event_type n *total_variance *diurnal_amplitude *diurnal_eta_squared",

@@ -1 +1,144 @@
+"""Queries over fitted models: robust fits, holdouts, stability, reconstruction."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from fluxspark.operators import coverage as V
+from fluxspark.operators import lad
+from fluxspark.operators import stats as T
+from fluxspark.operators import studies as D
+from fluxspark.operators import support as P
+from fluxspark.operators.common import key_join
+from fluxspark.plans import bindings as B
+from fluxspark.plans.bindings import COVARIATES, KEYS, ON, query
+from fluxspark.plans.monthly import FITS, fit, splits, target
+
 QUERIES = {}
+
+
+def fit_rows(s, d):
+    return D.fit_frame(B.covariates(s, d), B.flux(s, d), fit(s, d), "flux_mean", "flux_se", KEYS)
+
+
+def design(s, d):
+    rows = fit_rows(s, d)
+    return D.build_design(rows, D.clamp_bounds(rows, "wte_m", KEYS), keys=KEYS)
+
+
+def target_rows(s, d):
+    return key_join(B.covariates(s, d), target(s, d), ON, "left_semi")
+
+
+# Fixed coefficients let prediction, intervals and metrics be checked in SQL apart from the fit.
+def given_models(s, d):
+    beta = F.array(F.lit(3.5), F.lit(-0.02) + F.col("site") / 1000, F.lit(0.01))
+    return B.covariates(s, d).select("site").distinct().withColumn("beta", beta)
+
+
+GIVEN = "3.5 + (-0.02 + site / 1000) * ((soil_temp_f - 32) * 5 / 9) + 0.01 * wte_m"
+ROWS = f"""(SELECT site, month, ln(flux_mean) AS y, flux_se / flux_mean AS se_log, {GIVEN} AS prediction, ln(flux_mean) - ({GIVEN}) AS residual
+  FROM {FITS} JOIN flux USING (site, month))"""
+res = lambda s, d: lad.residuals(design(s, d), given_models(s, d), D.FULL, "y", KEYS)
+summary = lambda s, d: lad.residual_summary(res(s, d), keys=KEYS)
+SUMMARY = f"""(SELECT site, n AS n_train, avg(abs(residual - med)) AS laplace_scale, max(lo) AS residual_low, max(hi) AS residual_high, max(ma) AS train_medae_log
+  FROM {ROWS} JOIN (SELECT site, count(*) AS n, quantile_cont(residual, 0.5) AS med, quantile_cont(residual, 0.05) AS lo, quantile_cont(residual, 0.95) AS hi,
+  quantile_cont(abs(residual), 0.5) AS ma FROM {ROWS} GROUP BY 1) USING (site) GROUP BY site, n)"""
+QUERIES["predict"] = query(
+    lambda s, d: res(s, d).select(*ON, "prediction", "residual"), "windows", "site month *prediction *residual", f"SELECT site, month, prediction, residual FROM {ROWS}")
+QUERIES["residual_summary"] = query(
+    summary, "windows", "site n_train *laplace_scale *residual_low *residual_high *train_medae_log", f"SELECT * FROM {SUMMARY}")
+EMP = f"(SELECT site, month, y, prediction, prediction + residual_low AS lower, prediction + residual_high AS upper FROM {ROWS} JOIN {SUMMARY} USING (site))"
+emp = lambda s, d: lad.empirical_interval(res(s, d), summary(s, d), KEYS)
+QUERIES["empirical_interval"] = query(
+    lambda s, d: emp(s, d).select(*ON, "prediction", "lower", "upper"), "windows", "site month *prediction *lower *upper", f"SELECT site, month, prediction, lower, upper FROM {EMP}")
+HALF = "ln(0.1) * sqrt((2 * laplace_scale * laplace_scale + se_log * se_log) / 2)"
+QUERIES["laplace_interval"] = query(
+    lambda s, d: lad.laplace_interval(res(s, d), summary(s, d), 0.90, "se_log", KEYS).select(*ON, "prediction", "lower", "upper"), "windows",
+    "site month *prediction *lower *upper", f"SELECT site, month, prediction, prediction + {HALF} AS lower, prediction - {HALF} AS upper FROM {ROWS} JOIN {SUMMARY} USING (site)")
+QUERIES["back_transform"] = query(
+    lambda s, d: lad.back_transform(emp(s, d)).select(*ON, "prediction", "lower", "upper"), "windows", "site month *prediction *lower *upper",
+    f"SELECT site, month, exp(prediction) AS prediction, exp(lower) AS lower, exp(upper) AS upper FROM {EMP}")
+QUERIES["interval_coverage"] = query(
+    lambda s, d: lad.interval_coverage(emp(s, d), "y", KEYS), "windows", "site *coverage",
+    f"SELECT site, avg(CASE WHEN y BETWEEN lower AND upper THEN 1 ELSE 0 END) AS coverage FROM {EMP} GROUP BY site")
+QUERIES["error_metrics"] = query(
+    lambda s, d: lad.error_metrics(res(s, d), "y", "prediction", KEYS), "windows",
+    "site n_test *mae_log *medae_log *bias_log *mae_flux *medae_flux *bias_flux *mape_pct",
+    f"""SELECT site, count(*) AS n_test, avg(abs(residual)) AS mae_log, quantile_cont(abs(residual), 0.5) AS medae_log, avg(residual) AS bias_log, avg(abs(f)) AS mae_flux,
+        quantile_cont(abs(f), 0.5) AS medae_flux, avg(f) AS bias_flux, 100 * avg(abs(f / exp(y))) AS mape_pct FROM (SELECT *, exp(y) - exp(prediction) AS f FROM {ROWS}) GROUP BY site""")
+QUERIES["residual_distribution"] = query(
+    lambda s, d: T.residual_distribution(res(s, d), keys=KEYS), "windows", "site n *aic_laplace *aic_gaussian *delta_aic",
+    f"""SELECT site, n, 4 - 2 * (-n * ln(2 * b) - n) AS aic_laplace, 4 - 2 * (-n / 2.0 * ln(2 * pi() * g * g) - n / 2.0) AS aic_gaussian,
+        (4 - 2 * (-n / 2.0 * ln(2 * pi() * g * g) - n / 2.0)) - (4 - 2 * (-n * ln(2 * b) - n)) AS delta_aic
+        FROM (SELECT site, n_train AS n, laplace_scale AS b, g FROM {SUMMARY} JOIN (SELECT site, stddev_pop(residual) AS g FROM {ROWS} GROUP BY 1) USING (site))""")
+QUERIES["qq_table"] = query(
+    lambda s, d: T.qq_table(res(s, d), keys=KEYS), "windows", "site i:k *observed *expected",
+    f"""SELECT site, k, residual AS observed, med - b * sign(p - 0.5) * ln(1 - 2 * abs(p - 0.5)) AS expected
+        FROM (SELECT site, residual, row_number() OVER (PARTITION BY site ORDER BY residual) AS k, (row_number() OVER (PARTITION BY site ORDER BY residual) - 0.5) / count(*) OVER (PARTITION BY site) AS p FROM {ROWS})
+        JOIN (SELECT site, laplace_scale AS b FROM {SUMMARY}) USING (site) JOIN (SELECT site, quantile_cont(residual, 0.5) AS med FROM {ROWS} GROUP BY 1) USING (site)""")
+QUERIES["qq_table_gaussian"] = query(lambda s, d: T.qq_table(res(s, d), family="gaussian", keys=KEYS))
+QUERIES["simultaneous_band"] = query(lambda s, d: T.simultaneous_band(res(s, d), replicates=1000, keys=KEYS))
+QUERIES["scale_by_weight"] = query(
+    lambda s, d: T.scale_by_weight(res(s, d).select(*ON, "residual"), fit_rows(s, d).select(*ON, "weight"), keys=KEYS), "windows", "site month *residual",
+    f"SELECT site, month, residual / (flux_se * flux_se) AS residual FROM {ROWS} JOIN flux USING (site, month)")
+QUERIES["fit_lad"] = query(
+    lambda s, d: lad.coefficients(lad.fit_lad(design(s, d), D.FULL, "y", keys=KEYS), D.FULL, KEYS))
+QUERIES["fit_lad_weighted"] = query(
+    lambda s, d: lad.coefficients(lad.fit_lad(design(s, d).filter("weight is not null"), D.FULL, "y", "weight", KEYS, bounded=True), D.FULL, KEYS))
+# The least absolute deviation through the origin is a weighted median, which SQL can state.
+QUERIES["fit_lad_through_origin"] = query(
+    lambda s, d: lad.fit_lad(B.readings(s, d).filter("v_ref <> 0 and v_alt is not null").select("site", "v_ref", "v_alt"), ["v_ref"], "v_alt", keys=KEYS)
+    .select("site", F.col("beta")[0].alias("slope")),
+    "readings", "site *slope",
+    """SELECT site, min(q) AS slope FROM (SELECT site, v_alt / v_ref AS q, sum(abs(v_ref)) OVER (PARTITION BY site ORDER BY v_alt / v_ref) AS c, sum(abs(v_ref)) OVER (PARTITION BY site) AS t
+       FROM readings WHERE v_ref <> 0 AND v_alt IS NOT NULL) WHERE c >= t / 2 GROUP BY site""")
+QUERIES["run_experiments"] = query(
+    lambda s, d: D.run_experiments(fit_rows(s, d), splits(s, d), COVARIATES, keys=KEYS))
+QUERIES["coefficient_path"] = query(
+    lambda s, d: D.coefficient_path(fit_rows(s, d), weighted=True, n_bootstrap=100, keys=KEYS))
+
+
+def paths(s, d):
+    """A path of fixed shape per site, from the covariates' means."""
+    rows = B.covariates(s, d).groupBy("site", F.year("month").alias("y")).agg(F.avg("wte_m").alias("c")).filter("y between 1995 and 1999")
+    return rows.select(
+        "site", ((F.col("y") - 1995) * 10).alias("dropped_wettest_pct"), F.col("c").alias("water_table_coef"), (F.col("c") < 3.95).alias("water_table_includes_zero"))
+
+
+PATHS = "(SELECT site, (year(month) - 1995) * 10 AS pct, avg(wte_m) AS c FROM cov WHERE year(month) BETWEEN 1995 AND 1999 GROUP BY 1, 2)"
+QUERIES["stability_verdict"] = query(
+    lambda s, d: D.stability_verdict(paths(s, d), keys=KEYS).drop("failures", "trend_p", "stable"), "cov",
+    "site *baseline_coefficient sign_changes steps_spanning_zero *coefficient_spread *trend *relative_drift",
+    f"""SELECT site, b AS baseline_coefficient, count(*) FILTER (sign(c) <> sign(b)) AS sign_changes, count(*) FILTER (c < 3.95) AS steps_spanning_zero, max(c) - min(c) AS coefficient_spread,
+        corr(rc, rp) AS trend, (max(c) - min(c)) / abs(b) AS relative_drift FROM (SELECT site, pct, c, first(c) OVER (PARTITION BY site ORDER BY pct) AS b,
+        rank() OVER (PARTITION BY site ORDER BY c) AS rc, rank() OVER (PARTITION BY site ORDER BY pct) AS rp FROM {PATHS}) GROUP BY site, b""")
+QUERIES["stability_verdict_failures"] = query(lambda s, d: D.stability_verdict(paths(s, d), keys=KEYS).select("site", "trend_p", "failures", "stable"))
+QUERIES["stability_paths"] = query(
+    lambda s, d: D.stability_paths(paths(s, d).withColumn("treatment", F.when(F.col("site") % 2 == 0, "weighted").otherwise("unweighted"))), "cov",
+    "site b:dropped_wettest_pct *water_table_coef water_table_includes_zero treatment",
+    f"SELECT site, pct AS dropped_wettest_pct, c AS water_table_coef, c < 3.95 AS water_table_includes_zero, CASE WHEN site % 2 = 0 THEN 'weighted' ELSE 'unweighted' END AS treatment FROM {PATHS}")
+
+
+def variants(s, d):
+    rows, out = fit_rows(s, d), None
+    for v in D.VARIANTS:
+        models, bounds, _ = D.fit_variant(rows, v, True, keys=KEYS)
+        part = D.predict_variant(target_rows(s, d), models, bounds, v, keys=KEYS).select(*ON, F.lit(v).alias("variant"), "prediction")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+QUERIES["predict_variant"] = query(variants)
+recon = lambda s, d: D.monthly_reconstruction(fit_rows(s, d), target_rows(s, d), keys=KEYS)
+QUERIES["monthly_reconstruction"] = query(recon)
+QUERIES["wet_end_bias"] = query(lambda s, d: D.wet_end_bias(fit_rows(s, d), keys=KEYS))
+QUERIES["annual_reconstruction"] = query(
+    lambda s, d: D.annual_reconstruction(
+        recon(s, d), P.year_support(B.covariates(s, d), fit(s, d), target(s, d), COVARIATES, KEYS), D.wet_end_bias(fit_rows(s, d), keys=KEYS), KEYS))
+SEASON = "sum({c} * day(last_day(month)) * 86400 * 1e-9 * 16.043) * (12.011::DOUBLE / 16.043)"
+QUERIES["season_totals"] = query(
+    lambda s, d: V.season_totals(B.flux(s, d).select(*ON, "flux_mean", "flux_sd"), ["flux_mean", "flux_sd"], keys=KEYS), "flux",
+    "site i:year n_months *flux_mean_g_c *flux_sd_g_c",
+    f"""SELECT site, year(month) AS year, count(*) AS n_months, round_even({SEASON.format(c="flux_mean")}, 3) AS flux_mean_g_c, round_even({SEASON.format(c="flux_sd")}, 3) AS flux_sd_g_c
+        FROM flux WHERE month(month) BETWEEN 5 AND 10 GROUP BY 1, 2""")

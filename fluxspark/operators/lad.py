@@ -58,11 +58,16 @@ def lad_solve(X: np.ndarray, y: np.ndarray, w: np.ndarray) -> np.ndarray | None:
         g = np.linalg.lstsq(Q * s[:, None], t * s, rcond=None)[0]
         r = t - Q @ g
         s = np.sqrt(w / np.maximum(np.abs(r), 1e-6 * np.abs(r).mean() + 1e-300))
-    basis = _start_basis(Q, r)
+    basis, best = _start_basis(Q, r), math.inf
     for _ in range(200 + 20 * n):
         inverse = np.linalg.inv(Q[basis])
         r = t - Q @ (inverse @ t[basis])
         r[basis] = 0.0
+        # Every step lowers the objective; once it no longer does, only rounding is left.
+        now = float(w @ np.abs(r))
+        if now >= best * (1.0 - 1e-14):
+            break
+        best = now
         D = Q @ inverse
         free = np.sign(r) * w
         pull = free @ D
@@ -102,7 +107,7 @@ def _fit_groups(rows: DataFrame, keys: Keys) -> DataFrame:
     return rows.groupBy(*group).applyInPandas(solve, schema)
 
 
-def _dot(x: str, beta: str) -> Column:
+def dot(x: str, beta: str) -> Column:
     return F.aggregate(F.zip_with(x, beta, lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
 
 
@@ -118,7 +123,7 @@ def _fit_large(rows: DataFrame, sizes: DataFrame, keys: Keys, limit: int, rounds
     cuts = [2.0**-e for e in range(20, 0, -1)]
     done = None
     for turn in range(rounds):
-        r = F.col("y") - _dot("x", "beta")
+        r = F.col("y") - dot("x", "beta")
         open_rows = key_join(part, models, keys, "inner").withColumn("__r", r)
         edges = open_rows.groupBy(*keys).agg(
             F.percentile_approx(F.abs("__r"), cuts, 10_000).alias("__q"), F.max("__n").alias("__nn")
@@ -135,7 +140,7 @@ def _fit_large(rows: DataFrame, sizes: DataFrame, keys: Keys, limit: int, rounds
         )
         solved = checkpointed(_fit_groups(near.unionByName(folded.drop("__s")), keys))
         check = key_join(sided.drop("beta"), solved, keys, "inner")
-        turned = (F.col("__s") != 0) & (F.signum(F.col("y") - _dot("x", "beta")) * F.col("__s") < 0)
+        turned = (F.col("__s") != 0) & (F.signum(F.col("y") - dot("x", "beta")) * F.col("__s") < 0)
         state = checkpointed(check.groupBy(*keys).agg(F.count_if(turned).alias("__bad")))
         flagged = key_join(solved, state, keys, "inner")
         good = flagged.filter("__bad = 0").drop("__bad")
@@ -160,25 +165,29 @@ def fit_lad(
     ``bounded=True`` says that the calendar bounds the groups (monthly rows), which saves
     counting them.
     """
-    model_keys = list(keys)
-    data = rows
-    if not model_keys:
-        model_keys, data = ["__all"], rows.withColumn("__all", F.lit(0))
-    data = data.select(
-        *model_keys,
+    data = rows.select(
+        *keys,
         F.array(*[F.col(c).cast("double") for c in features]).alias("x"),
         F.col(target).cast("double").alias("y"),
         (F.col(weight).cast("double") if weight else F.lit(1.0)).alias("w"),
     )
-    if not bounded:
-        sizes = data.groupBy(*model_keys).agg(F.count("*").alias("__n"))
-        large = sizes.filter(F.col("__n") > max_rows)
-        if not large.isEmpty():
-            big = key_join(data, large, model_keys, "left_semi")
-            small = key_join(data, large, model_keys, "left_anti")
-            models = _fit_groups(small, model_keys).unionByName(_fit_large(big, large, model_keys, max_rows))
-            return models.drop("__all")
-    return _fit_groups(data, model_keys).drop("__all")
+    return fit_arrays(data, keys, bounded, max_rows)
+
+
+def fit_arrays(data: DataFrame, keys: Keys = (), bounded: bool = True, max_rows: int = MAX_GROUP_ROWS) -> DataFrame:
+    """The same for rows that already hold x, y and w; models may differ in their number of terms."""
+    if not keys:
+        return fit_arrays(data.withColumn("__all", F.lit(0)), ["__all"], bounded, max_rows).drop("__all")
+    data = data.select(*keys, "x", "y", "w")
+    if bounded:
+        return _fit_groups(data, keys)
+    sizes = data.groupBy(*keys).agg(F.count("*").alias("__n"))
+    large = sizes.filter(F.col("__n") > max_rows)
+    if large.isEmpty():
+        return _fit_groups(data, keys)
+    big = key_join(data, large, keys, "left_semi")
+    small = key_join(data, large, keys, "left_anti")
+    return _fit_groups(small, keys).unionByName(_fit_large(big, large, keys, max_rows))
 
 
 def coefficients(models: DataFrame, features: Sequence[str], keys: Keys = ()) -> DataFrame:

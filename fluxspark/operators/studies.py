@@ -12,7 +12,7 @@ from fluxspark.functions import columns as C
 from fluxspark.functions import tails
 from fluxspark.operators import lad
 from fluxspark.operators.aggregate import monthly_flux_to_annual
-from fluxspark.operators.common import Keys, attach, by, key_join
+from fluxspark.operators.common import Keys, attach, by, checkpointed, key_join
 from fluxspark.operators.months import drier_subset, earliest_years, rising_flag
 from fluxspark.operators.stats import bias_by_band
 from fluxspark.operators.support import nearest_distance
@@ -90,50 +90,58 @@ def run_experiments(
     single grouped job; bounds, residual quantiles and scales come from training rows alone.
     """
     xk = [*keys, "split"]
+    ek = [*xk, "model", "weighting"]
     if hysteresis:
         frame = rising_flag(frame, soil, keys)
     names = splits.select(*keys, "split").distinct().groupBy(*keys).agg(F.collect_set("split").alias("__names"))
-    spread = attach(frame, names, keys).withColumn("split", F.explode("__names")).drop("__names")
+    spread = attach(checkpointed(frame), names, keys).withColumn("split", F.explode("__names")).drop("__names")
     held = splits.select(*xk, "month").withColumn("__h", F.lit(True))
     rows = key_join(spread, held, [*xk, "month"]).withColumn("held", F.coalesce("__h", F.lit(False))).drop("__h")
+    # Monthly rows times splits: small, and every later step reads them.
+    rows = checkpointed(rows)
     bounds = clamp_bounds(rows.filter(~F.col("held")), water, xk)
     design = build_design(rows, bounds, soil, water, True, "rising" if hysteresis else None, xk)
     extra = ["warming_limb", "soil_temp_c_warming"] if hysteresis else []
-    out = None
-    for water_on in with_water:
-        features = [*(FULL if water_on else BASE), *extra]
-        for use_weight in weighted:
-            train, test = design.filter(~F.col("held")), design.filter("held")
-            if use_weight:
-                train = train.filter("weight is not null")
-            models = lad.fit_lad(train, features, "y", "weight" if use_weight else None, xk, bounded=True)
-            res = lad.residuals(train, models, features, "y", xk)
-            summary = lad.residual_summary(res, "weight" if use_weight else None, level, xk)
-            scored = lad.predict(test, models, features, xk)
-            inside = F.col("y").between(F.col("lower"), F.col("upper")).cast("int")
-            emp = lad.empirical_interval(scored, summary, xk).groupBy(*xk).agg(F.avg(inside).alias("coverage_empirical"))
-            lap = (
-                lad.laplace_interval(scored, summary, level, "se_log", xk)
-                .groupBy(*xk)
-                .agg(F.avg(inside).alias("coverage_laplace"))
+    suffix = " + hysteresis" if hysteresis else ""
+    x = lambda on: F.array(*[F.col(c) for c in [*(FULL if on else BASE), *extra]])
+    configs = F.array(
+        *[
+            F.struct(
+                F.lit(("with water table" if on else "without water table") + suffix).alias("model"),
+                F.lit("inverse variance" if use else "unweighted").alias("weighting"),
+                x(on).alias("x"),
+                (F.col("weight") if use else F.lit(1.0)).alias("w"),
             )
-            table = attach(lad.error_metrics(scored, "y", "prediction", xk), summary, xk)
-            table = attach(attach(attach(table, emp, xk), lap, xk), models, xk)
-            model = ("with water table" if water_on else "without water table") + (" + hysteresis" if hysteresis else "")
-            part = table.select(
-                *xk,
-                F.lit(model).alias("model"),
-                F.lit("inverse variance" if use_weight else "unweighted").alias("weighting"),
-                "n_train",
-                "n_test",
-                C.q10_from_slope(F.col("beta")[1]).alias("q10"),
-                F.col("laplace_scale").alias("laplace_scale_log"),
-                "train_medae_log",
-                "mae_log", "medae_log", "bias_log", "mae_flux", "medae_flux", "bias_flux", "mape_pct",
-                "coverage_empirical", "coverage_laplace",
-                F.lit(level).alias("nominal_level"),
-            )
-            out = part if out is None else out.unionByName(part)
+            for on in with_water
+            for use in weighted
+        ]
+    )
+    rows4 = design.select(*xk, "month", "held", "y", "se_log", F.explode(configs).alias("c")).select(
+        *xk, "month", "held", "y", "se_log", "c.*"
+    ).filter(F.col("held") | F.col("w").isNotNull())
+    models = lad.fit_arrays(rows4.filter(~F.col("held")), ek)
+    scored = attach(rows4, models, ek).withColumn("prediction", lad.dot("x", "beta"))
+    scored = checkpointed(scored.withColumn("residual", F.col("y") - F.col("prediction")))
+    train, test = scored.filter(~F.col("held")), scored.filter("held")
+    summary = lad.residual_summary(train, "w", level, ek)
+    both = attach(test, summary, ek)
+    tail = (1 - level) / 2
+    b = F.sqrt((2 * F.col("laplace_scale") * F.col("laplace_scale") + F.pow(F.coalesce("se_log", F.lit(0.0)), F.lit(2.0))) / 2)
+    inside = lambda lo, hi: F.avg(F.col("residual").between(lo, hi).cast("int"))
+    table = both.groupBy(*ek).agg(
+        *lad.error_columns("y", "prediction"),
+        F.max("n_train").alias("n_train"),
+        F.max("laplace_scale").alias("laplace_scale_log"),
+        F.max("train_medae_log").alias("train_medae_log"),
+        F.first("beta")[1].alias("__slope"),
+        inside(F.col("residual_low"), F.col("residual_high")).alias("coverage_empirical"),
+        inside(C.laplace_quantile(tail, b), C.laplace_quantile(1 - tail, b)).alias("coverage_laplace"),
+    )
+    out = table.select(
+        *ek, "n_train", "n_test", C.q10_from_slope("__slope").alias("q10"), "laplace_scale_log", "train_medae_log",
+        "mae_log", "medae_log", "bias_log", "mae_flux", "medae_flux", "bias_flux", "mape_pct",
+        "coverage_empirical", "coverage_laplace", F.lit(level).alias("nominal_level"),
+    )
     return attach(out, _split_distances(rows, distance_columns, xk), xk)
 
 
@@ -183,6 +191,7 @@ def coefficient_path(
     series is one group of the same fitting job.
     """
     pk = [*keys, "dropped_wettest_pct"]
+    frame = checkpointed(frame)
     subsets = None
     for s in shares:
         part = drier_subset(frame, water, s, keys).withColumn("dropped_wettest_pct", F.lit(round(100 * s)))
@@ -194,6 +203,7 @@ def coefficient_path(
         *pk, *FULL, "y", "w", F.col(water).alias("__wte"),
         (F.row_number().over(by(*pk).orderBy("month")) - 1).alias("i"),
     )
+    rows = checkpointed(rows)
     fitted = lad.fit_lad(rows, FULL, "y", "w", pk, bounded=True)
     sizes = rows.groupBy(*pk).agg(F.count("*").alias("__n"))
     draws = (
@@ -307,7 +317,9 @@ def monthly_reconstruction(
 ) -> DataFrame:
     """Monthly flux of the three variants, with an empirical interval on the clamped one."""
     on = [*keys, "month"]
+    fit, target = checkpointed(fit), checkpointed(target)
     full, bounds, res = fit_variant(fit, "clamped", weighted, soil, water, keys)
+    full = checkpointed(full)
     reduced, _, _ = fit_variant(fit, "reduced", weighted, soil, water, keys)
     summary = lad.residual_summary(res, "weight" if weighted else None, level, keys)
     main = lad.empirical_interval(predict_variant(target, full, bounds, "clamped", soil, water, keys), summary, keys)
@@ -324,6 +336,7 @@ def wet_end_bias(
 ) -> DataFrame:
     """Mean residual in the wettest band of the first years, fitted without them."""
     on = [*keys, "month"]
+    frame = checkpointed(frame)
     early = earliest_years(frame, n_years, keys)
     train = key_join(frame, early.select(*on), on, "left_anti")
     models, bounds, _ = fit_variant(train, "clamped", weighted, soil, water, keys)
@@ -338,6 +351,7 @@ def annual_reconstruction(
 ) -> DataFrame:
     """Annual carbon per variant and edge, sensitivity range, support verdict and bias expectation."""
     yk = [*keys, "year"]
+    monthly = checkpointed(monthly)
     annual = None
     for c in (*VARIANTS, "lower", "upper"):
         part = monthly_flux_to_annual(monthly, c, keys).select(*yk, F.col("g_c_m2").alias(c))

@@ -110,4 +110,5 @@ def fold_rows(
     fold = by(*keys, "origin")
     n = F.count_if(~F.col("is_test")).over(fold)
     tests = F.count_if("is_test").over(fold)
-    return rows.withColumn("n_rows", n).filter((n >= K.MIN_FOLD_ROWS) & (tests == 1))
+    counted = rows.withColumn("n_rows", n).withColumn("__tests", tests)
+    return counted.filter((F.col("n_rows") >= K.MIN_FOLD_ROWS) & (F.col("__tests") == 1)).drop("__tests")

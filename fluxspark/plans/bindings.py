@@ -89,7 +89,7 @@ def flux(spark: SparkSession, sf: str) -> DataFrame:
 
 def series(spark: SparkSession, sf: str) -> DataFrame:
     """Gapless monthly series per site; three months hold no value."""
-    rows = _site_months(spark, sf).agg((F.sum("l_extendedprice") / 1e5).alias("value"))
+    rows = _site_months(spark, sf).agg((F.sum("l_extendedprice") / 97131.7).alias("value"))
     holes = [F.lit(m).cast("date") for m in ("1996-03-01", "1997-08-01", "1998-08-01")]
     return regrid(rows.withColumn("value", F.when(~F.col("month").isin(*holes), F.col("value"))), KEYS)
 
@@ -141,7 +141,7 @@ flux AS (
   HAVING CAST(date_trunc('month', min(l_shipdate)) AS DATE) >= DATE '1997-06-01' AND month(min(l_shipdate)) <> 7)""",
     "series": """
 series0 AS (
-  SELECT l_suppkey % 5 AS site, CAST(date_trunc('month', l_shipdate) AS DATE) AS month, sum(l_extendedprice) / 1e5 AS v
+  SELECT l_suppkey % 5 AS site, CAST(date_trunc('month', l_shipdate) AS DATE) AS month, sum(l_extendedprice) / 97131.7 AS v
   FROM lineitem GROUP BY 1, 2),
 series AS (
   SELECT g.site, g.month, CASE WHEN g.month NOT IN (DATE '1996-03-01', DATE '1997-08-01', DATE '1998-08-01') THEN s.v END AS value

@@ -116,7 +116,7 @@ QUERIES["stability_verdict"] = query(
 QUERIES["stability_verdict_failures"] = query(lambda s, d: D.stability_verdict(paths(s, d), keys=KEYS).select("site", "trend_p", "failures", "stable"))
 QUERIES["stability_paths"] = query(
     lambda s, d: D.stability_paths(paths(s, d).withColumn("treatment", F.when(F.col("site") % 2 == 0, "weighted").otherwise("unweighted"))), "cov",
-    "site b:dropped_wettest_pct *water_table_coef water_table_includes_zero treatment",
+    "site i:dropped_wettest_pct *water_table_coef water_table_includes_zero treatment",
     f"SELECT site, pct AS dropped_wettest_pct, c AS water_table_coef, c < 3.95 AS water_table_includes_zero, CASE WHEN site % 2 = 0 THEN 'weighted' ELSE 'unweighted' END AS treatment FROM {PATHS}")
 
 

@@ -13,7 +13,7 @@ from fluxspark.forecast import panels as P
 from fluxspark.forecast import rolling as L
 from fluxspark.forecast import scoring as S
 from fluxspark.operators import months as N
-from fluxspark.operators.common import key_join
+from fluxspark.operators.common import checkpointed, key_join
 from fluxspark.operators.reshape import stack_labelled
 from fluxspark.plans import bindings as B
 from fluxspark.plans.bindings import KEYS, ON, query
@@ -55,12 +55,12 @@ bench = lambda s, d: L.rolling_forecasts(B.series(s, d), keys=KEYS)
 
 
 def families(s, d):
-    series = B.series(s, d)
-    return stack_labelled({
+    series = checkpointed(B.series(s, d))
+    return checkpointed(stack_labelled({
         "benchmarks": L.rolling_forecasts(series, keys=KEYS),
         "autoregressive": L.rolling_forecasts(series, BLEND, keys=KEYS),
         "exogenous": L.rolling_forecasts(series, EXTRA, min_train=54, keys=KEYS),
-    })
+    }))
 
 
 WITH1 = f"WITH {FORE.format(m=48)}, fr AS ({rows_of(METHODS)})"
@@ -69,7 +69,13 @@ WITHF = (f"WITH {FORE.format(m=48)}, fr AS ({rows_of(METHODS, 'benchmarks')} UNI
 SHARED = WITHF + """, sh AS (SELECT site, horizon, target FROM us GROUP BY 1, 2, 3 HAVING count(DISTINCT family || '/' || method) = 7),
   rs AS (SELECT fr.* FROM fr JOIN sh USING (site, horizon, target))"""
 COLS = "site origin method i:horizon target *forecast *actual train_n *mase_scale *error *scaled"
-restricted = lambda s, d: S.restrict(families(s, d), S.shared_targets(families(s, d), KEYS), KEYS)
+
+
+def restricted(s, d):
+    frame = families(s, d)
+    return S.restrict(frame, S.shared_targets(frame, KEYS), KEYS)
+
+
 
 QUERIES["rolling_forecasts"] = query(bench, "series", COLS, f"{WITH1} SELECT * FROM fr")
 QUERIES["origin_state"] = query(
@@ -136,7 +142,8 @@ def _kept(spark, folds, names):
 
 def model_frame(s, d):
     """Linear models of both families beside the benchmarks."""
-    both = [M.run(panel(s, d), c, learners={}, horizons=(1, 6), keys=KEYS) for c in ((), ("soil_temp_f", "wte_m"))]
+    grid = checkpointed(panel(s, d))
+    both = [M.run(grid, c, learners={}, horizons=(1, 6), keys=KEYS) for c in ((), ("soil_temp_f", "wte_m"))]
     return stack_labelled({"benchmarks": bench(s, d).filter("horizon in (1, 6)"), "autoregressive": both[0], "exogenous": both[1]})
 
 

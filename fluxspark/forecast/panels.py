@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from fluxspark import constants as K
 from fluxspark.forecast.scoring import diebold_mariano, predictor_frequency, restrict, shared_targets
-from fluxspark.functions import tails
 from fluxspark.functions.columns import annual_lag
 from fluxspark.operators.common import Keys, attach, by, key_join
+from fluxspark.operators.stats import correlation_p
 
 BENCH = "benchmarks"
 
@@ -132,9 +132,7 @@ def agreement_summary(panel: DataFrame, keys: Keys = ()) -> DataFrame:
         F.regr_slope(-mid, m).alias("tilt"),
         F.corr(-mid, m).alias("__r"),
     )
-    r, n = F.col("__r"), F.col("months")
-    t = r * F.sqrt((n - 2) / ((1 - r) * (1 + r)))
-    return stats.withColumn("tilt_p", tails.t_p_value(t, (n - 2).cast("double"))).drop("__r")
+    return stats.withColumn("tilt_p", correlation_p(F.col("__r"), F.col("months"))).drop("__r")
 
 
 def _misses(frame: DataFrame, horizon: int, keys: Keys) -> DataFrame:
@@ -158,7 +156,7 @@ def miss_by_size(frame: DataFrame, horizon: int = 1, keys: Keys = ()) -> DataFra
         F.count("*").alias("n"),
         F.avg("miss").alias("mean_miss"),
         F.sqrt(F.avg(F.col("miss") * F.col("miss"))).alias("root_mean_square"),
-        F.avg(F.col("miss") / F.col("size")).alias("relative_miss"),
+        F.avg(F.try_divide("miss", "size")).alias("relative_miss"),
     )
 
 
@@ -169,5 +167,5 @@ def size_matched_year_ratio(frame: DataFrame, horizon: int = 1, keys: Keys = ())
     return (
         attach(rows, typical, [*keys, "third"])
         .groupBy(*keys, F.year("target").alias("year"))
-        .agg(F.avg("miss").alias("mean_miss"), (F.avg("miss") / F.avg("__t")).alias("ratio"))
+        .agg(F.avg("miss").alias("mean_miss"), F.try_divide(F.avg("miss"), F.avg("__t")).alias("ratio"))
     )

@@ -117,7 +117,7 @@ def rolling_forecasts(
 
 def with_errors(forecasts: DataFrame) -> DataFrame:
     e = F.col("actual") - F.col("forecast")
-    return forecasts.withColumn("error", e).withColumn("scaled", F.abs(e) / F.col("mase_scale"))
+    return forecasts.withColumn("error", e).withColumn("scaled", F.try_divide(F.abs(e), F.col("mase_scale")))
 
 
 def rolling_custom(

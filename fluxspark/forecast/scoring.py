@@ -77,7 +77,7 @@ def relative_to(
     """Mean absolute error of each method over the reference's, per horizon, one column per method."""
     rows = usable(frame, ("actual", "forecast"))
     mae = lambda m: F.avg(F.when(F.col("method") == m, F.abs("error")))
-    return rows.groupBy(*keys, "horizon").agg(*[(mae(m) / mae(reference)).alias(m.replace(" ", "_")) for m in methods])
+    return rows.groupBy(*keys, "horizon").agg(*[F.try_divide(mae(m), mae(reference)).alias(m.replace(" ", "_")) for m in methods])
 
 
 def origin_summary(frame: DataFrame, keys: Keys = ()) -> DataFrame:
@@ -210,7 +210,7 @@ def error_by_year(frame: DataFrame, method: str = "climatology", keys: Keys = ()
         F.avg((F.col("scaled") > 1).cast("int")).alias("share_above_1"),
         F.sum("scaled").alias("__s"),
     )
-    share = 100 * F.col("__s") / F.sum("__s").over(by(*keys))
+    share = F.try_divide(100 * F.col("__s"), F.sum("__s").over(by(*keys)))
     return years.withColumn("share_of_total_error", share).drop("__s")
 
 
@@ -232,7 +232,7 @@ def scale_comparability(frame: DataFrame, method: str = "seasonal naive", keys:
     )
     scored = usable(frame, ("actual", "forecast")).filter(F.col("method") == method)
     out = attach(stats, scored.groupBy(*keys).agg(F.avg(F.abs("error")).alias("out_of_sample_mae")), keys)
-    return out.withColumn("ratio", F.col("out_of_sample_mae") / F.col("scale_mean"))
+    return out.withColumn("ratio", F.try_divide("out_of_sample_mae", "scale_mean"))
 
 
 def min_train_sensitivity(
@@ -253,7 +253,7 @@ def min_train_sensitivity(
     )
     mae = lambda m, h: F.avg(F.when((F.col("method") == m) & (F.col("horizon") == h), F.abs("error")))
     ratios = usable(spread, ("actual", "forecast")).groupBy(*mk).agg(
-        *[(mae("climatology", h) / mae("seasonal naive", h)).alias(f"ratio_h{h}") for h in horizons]
+        *[F.try_divide(mae("climatology", h), mae("seasonal naive", h)).alias(f"ratio_h{h}") for h in horizons]
     )
     return attach(attach(origin_summary(spread, mk), first, mk), ratios, mk)
 
@@ -332,4 +332,4 @@ def leaderboard(frame: DataFrame, benchmark: str = "benchmarks", keys: Keys = ()
     shared = restrict(frame, shared_targets(frame, keys), keys)
     rows = usable(shared).groupBy(*keys, "family", "method", "horizon").agg(*score_columns())
     best = F.min(F.when(F.col("family") == benchmark, F.col("mase"))).over(by(*keys, "horizon"))
-    return rows.withColumn("vs_best_benchmark", F.bround(F.col("mase") / best, 3))
+    return rows.withColumn("vs_best_benchmark", F.bround(F.try_divide(F.col("mase"), best), 3))

@@ -100,7 +100,7 @@ def checked_log(c, what: str = "log target needs strictly positive values") -> C
 
 
 def log_standard_error(se, mean) -> Column:
-    return col(se) / col(mean)
+    return F.try_divide(col(se), col(mean))
 
 
 def q10_from_slope(c) -> Column:
@@ -167,7 +167,7 @@ def laplace_quantile_of(p, location, scale) -> Column:
 
 
 def laplace_cdf(x, location, scale) -> Column:
-    z = (col(x) - col(location)) / col(scale)
+    z = F.try_divide(col(x) - col(location), col(scale))
     return F.when(z < 0, F.exp(z) / 2).otherwise(1 - F.exp(-z) / 2)
 
 

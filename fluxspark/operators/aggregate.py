@@ -200,11 +200,11 @@ def cycle_strength(df: DataFrame, value: str = "value", ts: str = "ts", keys: Ke
         between = F.sum(F.col("__c") * F.pow(F.col("__g") - F.col("__mu"), 2)) / F.max("n")
         return means.groupBy(*keys).agg(
             (F.max("__g") - F.min("__g")).alias(f"{name}_amplitude"),
-            (between / F.max("total_variance")).alias(f"{name}_eta_squared"),
+            F.try_divide(between, F.max("total_variance")).alias(f"{name}_eta_squared"),
         )
 
     out = attach(attach(total.drop("__mu"), cycle("__h", "diurnal"), keys), cycle("__m", "seasonal"), keys)
-    return out.withColumn("amplitude_ratio", F.col("seasonal_amplitude") / F.col("diurnal_amplitude"))
+    return out.withColumn("amplitude_ratio", F.try_divide("seasonal_amplitude", "diurnal_amplitude"))
 
 
 def diurnal_cycle_by_season(df: DataFrame, value: str = "value", ts: str = "ts", keys: Keys = ()) -> DataFrame:
@@ -313,7 +313,7 @@ def seasonal_bias_of_rule(
         (F.max("__s") - F.min("__s")).alias("series_amplitude"),
     )
     return attach(total, swing, keys).withColumn(
-        "swing_pct_of_amplitude", 100 * F.col("bias_swing") / F.col("series_amplitude")
+        "swing_pct_of_amplitude", F.try_divide(100 * F.col("bias_swing"), F.col("series_amplitude"))
     )
 
 

@@ -105,7 +105,7 @@ def seasonal_bias_summary(
         cover(winter).alias("winter_coverage"),
         cover(summer).alias("summer_coverage"),
         (cover(summer) - cover(winter)).alias("summer_minus_winter"),
-        (cover(summer) / cover(winter)).alias("coverage_ratio"),
+        F.try_divide(cover(summer), cover(winter)).alias("coverage_ratio"),
         mean(winter).alias("winter_mean_flux"),
         mean(summer).alias("summer_mean_flux"),
     )
@@ -179,7 +179,7 @@ def budget_method_comparison(
     return both.select(
         "*",
         gap.alias("divergence_g"),
-        (100 * gap / F.col("month_weighted")).alias("divergence_pct"),
+        F.try_divide(100 * gap, F.col("month_weighted")).alias("divergence_pct"),
         (100 * F.col("month_weighted") / F.col("published")).alias("weighted_pct_of_published"),
     )
 

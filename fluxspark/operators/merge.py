@@ -265,7 +265,7 @@ def kept_range(labelled: DataFrame, keys: Keys = ()) -> DataFrame:
         )
         .select(
             "*",
-            F.bround(100 * F.col("n_dropped_inside") / F.col("n_dropped"), 1).alias("pct_dropped_inside"),
+            F.bround(F.try_divide(100 * F.col("n_dropped_inside"), F.col("n_dropped")), 1).alias("pct_dropped_inside"),
             F.bround(100 * F.col("n_kept") / (F.col("n_kept") + F.col("n_dropped")), 1).alias("base_rate_pct"),
         )
     )

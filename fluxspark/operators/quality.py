@@ -84,7 +84,7 @@ def _negative_columns(v, limit):
     return [
         n.alias("n_values"),
         negative.alias("n_negative"),
-        F.bround(100 * negative / n, 2).alias("pct_negative"),
+        F.bround(F.try_divide(100 * negative, n), 2).alias("pct_negative"),
         within.alias("n_within_limit"),
         F.bround(100 * within / at_least_one, 1).alias("pct_within_limit"),
         beyond.alias("n_beyond_limit"),
@@ -118,7 +118,7 @@ def detection_limit_sensitivity(
         F.lit(float(x)).alias("detection_limit"),
         F.col("n").alias("n_values"),
         F.col("neg").alias("n_negative"),
-        F.bround(100 * F.col("neg") / F.col("n"), 2).alias("pct_negative"),
+        F.bround(F.try_divide(100 * F.col("neg"), F.col("n")), 2).alias("pct_negative"),
         F.col(f"w{i}").alias("n_within_limit"),
         F.bround(100 * F.col(f"w{i}") / one, 1).alias("pct_within_limit"),
         (F.col("neg") - F.col(f"w{i}")).alias("n_beyond_limit"),
@@ -259,7 +259,7 @@ def coverage_against_sector(
         F.lit(name).alias("stage"),
         F.col(c).alias("n_half_hours"),
         F.bround(100 * F.col(c) / F.col("total"), 1).alias("pct_of_record"),
-        (F.bround(100 * F.col(c) / F.col("available"), 1) if c == "retained" else F.lit(None).cast("double")).alias(
+        (F.bround(F.try_divide(100 * F.col(c), F.col("available")), 1) if c == "retained" else F.lit(None).cast("double")).alias(
             "pct_of_available"
         ),
     )

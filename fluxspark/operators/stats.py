@@ -115,7 +115,7 @@ def laplace_vs_gaussian(df: DataFrame, value: str = "difference", ks: bool = Tru
         top, bottom = F.col("n_through") / F.col("n"), (F.col("n_through") - F.col("n_at")) / F.col("n")
         lap = C.laplace_cdf(value, "laplace_loc", "laplace_scale")
         ranks = ranks.withColumn(
-            "__g", tails.normal_cdf((F.col(value) - F.col("gaussian_loc")) / F.col("gaussian_scale"))
+            "__g", tails.normal_cdf(F.try_divide(F.col(value) - F.col("gaussian_loc"), F.col("gaussian_scale")))
         )
         gap = lambda f: F.max(F.greatest(top - f, f - bottom))
         fits = attach(
@@ -157,10 +157,10 @@ def _moments(x: Column, y: Column, tag: str) -> list[Column]:
 
 def _rma(tag: str = "") -> dict[str, Column]:
     n, mx, my, vx, vy, cv = (F.col(f"{c}{tag}") for c in ("n", "mx", "my", "vx", "vy", "cv"))
-    r = cv / F.sqrt(vx * vy)
-    slope = F.signum(r) * F.sqrt(vy) / F.sqrt(vx)
+    r = F.try_divide(cv, F.sqrt(vx * vy))
+    slope = F.signum(r) * F.try_divide(F.sqrt(vy), F.sqrt(vx))
     se = F.abs(slope) * F.sqrt((1 - r * r) / n)
-    left = (n - 1) * (vy - 2 * slope * cv + slope * slope * vx) / (n - 2)
+    left = F.try_divide((n - 1) * (vy - 2 * slope * cv + slope * slope * vx), (n - 2).cast("double"))
     return {
         "n": n,
         "slope": slope,
@@ -173,19 +173,19 @@ def _rma(tag: str = "") -> dict[str, Column]:
 
 def _ols(tag: str = "") -> dict[str, Column]:
     n, mx, my, vx, vy, cv = (F.col(f"{c}{tag}") for c in ("n", "mx", "my", "vx", "vy", "cv"))
-    r2 = cv * cv / (vx * vy)
-    slope = cv / vx
-    se = F.sqrt((1 - r2) * vy / vx / (n - 2))
+    r2 = F.try_divide(cv * cv, vx * vy)
+    slope = F.try_divide(cv, vx)
+    se = F.sqrt(F.try_divide((1 - r2) * vy, vx * (n - 2)))
     intercept = my - slope * mx
     intercept_se = se * F.sqrt(vx * (n - 1) / n + mx * mx)
     return {
         "n": n,
         "slope": slope,
         "slope_se": se,
-        "t_slope_vs_1": (slope - 1) / se,
+        "t_slope_vs_1": F.try_divide(slope - 1, se),
         "intercept": intercept,
         "intercept_se": intercept_se,
-        "t_intercept_vs_0": intercept / intercept_se,
+        "t_intercept_vs_0": F.try_divide(intercept, intercept_se),
         "r2": r2,
     }
 
@@ -292,14 +292,14 @@ def two_samples(rows: DataFrame, first: str, second: str, value: str = "value",
     t = F.col("c1") + F.col("c2")
     tests = cum.groupBy(*on).agg(
         F.sum(F.col("c1") * (F.col("t2") - F.col("c2") / 2)).alias("u"),
-        F.max(F.abs(F.col("t1") / F.col("n1") - F.col("t2") / F.col("n2"))).alias("ks_statistic"),
+        F.max(F.abs(F.try_divide(F.col("t1"), F.col("n1")) - F.try_divide(F.col("t2"), F.col("n2")))).alias("ks_statistic"),
         F.sum((t * t * t - t).cast("double")).alias("ties"),
     )
     out = attach(stats, tests, on)
     n1, n2, n = F.col("n1"), F.col("n2"), F.col("n1") + F.col("n2")
-    pooled = F.sqrt(((n1 - 1) * F.col("s1") + (n2 - 1) * F.col("s2")) / (n - 2))
-    sd = F.sqrt(n1 * n2 / 12 * ((n + 1) - F.col("ties") / (n * (n - 1))))
-    z = F.greatest((F.greatest(F.col("u"), n1 * n2 - F.col("u")) - n1 * n2 / 2 - 0.5) / sd, F.lit(0.0))
+    pooled = F.sqrt(F.try_divide((n1 - 1) * F.col("s1") + (n2 - 1) * F.col("s2"), (n - 2).cast("double")))
+    sd = F.sqrt(n1 * n2 / 12 * ((n + 1) - F.try_divide(F.col("ties"), (n * (n - 1)).cast("double"))))
+    z = F.greatest(F.try_divide(F.greatest(F.col("u"), n1 * n2 - F.col("u")) - n1 * n2 / 2 - 0.5, sd), F.lit(0.0))
     return out.select(
         *on,
         "n1",
@@ -308,7 +308,7 @@ def two_samples(rows: DataFrame, first: str, second: str, value: str = "value",
         F.col("m2").alias("mean2"),
         (F.col("m1") - F.col("m2")).alias("mean_difference"),
         F.when(pooled > 0, (F.col("m1") - F.col("m2")) / pooled).alias("standardised_difference"),
-        (2 * F.col("u") / (n1 * n2) - 1).alias("cliffs_delta"),
+        (F.try_divide(2 * F.col("u"), (n1 * n2).cast("double")) - 1).alias("cliffs_delta"),
         tails.normal_p_value(z).alias("mann_whitney_p"),
         "ks_statistic",
         tails.kolmogorov_p_value(F.sqrt(n1 * n2 / n) * F.col("ks_statistic")).alias("ks_p"),
@@ -362,8 +362,9 @@ def early_late_contrast(
 
 def correlation_p(r: Column, n: Column) -> Column:
     """Two-sided p of a Pearson correlation."""
-    t = r * F.sqrt((n - 2) / ((1 - r) * (1 + r)))
-    return tails.t_p_value(t, (n - 2).cast("double"))
+    left = F.greatest((1 - r) * (1 + r), F.lit(0.0))
+    t = F.try_divide(r * F.sqrt((n - 2).cast("double")), F.sqrt(left))
+    return F.when((left == 0) & (n > 2), F.lit(0.0)).otherwise(tails.t_p_value(t, (n - 2).cast("double")))
 
 
 def axis_independence(df: DataFrame, columns: Sequence[str], keys: Keys = ()) -> DataFrame:
@@ -407,7 +408,7 @@ def monthly_comparison(observed: DataFrame, predicted: DataFrame, keys: Keys = (
         carbon("observed").alias("observed_g_c"),
         carbon("predicted").alias("predicted_g_c"),
         (carbon("observed") - carbon("predicted")).alias("shortfall_g_c"),
-        (F.col("predicted") / F.col("observed")).alias("ratio"),
+        F.try_divide("predicted", "observed").alias("ratio"),
     )
 
 
@@ -498,7 +499,7 @@ def combine_additively(df: DataFrame, bias: str = "bias_log", keys: Keys = ()) -
         C.predicted_over_observed(net).alias("predicted_over_observed"),
         C.prediction_error_pct(net).alias("prediction_error_pct"),
         C.bias_direction(net).alias("direction"),
-        (1 - F.abs(net) / F.sum(F.abs(bias))).alias("cancellation_share"),
+        (1 - F.try_divide(F.abs(net), F.sum(F.abs(bias)))).alias("cancellation_share"),
     )
 
 
@@ -535,7 +536,7 @@ def explained_by_calendar(covariates: DataFrame, columns: Sequence[str], keys: K
     on = [*keys, "covariate"]
     long = covariates.unpivot([*keys, "month"], list(columns), "covariate", "value")
     res = seasonal_residuals(long, "value", on)
-    share = 1 - F.var_pop("residual") / F.var_pop("value")
+    share = 1 - F.try_divide(F.var_pop("residual"), F.var_pop("value"))
     return res.groupBy(*on).agg(F.count("*").alias("n"), F.when(F.count("*") >= 12, share).alias("explained"))
 
 
@@ -555,7 +556,7 @@ def seasonal_redundancy(
     res = seasonal_residuals(long.filter("__x is not null and __y is not null"), "__x", [*keys, "predictor"])
     stats = res.groupBy(*keys, "predictor").agg(
         F.count("*").alias("n"),
-        (1 - F.var_pop("residual") / F.var_pop("__x")).alias("__e"),
+        (1 - F.try_divide(F.var_pop("residual"), F.var_pop("__x"))).alias("__e"),
         F.corr("residual", "__y").alias("__r"),
     )
     return stats.select(
@@ -579,7 +580,7 @@ def autocorrelation(df: DataFrame, value: str = "value", nlags: int = 13, keys:
     wide = lagged.groupBy(*keys).agg(
         F.count("*").alias("n"),
         *[
-            (F.sum(F.col("__x") * F.col(f"__l{k}")) / F.sum(F.col("__x") * F.col("__x"))).alias(f"a{k}")
+            F.try_divide(F.sum(F.col("__x") * F.col(f"__l{k}")), F.sum(F.col("__x") * F.col("__x"))).alias(f"a{k}")
             for k in range(1, nlags + 1)
         ],
     )
@@ -633,7 +634,7 @@ def trend_tests(df: DataFrame, value: str = "value", min_months: int = 10, keys:
         F.avg("__a").alias("amplitude_mean"),
         F.min("__a").alias("amplitude_min"),
         F.max("__a").alias("amplitude_max"),
-        (100 * F.stddev_samp("__a") / F.avg("__a")).alias("amplitude_cv_pct"),
+        F.try_divide(100 * F.stddev_samp("__a"), F.avg("__a")).alias("amplitude_cv_pct"),
         sa.alias("amplitude_trend_per_year"),
         ra.alias("__ra"),
     )
@@ -667,8 +668,8 @@ def seasonal_parts(df: DataFrame, value: str = "value", keys: Keys = ()) -> Data
 def seasonal_parts_summary(parts: DataFrame, keys: Keys = ()) -> DataFrame:
     return parts.groupBy(*keys).agg(
         F.count("*").alias("n"),
-        (1 - F.var_samp("leftover") / F.var_samp("observed")).alias("explained"),
-        (F.stddev_samp("leftover") / F.stddev_samp("observed")).alias("left_share"),
+        (1 - F.try_divide(F.var_samp("leftover"), F.var_samp("observed"))).alias("explained"),
+        F.try_divide(F.stddev_samp("leftover"), F.stddev_samp("observed")).alias("left_share"),
     )
 
 

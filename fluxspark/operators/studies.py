@@ -9,12 +9,11 @@ from pyspark.sql import functions as F
 
 from fluxspark import constants as K
 from fluxspark.functions import columns as C
-from fluxspark.functions import tails
 from fluxspark.operators import lad
 from fluxspark.operators.aggregate import monthly_flux_to_annual
 from fluxspark.operators.common import Keys, attach, by, checkpointed, key_join
 from fluxspark.operators.months import drier_subset, earliest_years, rising_flag
-from fluxspark.operators.stats import bias_by_band
+from fluxspark.operators.stats import bias_by_band, correlation_p
 from fluxspark.operators.support import nearest_distance
 
 BASE = ["intercept", "soil_temp_c"]
@@ -263,9 +262,8 @@ def stability_verdict(path: DataFrame, max_drift: float = 0.25, alpha: float = 0
     )
     base, n, r = F.col("baseline_coefficient"), F.col("__n"), F.col("trend")
     drift = F.when(base != 0, F.col("coefficient_spread") / F.abs(base)).otherwise(F.lit(float("inf")))
-    t = r * F.sqrt((n - 2) / ((1 - r) * (1 + r)))
     stats = stats.withColumn("relative_drift", drift).withColumn(
-        "trend_p", F.when(F.abs(r) >= 1.0 - 1e-15, F.lit(0.0)).otherwise(tails.t_p_value(t, (n - 2).cast("double")))
+        "trend_p", correlation_p(r, n)
     )
     failures = F.array_compact(
         F.array(

@@ -47,7 +47,7 @@ def distribution_comparison(
         below.alias("n_below"),
         above.alias("n_above"),
         (below + above).alias("n_outside"),
-        F.bround(100 * (below + above) / F.count(t), 1).alias("pct_outside"),
+        F.bround(F.try_divide(100 * (below + above), F.count(t)), 1).alias("pct_outside"),
     )
 
 

@@ -84,6 +84,7 @@ def order_statistics(
     targets: Sequence[tuple[str, float, Callable[[Column], Column]]],
     keys: Keys = (),
     accuracy: int = 10_000,
+    count: str | None = None,
 ) -> DataFrame:
     """Values at exact ranks, per key, without ever sorting a whole group in one task.
 
@@ -133,26 +134,31 @@ def order_statistics(
         missed = F.raise_error(F.lit("order statistic fell outside its bracket")).cast("double")
         return F.max(F.when(hit, F.when(known, F.col("__x")).otherwise(missed)))
 
-    return ranked.groupBy(*keys).agg(*[pick(i, rank).alias(name) for i, (name, _, rank) in enumerate(targets)])
+    size = [F.max("__n").alias(count)] if count else []
+    return ranked.groupBy(*keys).agg(*[pick(i, rank).alias(name) for i, (name, _, rank) in enumerate(targets)], *size)
 
 
-def exact_quantiles(
-    df: DataFrame, value: str, probs: dict[str, float], keys: Keys = (), accuracy: int = 10_000
-) -> DataFrame:
-    """Linearly interpolated quantiles, exact, one column per named probability."""
+def quantile_targets(probs: dict[str, float]) -> list:
+    """Order statistics that linear interpolation of the named quantiles needs."""
     targets = []
     for name, p in probs.items():
         low, high = _rank_of(p)
         targets += [(f"__{name}_lo", p, low), (f"__{name}_hi", p, high)]
-    n = df.filter(F.col(value).isNotNull()).groupBy(*keys).agg(F.count("*").alias("__cnt"))
-    stats = attach(order_statistics(df, value, targets, keys, accuracy), n, keys)
+    return targets
+
 
-    def blend(name: str, p: float) -> Column:
-        h = (F.col("__cnt") - 1) * F.lit(p)
-        lo, hi = F.col(f"__{name}_lo"), F.col(f"__{name}_hi")
-        return (lo + (hi - lo) * (h - F.floor(h))).alias(name)
+def interpolated(name: str, p: float, n: Column) -> Column:
+    h = (n - 1) * F.lit(p)
+    lo, hi = F.col(f"__{name}_lo"), F.col(f"__{name}_hi")
+    return (lo + (hi - lo) * (h - F.floor(h))).alias(name)
 
-    return stats.select(*keys, *[blend(name, p) for name, p in probs.items()])
+
+def exact_quantiles(
+    df: DataFrame, value: str, probs: dict[str, float], keys: Keys = (), accuracy: int = 10_000
+) -> DataFrame:
+    """Linearly interpolated quantiles, exact, one column per named probability. Two passes in all."""
+    stats = order_statistics(df, value, quantile_targets(probs), keys, accuracy, "__cnt")
+    return stats.select(*keys, *[interpolated(name, p, F.col("__cnt")) for name, p in probs.items()])
 
 
 def cumulative_counts(df: DataFrame, value: str, keys: Keys = (), buckets: int = 256) -> DataFrame:

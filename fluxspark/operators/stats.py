@@ -21,8 +21,10 @@ from fluxspark.operators.common import (
     by,
     cumulative_counts,
     exact_quantiles,
+    interpolated,
     key_join,
     order_statistics,
+    quantile_targets,
 )
 
 # ---- paired differences -----------------------------------------------------------------------
@@ -35,10 +37,10 @@ def difference_statistics(df: DataFrame, value: str = "difference", trim: float
     statistics, and rows tied with a cut count by their multiplicity, so nothing is sorted whole.
     """
     cut = lambda n: F.floor(n * F.lit(trim)).cast("bigint")
-    ends = order_statistics(
-        df, value, [("__lo", trim, lambda n: cut(n) + 1), ("__hi", 1 - trim, lambda n: n - cut(n))], keys
-    )
-    quart = exact_quantiles(df, value, {"__q1": 0.25, "median": 0.5, "__q3": 0.75}, keys)
+    probs = {"__q1": 0.25, "median": 0.5, "__q3": 0.75}
+    cuts = [("__lo", trim, lambda n: cut(n) + 1), ("__hi", 1 - trim, lambda n: n - cut(n))]
+    ranks = order_statistics(df, value, [*quantile_targets(probs), *cuts], keys, count="__cnt")
+    ranks = ranks.select(*keys, *[interpolated(c, p, F.col("__cnt")) for c, p in probs.items()], "__lo", "__hi")
     v = F.col(value)
     moments = df.groupBy(*keys).agg(
         F.count(v).alias("n"),
@@ -47,7 +49,7 @@ def difference_statistics(df: DataFrame, value: str = "difference", trim: float
         F.skewness(v).alias("skewness_raw"),
         F.kurtosis(v).alias("excess_kurtosis"),
     )
-    stats = attach(attach(moments, quart, keys), ends, keys)
+    stats = attach(moments, ranks, keys)
     centred = attach(
         df.select(*keys, v.alias("__v")).filter("__v is not null"),
         stats.select(*keys, F.col("mean").alias("__c"), "__lo", "__hi"),

@@ -11,6 +11,8 @@ from fluxspark.functions import columns as C
 from fluxspark.operators.common import Keys, attach, key_join
 from fluxspark.operators.months import month_islands
 
+SALTS = 32
+
 
 def _roles(
     covariates: DataFrame, fit: DataFrame, target: DataFrame, columns: Sequence[str], keys: Keys
@@ -134,8 +136,10 @@ def nearest_distance(
     if keys:
         met = key_join(placed, tiles, keys, "inner")
     else:
-        # One global reference: its tiles join on a constant, and Spark picks the side to broadcast by size.
-        met = placed.withColumn("__one", F.lit(1)).join(tiles.withColumn("__one", F.lit(1)), "__one").drop("__one")
+        # One reference for all points: its tiles are copied to every salt, so the points stay spread out.
+        salt = F.pmod(F.xxhash64(id_column), F.lit(SALTS)).cast("int")
+        copies = tiles.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        met = placed.withColumn("__salt", salt).join(copies, "__salt").drop("__salt")
     square = lambda r: sum(
         ((F.col("__z")[i] - r["z"][i]) * (F.col("__z")[i] - r["z"][i]) for i in range(1, len(columns))),
         (F.col("__z")[0] - r["z"][0]) * (F.col("__z")[0] - r["z"][0]),

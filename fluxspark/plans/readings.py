@@ -482,7 +482,7 @@ CC = "(12.011::DOUBLE / 16.043)"
 
 
 def one_site_budget(s, d):
-    """All sites as one record: the earliest slot value of any site does not matter, every row counts."""
+    """All sites as one record: every row is a slot."""
     return V.annual_budget(B.merged(s, d), PUB)
 
 

@@ -79,7 +79,8 @@ def daily_stats(
             (F.count_if(F.col(source) == label) / F.count("*")).alias(f"frac_{slug}")
             for label, slug in sources.items()
         ]
-        n_sources = F.count_distinct(source)
+        # Counting the known labels keeps this a single aggregate, where a distinct count would shuffle twice.
+        n_sources = sum(((F.count_if(F.col(source) == label) > 0).cast("bigint") for label in sources), F.lit(0).cast("bigint"))
         aggs += [n_sources.alias("n_sources"), (n_sources > 1).alias("is_mixed")]
     daily = df.filter(F.col(value).isNotNull()).groupBy(*keys, F.to_date(ts).alias("date")).agg(*aggs)
     return daily if min_obs is None else daily.filter(F.col(f"{value}_n") >= min_obs)

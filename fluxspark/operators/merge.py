@@ -154,9 +154,8 @@ def source_runs(
     local = (
         reported.withColumn("__c", changed)
         .withColumn("__r", F.sum("__c").over(in_slice.rowsBetween(Window.unboundedPreceding, 0)))
-        .groupBy(*keys, "__s", "__r")
+        .groupBy(*keys, "__s", "__r", "source")
         .agg(
-            F.first("source").alias("source"),
             F.min("__ts").alias("first"),
             F.max("__ts").alias("last"),
             F.count("*").alias("n"),
@@ -173,9 +172,8 @@ def source_runs(
         local.filter(edge)
         .withColumn("__new", F.when(joins, 0).otherwise(1))
         .withColumn("__g", F.sum("__new").over(along.rowsBetween(Window.unboundedPreceding, 0)))
-        .groupBy(*keys, "__g")
+        .groupBy(*keys, "__g", "source")
         .agg(
-            F.first("source").alias("source"),
             F.min("first").alias("first"),
             F.max("last").alias("last"),
             F.sum("n").alias("n"),

@@ -144,7 +144,9 @@ def model_frame(s, d):
     """Linear models of both families beside the benchmarks."""
     grid = checkpointed(panel(s, d))
     both = [M.run(grid, c, learners={}, horizons=(1, 6), keys=KEYS) for c in ((), ("soil_temp_f", "wte_m"))]
-    return stack_labelled({"benchmarks": bench(s, d).filter("horizon in (1, 6)"), "autoregressive": both[0], "exogenous": both[1]})
+    return checkpointed(
+        stack_labelled({"benchmarks": bench(s, d).filter("horizon in (1, 6)"), "autoregressive": both[0], "exogenous": both[1]})
+    )
 
 
 QUERIES["forecast_run"] = query(lambda s, d: M.run(panel(s, d), ("soil_temp_f",), learners={}, horizons=(1, 3), keys=KEYS).drop("predictors"))

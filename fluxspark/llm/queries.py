@@ -2,20 +2,49 @@
 
 from __future__ import annotations
 
+import hashlib
+import uuid
+from collections.abc import Iterator
+
+import pyarrow as pa
+from public_tokenizers import path as tokenizer_file
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fluxspark.llm import mixing, quality
+from fluxspark.llm import bpe, mixing, quality, token_files
+from fluxspark.llm.shared import shared_dir
 from fluxspark.plans.bindings import Query, table
 
 
+def ids_digest(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    for batch in batches:
+        yield pa.array([hashlib.sha256(x.values.to_numpy().astype("<u4").tobytes()).hexdigest() for x in batch], pa.string())
+
+
+def op1_bpe(spark: SparkSession, sf: str) -> DataFrame:
+    file = tokenizer_file("word_bpe_49k.json")
+    ids = bpe.encode(table(spark, sf, "documents").select("doc_id", "text"), file).select("doc_id", "ids")
+    back = bpe.decode(ids, file)
+    return back.select(
+        "doc_id", F.size("ids").cast("bigint").alias("n_tokens"), F.arrow_udf(ids_digest, "string")(F.col("ids")).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 def op8_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
     found = quality.quality_rules(table(spark, sf, "documents").select("doc_id", "text"), table(spark, sf, "labels"))
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "ratio")
 
 
+def op9_token_files(spark: SparkSession, sf: str) -> DataFrame:
+    folder = f"{shared_dir(spark)}/token-files-{uuid.uuid4().hex}"
+    token_files.write_ids(table(spark, sf, "documents"), tokenizer_file("byte_bpe_50k.json"), folder)
+    ids = token_files.read_documents(spark, folder)
+    return ids.select("doc_id", "start", F.size("ids").cast("bigint").alias("n_tokens"), token_files.crc_of(ids).alias("ids_crc32"))
+
+
 def op10_mixing(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.mixed_words(table(spark, sf, "documents"))
 
 
-QUERIES = {f.__name__: Query(f, None) for f in (op8_quality_rules, op10_mixing)}
+QUERIES = {f.__name__: Query(f, None) for f in (op1_bpe, op8_quality_rules, op9_token_files, op10_mixing)}

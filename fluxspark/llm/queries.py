@@ -11,7 +11,7 @@ from public_tokenizers import path as tokenizer_file
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fluxspark.llm import bpe, mixing, quality, token_files
+from fluxspark.llm import bpe, mixing, quality, token_files, topk
 from fluxspark.llm.shared import shared_dir
 from fluxspark.plans.bindings import Query, table
 
@@ -31,6 +31,10 @@ def op1_bpe(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def op7_top_k(spark: SparkSession, sf: str) -> DataFrame:
+    return topk.top_k(topk.integer_vectors(table(spark, sf, "embeddings")), F.col("vec_id") % 20 == 0)
+
+
 def op8_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
     found = quality.quality_rules(table(spark, sf, "documents").select("doc_id", "text"), table(spark, sf, "labels"))
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "ratio")
@@ -47,4 +51,15 @@ def op10_mixing(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.mixed_words(table(spark, sf, "documents"))
 
 
-QUERIES = {f.__name__: Query(f, None) for f in (op1_bpe, op8_quality_rules, op9_token_files, op10_mixing)}
+OP7_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+r AS (SELECT row_number() OVER () AS row, * FROM v),
+s AS (
+  SELECT a.row AS query_row, a.vec_id AS query_id, b.vec_id, CAST(list_inner_product(CAST(a.q AS DOUBLE[]), CAST(b.q AS DOUBLE[])) AS BIGINT) AS score
+  FROM r a JOIN r b ON a.row <> b.row WHERE a.vec_id % 20 = 0),
+k AS (SELECT *, row_number() OVER (PARTITION BY query_row ORDER BY score DESC, vec_id) AS n FROM s)
+SELECT query_id, CAST(n AS INTEGER) AS rank, vec_id, score FROM k WHERE n <= 20"""
+
+QUERIES = {f.__name__: Query(f, globals().get(f"{f.__name__.split('_')[0].upper()}_SQL")) for f in (op1_bpe, op7_top_k, op8_quality_rules, op9_token_files, op10_mixing)}

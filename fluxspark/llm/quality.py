@@ -19,6 +19,8 @@ BITS = 16
 SMOOTHING = 3.0
 #: Mean log-likelihood ratio in nats per n-gram under which a document goes.
 LEAST_RATIO = -0.3
+#: Labelled good documents that the trusted multinomial is fitted on, at most.
+TRUSTED_DOCS = 16_384
 SYMBOLS = "#*$%&|<>"
 _WORD = re.compile(r"[^ \t-\r]+")
 _BLANK = " \t\n\v\f\r"
@@ -112,20 +114,17 @@ def mean_ratio(buckets: np.ndarray, both: np.ndarray, sums: np.ndarray) -> float
     return float(own @ logs / len(buckets) - math.log(sums[0] / rest))
 
 
-def trusted_marks(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def trusted_marks(docs: DataFrame, labels: DataFrame, most: int = TRUSTED_DOCS) -> DataFrame:
     """doc_id, text, trusted: whether labels call the document good and not toxic. Conflicting labels: not trusted.
 
-    Documents with no id have no label; they are dealt by their text, so that they don't meet in one task.
+    At most ``most`` labelled documents, first by a hash of their id, are trusted, so their ids can be broadcast
+    and no text is shuffled. A document without an id has no label.
     """
     good = labels.filter("doc_id is not null").groupBy("doc_id").agg(
         ((F.coalesce(F.min("quality"), F.lit(0)) == 1) & (F.coalesce(F.max("toxic"), F.lit(0)) == 0)).alias("trusted")
     )
-    good = good.filter("trusted").select(F.col("doc_id").alias("__id"), F.lit(False).alias("__none"), "trusted")
-    rows = docs.select(
-        "doc_id", "text", F.col("doc_id").isNull().alias("__none0"),
-        F.coalesce(F.col("doc_id"), F.xxhash64("text")).cast("bigint").alias("__id0"),
-    )
-    joined = rows.join(good, (F.col("__id0") == F.col("__id")) & (F.col("__none0") == F.col("__none")), "left")
+    first = good.filter("trusted").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    joined = docs.select("doc_id", "text").join(F.broadcast(first), "doc_id", "left")  # ``most`` ids of 8 bytes
     return joined.select("doc_id", "text", F.coalesce("trusted", F.lit(False)).alias("trusted"))
 
 

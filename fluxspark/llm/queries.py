@@ -11,7 +11,7 @@ from public_tokenizers import path as tokenizer_file
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fluxspark.llm import bpe, jaccard_join, mixing, quality, token_files, topk
+from fluxspark.llm import bpe, jaccard_join, mixing, pii, quality, token_files, topk
 from fluxspark.llm.shared import shared_dir
 from fluxspark.plans.bindings import Query, table
 
@@ -36,6 +36,14 @@ def op4_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
     return jaccard_join.near_duplicates(docs).select("doc_id", "class_id", "n_links", "n_copies")
 
 
+def op6_pii(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text", F.monotonically_increasing_id().alias("uid"))
+    count = lambda i: F.size(F.filter("base", lambda x: x["k"] == i)).cast("bigint").alias(f"n_{pii.KINDS[i]}")
+    return pii.find_spans(docs).select(
+        "doc_id", *[count(i) for i in range(4)], F.sha2(pii.listed(F.col("base")), 256).alias("base_sha256"), pii.listed(F.col("spans")).alias("spans")
+    )
+
+
 def op7_top_k(spark: SparkSession, sf: str) -> DataFrame:
     return topk.top_k(topk.integer_vectors(table(spark, sf, "embeddings")), F.col("vec_id") % 20 == 0)
 
@@ -67,4 +75,4 @@ s AS (
 k AS (SELECT *, row_number() OVER (PARTITION BY query_row ORDER BY score DESC, vec_id) AS n FROM s)
 SELECT query_id, CAST(n AS INTEGER) AS rank, vec_id, score FROM k WHERE n <= 20"""
 
-QUERIES = {f.__name__: Query(f, globals().get(f"{f.__name__.split('_')[0].upper()}_SQL")) for f in (op1_bpe, op4_jaccard_join, op7_top_k, op8_quality_rules, op9_token_files, op10_mixing)}
+QUERIES = {f.__name__: Query(f, globals().get(f"{f.__name__.split('_')[0].upper()}_SQL")) for f in (op1_bpe, op4_jaccard_join, op6_pii, op7_top_k, op8_quality_rules, op9_token_files, op10_mixing)}

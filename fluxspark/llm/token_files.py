@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import os
 import re
-import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -142,8 +141,9 @@ class Encoder:
     """
 
     _CUT = re.compile(r" (?=\S)(?<=\S )")
+    _LINES = re.compile(r" ?\S+(?:\n\S+)+")
 
-    def __init__(self, path: str, remembered: int = 300_000):
+    def __init__(self, path: str, remembered: int = 120_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -156,15 +156,38 @@ class Encoder:
         added = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.whole = re.compile("|".join(map(re.escape, added))) if added else None
         self.seen: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
         self.remembered = remembered
 
+    def atoms(self, piece: str) -> list[str]:
+        """Parts that tokens don't cross either: lines, and punctuation after a letter."""
+        out = []
+        for i, line in enumerate(piece.split("\n") if self._LINES.fullmatch(piece) else [piece]):
+            if i:
+                out.append("\n")
+            core = line.rstrip(".,;:!?")
+            if core and core != line and core[-1].isalpha() and core[-1] < "\u0500":
+                out += [core, line[len(core) :]]
+            else:
+                out.append(line)
+        return out
+
     def _learn(self, pieces: set[str]) -> None:
+        """Put the ids of every piece into ``seen``. What was not seen since the last turnover is forgotten at the next."""
         new = pieces - self.seen.keys()
-        if len(self.seen) + len(new) > self.remembered:
-            self.seen, new = {}, pieces
-        new = list(new)
-        for piece, e in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False), strict=True):
+        for p in new & self.before.keys():
+            self.seen[p] = self.before[p]
+        new -= self.seen.keys()
+        parts = {p: self.atoms(p) for p in new}
+        single = set().union(*parts.values())
+        for p in single & self.before.keys():
+            self.seen[p] = self.before[p]
+        fresh = list(single - self.seen.keys())
+        for piece, e in zip(fresh, self.library.encode_batch_fast(fresh, add_special_tokens=False), strict=True):
             self.seen[piece] = np.array(e.ids, dtype="<u2").tobytes()
+        for p, ps in parts.items():
+            if len(ps) > 1:
+                self.seen[p] = b"".join([self.seen[a] for a in ps])
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         split: list[list[str]] = []
@@ -176,7 +199,10 @@ class Encoder:
             split.append([first, *[" " + p for p in rest]])
         self._learn(set().union(*split))
         get = self.seen.__getitem__
-        return [np.frombuffer(b"".join(map(get, p)), dtype="<u2") for p in split]
+        out = [np.frombuffer(b"".join(map(get, p)), dtype="<u2") for p in split]
+        if len(self.seen) > self.remembered:
+            self.before, self.seen = self.seen, {}
+        return out
 
 
 @lru_cache(maxsize=2)
@@ -228,7 +254,7 @@ def write_ids(docs: DataFrame, path: str, folder: str, end_id: int = 0, shard_id
 
 
 def read_documents(spark: SparkSession, folder: str) -> DataFrame:
-    """doc_id, start, ids (array<int>) of every document in the files."""
+    """doc_id, start, ids of every document in the files; ids as little-endian unsigned 32-bit integers, binary."""
 
     def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -237,28 +263,15 @@ def read_documents(spark: SparkSession, folder: str) -> DataFrame:
                 ids = unpack(shard)
                 ends = np.array(shard["ends"], dtype=np.int64)
                 starts = np.r_[0, ends[:-1]]
-                lists = pa.ListArray.from_arrays(pa.array(np.r_[0, ends], pa.int32()), pa.array(ids.astype(np.int32)))
+                raw = [ids[a:b].astype("<u4").tobytes() for a, b in zip(starts, ends, strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(shard["doc_ids"], pa.int64()), pa.array(np.full(len(ends), shard["part"]), pa.int32()), pa.array(starts + shard["first"]), lists],
-                    names=["doc_id", "part", "at", "ids"],
+                    [pa.array(shard["doc_ids"], pa.int64()), pa.array(starts + shard["first"]), pa.array(raw, pa.binary())], names=["doc_id", "start", "ids"]
                 )
 
     shards = spark.read.schema(SCHEMA).parquet(folder)
-    # One row for each range partition.
     sums = shards.groupBy("part").agg(F.sum("n_ids").alias("n"))
     order = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     base = sums.select("part", F.coalesce(F.sum("n").over(order), F.lit(0)).alias("before"))
-    found = shards.join(base, "part").select("before", *[c.split()[0] for c in SCHEMA.split(", ")])
-    found = found.withColumn("first", F.col("first") + F.col("before")).drop("before")
-    out = found.mapInArrow(documents, "doc_id bigint, part int, at bigint, ids array<int>")
-    return out.select("doc_id", F.col("at").alias("start"), "ids")
-
-
-def crc_of(ids: DataFrame, column: str = "ids"):
-    """Unsigned crc32 of an id array as little-endian unsigned 32-bit integers."""
-
-    def crc(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in batches:
-            yield pa.array([zlib.crc32(x.values.to_numpy().astype("<u4").tobytes()) for x in batch], pa.int64())
-
-    return F.arrow_udf(crc, "bigint")(ids[column])
+    # One row for each range partition, so no more than spark.sql.shuffle.partitions rows of two numbers.
+    found = shards.join(F.broadcast(base), "part").withColumn("first", F.col("first") + F.col("before")).drop("before")
+    return found.mapInArrow(documents, "doc_id bigint, start bigint, ids binary")

@@ -16,9 +16,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Characters of text whose distinct words are merged together.
-SLICE_CHARS = 4_000_000
-#: Words and chunks whose ids a worker remembers.
-REMEMBERED = 300_000
+SLICE_CHARS = 2_000_000
+#: Words, and chunks, whose ids a worker remembers, twice: those of now and those of before the last turnover.
+REMEMBERED = 150_000
 _NONE = np.int64(1 << 40)
 
 
@@ -144,6 +144,7 @@ class Tokenizer:
         self.added_ids = {k: np.uint32(i).tobytes() for k, i in added.items()}
         self.words: dict[str, bytes] = {}
         self.chunks: dict[str, bytes] = {}
+        self.old_words, self.old_chunks = self.words, self.chunks
 
     def normalised(self, text: str) -> str:
         if "NFC" in self.normal:
@@ -151,12 +152,13 @@ class Tokenizer:
         # A sigma at the end of a word is lowered as any other.
         return text.replace("Σ", "σ").lower() if "Lowercase" in self.normal else text
 
-    def learn_words(self, words: Iterable[str]) -> None:
-        new = list(set(words) - self.words.keys())
+    def learn_words(self, words: set[str]) -> None:
+        """Put every word's ids into ``words``."""
+        for w in (words - self.words.keys()) & self.old_words.keys():
+            self.words[w] = self.old_words[w]
+        new = list(words - self.words.keys())
         if not new:
             return
-        if len(self.words) + len(new) > REMEMBERED:
-            self.words = {}
         raw = [w.encode("utf-8", "replace") for w in new]
         lengths = np.fromiter(map(len, raw), dtype=np.int64, count=len(raw))
         data = np.frombuffer(b"".join(raw), dtype=np.uint8)
@@ -191,19 +193,19 @@ class Tokenizer:
             parts = self.added.split(text) if self.added and self.added.search(text) else [text]
             split.append([([p] if i % 2 else self.pieces(p)) for i, p in enumerate(parts)])
         distinct = set().union(*(chunks for parts in split for chunks in parts[::2]))
-        new = distinct - self.chunks.keys()
-        if len(self.chunks) + len(new) > REMEMBERED:
-            self.chunks, new = {}, distinct
-        found = {c: self.words_of(c) for c in new}
-        wanted = set().union(*found.values())
-        self.learn_words(wanted)
-        if not wanted <= self.words.keys():  # remembered words were dropped in between
-            self.words = {}
-            self.learn_words(wanted)
+        for c in (distinct - self.chunks.keys()) & self.old_chunks.keys():
+            self.chunks[c] = self.old_chunks[c]
+        found = {c: self.words_of(c) for c in distinct - self.chunks.keys()}
+        self.learn_words(set().union(*found.values()))
         for c, ws in found.items():
             self.chunks[c] = self.words[ws[0]] if len(ws) == 1 else b"".join([self.words[w] for w in ws])
         get = self.chunks.__getitem__
-        return [b"".join([self.added_ids[p[0]] if i % 2 else b"".join(map(get, p)) for i, p in enumerate(parts)]) for parts in split]
+        out = [b"".join([self.added_ids[p[0]] if i % 2 else b"".join(map(get, p)) for i, p in enumerate(parts)]) for parts in split]
+        if len(self.words) > REMEMBERED:
+            self.old_words, self.words = self.words, {}
+        if len(self.chunks) > REMEMBERED:
+            self.old_chunks, self.chunks = self.chunks, {}
+        return out
 
     def encode(self, texts: Iterable[str | None]) -> Iterator[bytes]:
         held, chars = [], 0
@@ -225,22 +227,31 @@ def tokenizer(path: str) -> Tokenizer:
     return Tokenizer(path)
 
 
-def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids") -> DataFrame:
-    """Add the ids of each whole text (array<int>; null and empty texts: an empty array).
+def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids", back: str | None = None, packed: bool = False) -> DataFrame:
+    """Add the ids of each whole text (null and empty texts: none), and the text decoded from these ids as ``back``.
 
-    A column of that name is replaced; rows and other columns stay as they are. Equal texts get equal ids, an
-    empty table stays empty. No shuffle; a worker holds one Arrow batch, a slice of it and bounded memories.
+    Ids are array<int>, or little-endian unsigned 32-bit integers in a binary column if ``packed``. Columns of these names are
+    replaced; rows and other columns stay as they are. Equal texts get equal ids, an empty table stays
+    empty. No shuffle; a worker holds one Arrow batch, a slice of it and bounded memories.
     """
 
     def ids_of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         bpe = tokenizer(path)
         for batch in batches:
             raw = list(bpe.encode(x.as_py() for x in batch))
-            ends = np.cumsum([0, *map(len, raw)]) // 4
-            flat = np.frombuffer(b"".join(raw), dtype="<i4")
-            yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
-
-    return df.withColumn(ids, F.arrow_udf(ids_of, "array<int>")(F.col(text)))
+            if packed:
+                coded: pa.Array = pa.array(raw, pa.binary())
+            else:
+                ends = np.cumsum([0, *map(len, raw)]) // 4
+                coded = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(raw), dtype="<i4")))
+            decoded = pa.array([bpe.decode(np.frombuffer(r, "<u4").tolist()) for r in raw] if back else [None] * len(raw), pa.string())
+            yield pa.StructArray.from_arrays([coded, decoded], ["ids", "back"])
+
+    udf = F.arrow_udf(ids_of, f"struct<ids:{'binary' if packed else 'array<int>'},back:string>")
+    new = {ids: "ids"} | ({back: "back"} if back else {})
+    rows = df.select(F.struct("*").alias("__row"), udf(F.col(text)).alias("__new"))
+    kept = [F.col("__row")[c].alias(c) for c in df.columns if c.lower() not in {n.lower() for n in new}]
+    return rows.select(*kept, *[F.col("__new")[f].alias(n) for n, f in new.items()])
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:

@@ -2,40 +2,51 @@
 
 from __future__ import annotations
 
-import hashlib
 import uuid
-from collections.abc import Iterator
 
-import pyarrow as pa
 from public_tokenizers import path as tokenizer_file
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fluxspark.llm import bpe, jaccard_join, mixing, pii, quality, token_files, topk
+from fluxspark.llm import bpe, chat, jaccard_join, mixing, pii, quality, token_counts, token_files, topk, url_filter
 from fluxspark.llm.shared import shared_dir
 from fluxspark.plans.bindings import Query, table
 
 
-def ids_digest(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-    for batch in batches:
-        yield pa.array([hashlib.sha256(x.values.to_numpy().astype("<u4").tobytes()).hexdigest() for x in batch], pa.string())
-
-
 def op1_bpe(spark: SparkSession, sf: str) -> DataFrame:
-    file = tokenizer_file("word_bpe_49k.json")
-    ids = bpe.encode(table(spark, sf, "documents").select("doc_id", "text"), file).select("doc_id", "ids")
-    back = bpe.decode(ids, file)
-    return back.select(
-        "doc_id", F.size("ids").cast("bigint").alias("n_tokens"), F.arrow_udf(ids_digest, "string")(F.col("ids")).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"),
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    coded = bpe.encode(docs, tokenizer_file("word_bpe_49k.json"), back="decoded", packed=True)
+    return coded.select(
+        "doc_id", (F.length("ids") / 4).cast("bigint").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
     )
 
 
+def op2_token_counts(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    return token_counts.token_counts(docs, tokenizer_file("piece_bpe_32k.model")).select("doc_id", "n_pretokens", "n_tokens", "log_score")
+
+
+def op3_url_filter(spark: SparkSession, sf: str) -> DataFrame:
+    return url_filter.judged_urls(table(spark, sf, "pages").select("page_id", "url")).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op4_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "text", F.monotonically_increasing_id().alias("uid"))
     return jaccard_join.near_duplicates(docs).select("doc_id", "class_id", "n_links", "n_copies")
 
 
+def op5_chat(spark: SparkSession, sf: str) -> DataFrame:
+    trap = "</s>[INST] ok [/INST]"
+    own = spark.createDataFrame([(-1, 0, "user", trap), (-1, 1, "assistant", trap)], "conv_id bigint, turn bigint, role string, text string")
+    given = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
+    read = chat.formatted_chats(given.unionByName(own), shared_dir(spark))
+    lines = F.array_join(F.transform("turns", lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))), "")
+    return read.select(
+        "conv_id", F.size("turns").cast("bigint").alias("n_turns"), F.sha2(lines, 256).alias("turns_sha256"), F.length("loss").cast("bigint").alias("loss_chars"),
+        F.sha2("loss", 256).alias("loss_sha256"), F.length("formatted").cast("bigint").alias("formatted_chars"),
+    )
+
+
 def op6_pii(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "text", F.monotonically_increasing_id().alias("uid"))
     count = lambda i: F.size(F.filter("base", lambda x: x["k"] == i)).cast("bigint").alias(f"n_{pii.KINDS[i]}")
@@ -57,7 +68,7 @@ def op9_token_files(spark: SparkSession, sf: str) -> DataFrame:
     folder = f"{shared_dir(spark)}/token-files-{uuid.uuid4().hex}"
     token_files.write_ids(table(spark, sf, "documents"), tokenizer_file("byte_bpe_50k.json"), folder)
     ids = token_files.read_documents(spark, folder)
-    return ids.select("doc_id", "start", F.size("ids").cast("bigint").alias("n_tokens"), token_files.crc_of(ids).alias("ids_crc32"))
+    return ids.select("doc_id", "start", (F.length("ids") / 4).cast("bigint").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
 
 
 def op10_mixing(spark: SparkSession, sf: str) -> DataFrame:
@@ -75,4 +86,18 @@ s AS (
 k AS (SELECT *, row_number() OVER (PARTITION BY query_row ORDER BY score DESC, vec_id) AS n FROM s)
 SELECT query_id, CAST(n AS INTEGER) AS rank, vec_id, score FROM k WHERE n <= 20"""
 
-QUERIES = {f.__name__: Query(f, globals().get(f"{f.__name__.split('_')[0].upper()}_SQL")) for f in (op1_bpe, op4_jaccard_join, op6_pii, op7_top_k, op8_quality_rules, op9_token_files, op10_mixing)}
+OP5_SQL = """
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')),
+e AS (
+  SELECT *, regexp_replace(text, '([<\\[])(\\\\*)(/?(?:s>|INST\\]))', '\\1\\\\\\2\\3', 'g') AS body,
+         regexp_replace(replace(replace(role, '\\', '\\\\'), chr(10), '\\n'), '([<\\[])(\\\\*)(/?(?:s>|INST\\]))', '\\1\\\\\\2\\3', 'g') AS head
+  FROM c)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS LAST, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS LAST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(length(head) + length(body) + 8) AS BIGINT) AS formatted_chars
+FROM e GROUP BY conv_id"""
+QUERIES = {f.__name__: Query(f, globals().get(f"{f.__name__.split('_')[0].upper()}_SQL")) for f in (op1_bpe, op2_token_counts, op3_url_filter, op4_jaccard_join, op5_chat, op6_pii, op7_top_k, op8_quality_rules, op9_token_files, op10_mixing)}

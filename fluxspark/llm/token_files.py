@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -143,7 +144,7 @@ class Encoder:
     _CUT = re.compile(r" (?=\S)(?<=\S )")
     _LINES = re.compile(r" ?\S+(?:\n\S+)+")
 
-    def __init__(self, path: str, remembered: int = 120_000):
+    def __init__(self, path: str, remembered: int = 250_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -162,7 +163,7 @@ class Encoder:
     def atoms(self, piece: str) -> list[str]:
         """Parts that tokens don't cross either: lines, and punctuation after a letter."""
         out = []
-        for i, line in enumerate(piece.split("\n") if self._LINES.fullmatch(piece) else [piece]):
+        for i, line in enumerate(piece.split("\n") if "\n" in piece and self._LINES.fullmatch(piece) else [piece]):
             if i:
                 out.append("\n")
             core = line.rstrip(".,;:!?")
@@ -179,12 +180,12 @@ class Encoder:
             self.seen[p] = self.before[p]
         new -= self.seen.keys()
         parts = {p: self.atoms(p) for p in new}
-        single = set().union(*parts.values())
+        single = {a for ps in parts.values() for a in ps}
         for p in single & self.before.keys():
             self.seen[p] = self.before[p]
         fresh = list(single - self.seen.keys())
         for piece, e in zip(fresh, self.library.encode_batch_fast(fresh, add_special_tokens=False), strict=True):
-            self.seen[piece] = np.array(e.ids, dtype="<u2").tobytes()
+            self.seen[piece] = array("H", e.ids).tobytes()
         for p, ps in parts.items():
             if len(ps) > 1:
                 self.seen[p] = b"".join([self.seen[a] for a in ps])

@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 from fluxspark.llm.shared import attach, key_join, numbered, running_total, word_count
 
 #: Rows of one bucket of a source's shuffled order.
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 2_000
 
 
 def source_targets(rows: DataFrame, weights: Sequence[float] = (3, 1, 2), budget: float = 1.5, most: int = 2) -> DataFrame:

@@ -62,13 +62,16 @@ def round6(df: DataFrame, digits: int = 6, only: Sequence[str] | None = None) ->
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage through reliable storage the cluster names, so a lost executor costs nothing."""
     spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
         shared = spark.conf.get("spark.checkpoint.dir", None)
         if shared is None:
+            if sc.master != "local" and not sc.master.startswith("local["):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
             import tempfile
 
-            shared = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.sparkContext.setCheckpointDir(shared)
+            shared = tempfile.mkdtemp(prefix="spark-", dir="/tmp")  # one machine: driver and executor share it
+        sc.setCheckpointDir(shared)
     return df.checkpoint(eager=True)
 
 

@@ -1,9 +1,9 @@
 """Least-absolute-deviation fits for many models at once, their intervals and errors.
 
-A model is one group of rows, for instance the months of one series under one holdout. Groups of bounded
-size are solved whole inside a task. Larger groups are reduced first: rows whose residual sign
-is settled fold into two summed rows per model, which leaves the optimum where it was, and a pass over all
-rows confirms the signs.
+A model is one group of rows, for instance the months of one series under one holdout. Groups that the calendar
+bounds are solved whole inside a task. Otherwise one solver serves every size: it starts from weighted least squares on sums over
+all rows, keeps a window of rows near the fit, folds the rest by residual sign into two summed rows, which leaves
+the optimum where it was as long as the signs hold, and confirms the signs by a pass over all rows.
 """
 
 from __future__ import annotations
@@ -16,12 +16,13 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, StringType, StructField, StructType
 
 from fluxspark.functions import columns as C
 from fluxspark.operators.common import Keys, attach, checkpointed, key_join
 
-MAX_GROUP_ROWS = 50_000
+#: Rows of a model that the folding solver holds at first; twice as many after each round whose signs don't hold.
+WINDOW_ROWS = 20_000
 
 
 def _start_basis(Q: np.ndarray, r: np.ndarray) -> list[int]:
@@ -90,7 +91,7 @@ def lad_solve(X: np.ndarray, y: np.ndarray, w: np.ndarray) -> np.ndarray | None:
 def _fit_groups(rows: DataFrame, keys: Keys) -> DataFrame:
     """One solved model per group of (keys, x, y, w)."""
     group = list(keys)
-    schema = StructType([rows.schema[k] for k in group] + [StructField("beta", ArrayType(DoubleType()))])
+    schema = StructType([rows.schema[k] for k in group] + [StructField("beta", ArrayType(DoubleType())), StructField("status", StringType())])
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         X, y = np.vstack(pdf["x"].to_numpy()).astype(float), pdf["y"].to_numpy(dtype=float)
@@ -102,6 +103,7 @@ def _fit_groups(rows: DataFrame, keys: Keys) -> DataFrame:
         beta = lad_solve(X, y, w)
         out = pdf[group].iloc[:1].copy()
         out["beta"] = [None if beta is None else beta.tolist()]
+        out["status"] = "dependent terms" if beta is None else "optimal"
         return out
 
     return rows.groupBy(*group).applyInPandas(solve, schema)
@@ -111,44 +113,61 @@ def dot(x: str, beta: str) -> Column:
     return F.aggregate(F.zip_with(x, beta, lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
 
 
-def _fit_large(rows: DataFrame, sizes: DataFrame, keys: Keys, limit: int, rounds: int = 25) -> DataFrame:
-    """Models too large for one task, by folding rows of settled sign and checking the fold."""
+def _least_squares(rows: DataFrame, keys: Keys, k: int) -> DataFrame:
+    """(keys, start, n, flags): weighted least squares from sums over all rows, the row count, and of each term the rows where it isn't 0."""
+    x = [F.coalesce(F.get("x", F.lit(i)), F.lit(0.0)) for i in range(k)]
+    moments = [F.sum(F.col("w") * x[i] * x[j]) for i in range(k) for j in range(k)]
+    sums = rows.groupBy(*keys).agg(
+        F.count("*").alias("n"), F.max(F.size("x")).alias("terms"), F.array(*moments).alias("xx"),
+        F.array(*[F.sum(F.col("w") * c * F.col("y")) for c in x]).alias("xy"), F.array(*[F.count_if(c != 0) for c in x]).alias("flags"),
+    )
+
+    @F.pandas_udf(ArrayType(DoubleType()))
+    def start(terms: pd.Series, xx: pd.Series, xy: pd.Series) -> pd.Series:
+        return pd.Series([np.linalg.lstsq(np.reshape(a, (k, k))[:t, :t], np.asarray(b)[:t], rcond=None)[0].tolist() for t, a, b in zip(terms, xx, xy)])
+
+    return sums.select(*keys, start("terms", "xx", "xy").alias("start"), "n", "flags")
+
+
+def _fit_folded(rows: DataFrame, keys: Keys, window: int) -> DataFrame:
+    """Models of any size. The window holds the rows of least residual and, of a term that is rarely other than 0, those rows.
+
+    A model is settled when no folded row has changed its sign, or when the window holds all its rows. A fit
+    without a solution in the window stays open; dependent terms are a result only over all rows.
+    """
     rows = checkpointed(rows)
-    k = len(rows.select("x").first()["x"])
-    share = F.least(F.lit(1.0), F.lit(float(limit)) / F.col("__n"))
-    part = attach(rows, sizes, keys)
-    first = F.pmod(F.xxhash64("x", "y"), F.lit(1 << 20)) < F.greatest(share, F.lit(2.0**-20)) * (1 << 20)
+    k = rows.agg(F.max(F.size("x"))).first()[0]
+    if k is None:
+        return _fit_groups(rows, keys)
+    sums = checkpointed(_least_squares(rows, keys, k))
     merge = lambda df: df.groupBy(*keys, "x", "y").agg(F.sum("w").alias("w"))
-    models = checkpointed(_fit_groups(merge(part.filter(first)), keys))
-    cuts = [2.0**-e for e in range(20, 0, -1)]
-    done = None
-    for turn in range(rounds):
-        r = F.col("y") - dot("x", "beta")
-        open_rows = key_join(part, models, keys, "inner").withColumn("__r", r)
-        edges = open_rows.groupBy(*keys).agg(
-            F.percentile_approx(F.abs("__r"), cuts, 10_000).alias("__q"), F.max("__n").alias("__nn")
-        )
-        want = F.least(F.lit(float(limit * 2**min(turn, 6))) / F.col("__nn"), F.lit(0.5))
-        edge = F.element_at("__q", F.greatest(F.lit(1), F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= want))))
+    cuts = [2.0**-e for e in range(30, 0, -1)]
+    models, done, turn = sums.select(*keys, "start", "n", "flags"), None, 0
+    while True:
+        size = F.lit(float(window * 2**turn))
+        residual = F.abs(F.col("y") - dot("x", "start"))
+        open_rows = key_join(rows, models, keys, "inner").withColumn("__r", residual)
+        edges = open_rows.groupBy(*keys).agg(F.percentile_approx("__r", cuts, 10_000).alias("__q"), F.max("n").alias("__n"))
+        at = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= size / F.col("__n")))
+        edge = F.when(F.col("__n") <= size, float("inf")).otherwise(F.element_at("__q", F.greatest(F.lit(1), at)))
         sided = attach(open_rows, edges.select(*keys, edge.alias("__edge")), keys)
-        side = F.when(F.abs("__r") <= F.col("__edge"), 0).when(F.col("__r") > 0, 1).otherwise(-1)
+        rare = F.exists(F.zip_with("x", F.slice("flags", F.lit(1), F.size("x")), lambda v, f: (v != 0) & (f <= size / k)), lambda b: b)
+        side = F.when(rare | (F.col("__r") <= F.col("__edge")), 0).when(F.col("y") > dot("x", "start"), 1).otherwise(-1)
         sided = sided.withColumn("__s", side)
         near = merge(sided.filter("__s = 0"))
-        sums = F.array(*[F.sum(F.col("w") * F.col("x")[i]) for i in range(k)])
-        folded = sided.filter("__s <> 0").groupBy(*keys, "__s").agg(
-            sums.alias("x"), F.sum(F.col("w") * F.col("y")).alias("y"), F.lit(1.0).alias("w")
-        )
+        total = F.slice(F.array(*[F.sum(F.col("w") * F.get("x", F.lit(i))) for i in range(k)]), F.lit(1), F.max(F.size("x")))
+        folded = sided.filter("__s <> 0").groupBy(*keys, "__s").agg(total.alias("x"), F.sum(F.col("w") * F.col("y")).alias("y"), F.lit(1.0).alias("w"))
         solved = checkpointed(_fit_groups(near.unionByName(folded.drop("__s")), keys))
-        check = key_join(sided.drop("beta"), solved, keys, "inner")
-        turned = (F.col("__s") != 0) & (F.signum(F.col("y") - dot("x", "beta")) * F.col("__s") < 0)
+        check = key_join(sided, solved, keys, "inner")
+        turned = (F.col("__s") != 0) & (F.col("beta").isNull() | (F.signum(F.col("y") - dot("x", "beta")) * F.col("__s") < 0))
         state = checkpointed(check.groupBy(*keys).agg(F.count_if(turned).alias("__bad")))
-        flagged = key_join(solved, state, keys, "inner")
-        good = flagged.filter("__bad = 0").drop("__bad")
+        flagged = key_join(key_join(solved, state, keys, "inner"), models, keys, "inner")
+        good = flagged.filter("__bad = 0").select(*keys, "beta", "status")
         done = good if done is None else done.unionByName(good)
-        models = flagged.filter("__bad > 0").drop("__bad")
+        models = flagged.filter("__bad > 0").select(*keys, F.coalesce("beta", "start").alias("start"), "n", "flags")
         if models.isEmpty():
             return done
-    raise RuntimeError("residual signs did not settle")
+        turn += 1
 
 
 def fit_lad(
@@ -158,12 +177,12 @@ def fit_lad(
     weight: str | None = None,
     keys: Keys = (),
     bounded: bool = False,
-    max_rows: int = MAX_GROUP_ROWS,
+    window: int = WINDOW_ROWS,
 ) -> DataFrame:
-    """Coefficients of every model: (keys, beta), beta in the order of ``features``.
+    """Coefficients of every model: (keys, beta, status), beta in the order of ``features``.
 
-    ``bounded=True`` says that the calendar bounds the groups (monthly rows), which saves
-    counting them.
+    ``bounded=True`` states that the calendar bounds the groups (monthly rows), so that each fits in a task. A model
+    whose terms depend on each other has a null beta and says so in its status.
     """
     data = rows.select(
         *keys,
@@ -171,23 +190,15 @@ def fit_lad(
         F.col(target).cast("double").alias("y"),
         (F.col(weight).cast("double") if weight else F.lit(1.0)).alias("w"),
     )
-    return fit_arrays(data, keys, bounded, max_rows)
+    return fit_arrays(data, keys, bounded, window)
 
 
-def fit_arrays(data: DataFrame, keys: Keys = (), bounded: bool = True, max_rows: int = MAX_GROUP_ROWS) -> DataFrame:
+def fit_arrays(data: DataFrame, keys: Keys = (), bounded: bool = True, window: int = WINDOW_ROWS) -> DataFrame:
     """The same for rows that already hold x, y and w; models may differ in their number of terms."""
     if not keys:
-        return fit_arrays(data.withColumn("__all", F.lit(0)), ["__all"], bounded, max_rows).drop("__all")
+        return fit_arrays(data.withColumn("__all", F.lit(0)), ["__all"], bounded, window).drop("__all")
     data = data.select(*keys, "x", "y", "w")
-    if bounded:
-        return _fit_groups(data, keys)
-    sizes = data.groupBy(*keys).agg(F.count("*").alias("__n"))
-    large = sizes.filter(F.col("__n") > max_rows)
-    if large.isEmpty():
-        return _fit_groups(data, keys)
-    big = key_join(data, large, keys, "left_semi")
-    small = key_join(data, large, keys, "left_anti")
-    return _fit_groups(small, keys).unionByName(_fit_large(big, large, keys, max_rows))
+    return _fit_groups(data, keys) if bounded else _fit_folded(data, keys, window)
 
 
 def coefficients(models: DataFrame, features: Sequence[str], keys: Keys = ()) -> DataFrame:

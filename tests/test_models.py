@@ -67,7 +67,7 @@ def test_large_groups_give_the_same_optimum(spark):
             rows.append((g, x, 1.5 - 0.7 * x + rnd.choice([-1, 1]) * rnd.expovariate(1.0)))
     df = spark.createDataFrame(rows, "g string, x double, y double").withColumn("one", F.lit(1.0))
     whole = {r.g: r.beta for r in lad.fit_lad(df, ["one", "x"], "y", keys=["g"], bounded=True).collect()}
-    split = {r.g: r.beta for r in lad.fit_lad(df, ["one", "x"], "y", keys=["g"], max_rows=300).collect()}
+    split = {r.g: r.beta for r in lad.fit_lad(df, ["one", "x"], "y", keys=["g"], window=300).collect()}
     assert whole.keys() == split.keys()
     for g in whole:
         assert np.allclose(whole[g], split[g], atol=1e-9)
@@ -294,3 +294,25 @@ def test_diebold_mariano_limits(spark):
     assert out["same"].statistic == 0 and math.isclose(out["same"].p, 1.0)
     assert out["worse"].statistic > 5 and out["worse"].p < 1e-4 and out["worse"].mean_difference > out["worse"].margin
     assert out["short"].statistic is None and out["short"].margin is None
+
+
+def test_folding_solver_agrees_on_awkward_models(spark):
+    """A rare flag, tied rows, models with different numbers of terms, and dependent terms, by both routes."""
+    rnd = random.Random(9)
+    rows = []
+    for i in range(1200):
+        x = rnd.uniform(-2, 2)
+        flag = 1.0 if i in (5, 600, 1100) else 0.0
+        rows.append(("flag", [1.0, x, flag], 2 + 3 * x + 5 * flag + rnd.choice([-1, 1]) * rnd.expovariate(1.0)))
+        rows.append(("short", [1.0, x], 1 - x + rnd.gauss(0, 1)))
+        rows.append(("tied", [1.0, float(i % 3)], float(i % 5)))
+        rows.append(("dependent", [1.0, x, 2 * x], x))
+    df = spark.createDataFrame(rows, "g string, x array<double>, y double").withColumn("w", F.lit(1.0))
+    whole = {r.g: r for r in lad.fit_arrays(df, ["g"], bounded=True).collect()}
+    split = {r.g: r for r in lad.fit_arrays(df, ["g"], bounded=False, window=100).collect()}
+    assert whole.keys() == split.keys() and split["dependent"].beta is None and split["dependent"].status == "dependent terms"
+    for g in ("flag", "short", "tied"):
+        cost = lambda b: sum(abs(y - sum(p * q for p, q in zip(x, b))) for k, x, y in rows if k == g)
+        assert math.isclose(cost(whole[g].beta), cost(split[g].beta), rel_tol=1e-9), g
+    assert np.allclose(whole["flag"].beta, split["flag"].beta, atol=1e-8)
+    assert lad.fit_arrays(df.limit(0), ["g"], bounded=False).count() == 0

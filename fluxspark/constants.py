@@ -79,4 +79,4 @@ SCREEN_MIN_SHADOWS = 5
 # Stability path.
 DROP_SHARES = (0.0, 0.10, 0.20, 0.30, 0.40)
 N_BOOTSTRAP = 500
-SEED = 20110801
+SEED = 6174

@@ -15,8 +15,7 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 from fluxspark import constants as K
 from fluxspark.forecast.folds import design_names, fold_rows
 from fluxspark.forecast.rolling import with_errors
-from fluxspark.functions import tails
-from fluxspark.operators.common import Keys, key_join
+from fluxspark.operators.common import Keys, by, checkpointed, key_join
 
 FAMILY = {
     "ordinary least squares": "statistical",
@@ -99,18 +98,25 @@ def boosting(n_iter: int = 300, depth: int = 4) -> GBTRegressor:
 
 
 def _pooled(folds: DataFrame, mask: Sequence[bool] | None = None) -> DataFrame:
-    """Fold rows of all series on one scale: flux in units of the fold's scaled-error denominator."""
+    """Fold rows of all series on one scale: flux in units of the fold's ``scale``."""
     cols = range(len(mask)) if mask else None
     x = F.col("x") if mask is None else F.array(*[F.col("x")[i] for i in cols if mask[i]])
-    return folds.filter("mase_scale > 0").select(
-        "*", array_to_vector(x).alias("features"), (F.col("y") / F.col("mase_scale")).alias("label"),
+    return folds.select(
+        "*", array_to_vector(x).alias("features"), (F.col("y") / F.col("scale")).alias("label"),
         (F.pmod(F.xxhash64("month", "y"), F.lit(5)) == 0).alias("held_back"),
     )
 
 
-def scaled_folds(folds: DataFrame, names: Sequence[str]) -> DataFrame:
-    """Flux lags in units of the fold's scale, so that series of any size can share a model."""
-    x = [F.col("x")[i] / F.col("mase_scale") if n.startswith("flux_lag") else F.col("x")[i] for i, n in enumerate(names)]
+def scaled_folds(folds: DataFrame, names: Sequence[str], keys: Keys = ()) -> DataFrame:
+    """Flux lags in units of the fold's ``scale``, so that series of any size can share a model.
+
+    The scale is the scaled-error denominator; where that is missing or zero (an exactly periodic series), the mean size of
+    the fold's training target; else 1.
+    """
+    size = F.avg(F.when(~F.col("is_test"), F.abs("y"))).over(by(*keys, "origin"))
+    positive = lambda c: F.when(c > 0, c)
+    folds = folds.withColumn("scale", F.coalesce(positive(F.col("mase_scale")), positive(size), F.lit(1.0)))
+    x = [F.col("x")[i] / F.col("scale") if n.startswith("flux_lag") else F.col("x")[i] for i, n in enumerate(names)]
     return folds.withColumn("x", F.array(*x))
 
 
@@ -118,17 +124,17 @@ def pooled_forecasts(
     folds: DataFrame,
     names: Sequence[str],
     learners: dict[str, Callable],
-    refit_every: int = 12,
+    refit_every: int = 1,
     masks: dict[str, list[bool]] | None = None,
     keys: Keys = (),
 ) -> DataFrame:
-    """Tree models fitted on every series' fold rows at once, refitted every few origins.
+    """Tree models fitted on every series' fold rows at once, refitted every ``refit_every`` origins.
 
     A model fitted at one origin serves the following ones until the next refit, and so never
     sees a month after its own origin. The driver only walks the refit origins, which the calendar bounds;
-    each fit is a distributed job over the whole panel.
+    each fit is a distributed job over the whole panel. None where there is no fold.
     """
-    folds = scaled_folds(folds, names).persist()
+    folds = checkpointed(scaled_folds(folds, names, keys))
     months = [r[0] for r in folds.select("origin").distinct().orderBy("origin").collect()]
     out = None
     for i in range(0, len(months), refit_every):
@@ -139,7 +145,7 @@ def pooled_forecasts(
         for name, make in learners.items():
             part = make().fit(train).transform(tests).select(
                 *keys, "origin", F.lit(name).alias("method"), F.col("month").alias("target"),
-                (F.col("prediction") * F.col("mase_scale") + F.col("level")).alias("forecast"),
+                (F.col("prediction") * F.col("scale") + F.col("level")).alias("forecast"),
                 "actual", "train_n", "mase_scale",
             )
             out = part if out is None else out.unionByName(part)
@@ -156,12 +162,12 @@ def run(
     horizons: Sequence[int] = K.HORIZONS,
     min_train: int = K.MIN_TRAIN,
     screen: Callable | None = None,
-    refit_every: int = 12,
+    refit_every: int = 1,
     keys: Keys = (),
 ) -> DataFrame:
     """Every fold forecast by the linear models and the pooled learners, in the benchmarks' row shape.
 
-    ``screen(folds, names)`` returns the kept predictor names of a horizon's refit origins; every
+    ``screen(folds, names, group=keys)`` returns (predictor, kept) for one refit origin's training rows; every
     method of a fold sees the same predictors. Rows add how many and which predictors were used.
     """
     learners = LEARNERS if learners is None else learners
@@ -171,8 +177,8 @@ def run(
         folds = fold_rows(grid, h, covariates, min_train, horizons, keys=keys)
         masks = None
         if screen is not None:
-            folds = folds.persist()
-            masks = screen_masks(folds, names, screen, refit_every)
+            folds = checkpointed(folds)
+            masks = screen_masks(folds, names, screen, refit_every, keys)
         spark = grid.sparkSession
         kept = None
         if masks is not None:
@@ -180,8 +186,9 @@ def run(
             rows = [(m, masks[str(months[i - i % refit_every])]) for i, m in enumerate(months)]
             kept = spark.createDataFrame(rows, "origin date, mask array<boolean>")
         parts = linear_forecasts(folds, len(names), keys, kept=kept)
-        if learners:
-            parts = parts.unionByName(pooled_forecasts(folds, names, learners, refit_every, masks, keys))
+        fitted = pooled_forecasts(folds, names, learners, refit_every, masks, keys) if learners else None
+        if fitted is not None:
+            parts = parts.unionByName(fitted)
         all_names = F.array(*[F.lit(c) for c in names])
         if kept is None:
             parts = parts.withColumn("predictors", all_names)
@@ -200,13 +207,13 @@ def run(
     )
 
 
-def screen_masks(folds: DataFrame, names: Sequence[str], screen: Callable, refit_every: int) -> dict[str, list[bool]]:
+def screen_masks(folds: DataFrame, names: Sequence[str], screen: Callable, refit_every: int, keys: Keys = ()) -> dict[str, list[bool]]:
     """Kept predictors at each refit origin, as masks over the design."""
     months = [r[0] for r in folds.select("origin").distinct().orderBy("origin").collect()]
-    masks = {}
+    scaled, masks = scaled_folds(folds, names, keys), {}
     for m in months[::refit_every]:
-        train = scaled_folds(folds.filter((F.col("origin") == F.lit(m)) & ~F.col("is_test")), names)
-        keep = set(screen(train, names))
+        chosen = screen(scaled.filter((F.col("origin") == F.lit(m)) & ~F.col("is_test")), names, group=keys)
+        keep = {r["predictor"] for r in chosen.filter("kept").collect()}
         masks[str(m)] = [c in keep for c in names]
     return masks
 
@@ -214,58 +221,73 @@ def screen_masks(folds: DataFrame, names: Sequence[str], screen: Callable, refit
 # ---- screening --------------------------------------------------------------------------------------
 
 
-def _shuffled(i: int, seed: int, repeat: int, j: int):
-    """Predictor i of the row array ``r``, in the order of a hash of its months."""
-    order = lambda s: F.struct(F.xxhash64(F.lit(seed), F.lit(repeat), F.lit(j), s["month"]).alias("h"), s["x"][i].alias("v"))
-    return F.transform(F.array_sort(F.transform("r", order)), lambda s: s["v"])
-
-
-def boruta_select(
+def shadow_importances(
     rows: DataFrame,
     names: Sequence[str],
-    always_keep: Sequence[str] = K.SEASONAL_TERMS,
     repeats: int = K.SCREEN_REPEATS,
-    alpha: float = K.SCREEN_ALPHA,
     n_trees: int = 100,
     depth: int = 8,
     seed: int = K.SEED,
     min_shadows: int = K.SCREEN_MIN_SHADOWS,
+    shadowed: Sequence[str] | None = None,
     group: Keys = (),
-) -> list[str]:
-    """Predictors that beat permuted copies of themselves more often than a fair coin would.
+) -> DataFrame:
+    """(repeat, predictor, importance, is_shadow): impurity importances of forests over predictors and permuted copies.
 
-    ``rows`` hold arrays ``x`` and a target ``y`` over ``names``. Copies are shuffled inside each group (one
-    series' months) in the order of a seeded hash, as array work in one shuffle per repeat. Each repeat
-    fits one distributed forest; the always-kept columns are in it but never judged.
+    Each repeat permutes copies of the ``shadowed`` predictors inside every group (one series' months, which the calendar
+    bounds) by a hash of seed, repeat, copy, group and month, and fits one distributed forest to all rows. A forest's
+    importances are one number per column; those of all repeats become one table.
     """
-    candidates = [c for c in names if c not in always_keep]
-    scale = F.col("mase_scale") if "mase_scale" in rows.columns else F.lit(1.0)
+    scale = F.col("scale") if "scale" in rows.columns else F.lit(1.0)
     usable = rows.filter(~F.exists("x", lambda e: e.isNull()) & F.col("y").isNotNull())
-    usable = usable.select(*group, "month", "x", (F.col("y") / scale).alias("label")).persist()
-    if usable.count() < 12 or not candidates:
-        return [*always_keep, *candidates]
-    first = [names.index(c) for c in candidates]
-    shadows = [first[j % len(first)] for j in range(max(len(first), min_shadows))]
-    wins = dict.fromkeys(candidates, 0)
-    series = usable.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct("month", "x", "label"))).alias("r"))
+    series = checkpointed(
+        usable.select(*group, "month", "x", (F.col("y") / scale).alias("label")).groupBy(*group).agg(F.array_sort(F.collect_list(F.struct("month", "x", "label"))).alias("r"))
+    )
+    copied = list(names if shadowed is None else shadowed)
+    source = [names.index(copied[j % len(copied)]) for j in range(max(len(copied), min_shadows))] if copied else []
+    columns = [(c, False) for c in names] + [(names[i], True) for i in source]
+    table = []
     for repeat in range(repeats):
-        copies = [_shuffled(i, seed, repeat, j).alias(f"s{j}") for j, i in enumerate(shadows)]
-        mixed = series.select("r", *copies).select(
-            F.explode(F.arrays_zip("r", *[f"s{j}" for j in range(len(shadows))])).alias("z")
-        )
-        wide = mixed.select(
-            array_to_vector(F.concat(F.col("z.r.x"), F.array(*[F.col(f"z.s{j}") for j in range(len(shadows))]))).alias("features"),
-            F.col("z.r.label").alias("label"),
-        )
-        model = RandomForestRegressor(
-            numTrees=n_trees, maxDepth=depth, seed=seed + repeat, featureSubsetStrategy="all"
-        ).fit(wide)
-        importance = model.featureImportances.toArray()
-        bar = importance[len(names):].max()
-        for c, i in zip(candidates, first):
-            wins[c] += int(importance[i] > bar)
-    usable.unpersist()
-    needed = tails.hit_threshold(repeats, alpha)
-    return [*always_keep, *[c for c in candidates if wins[c] >= needed]]
+        copies = [_permuted(i, (seed, repeat, j), group).alias(f"s{j}") for j, i in enumerate(source)]
+        z = series.select("r", *copies).select(F.explode(F.arrays_zip("r", *[f"s{j}" for j in range(len(source))])).alias("z"))
+        wide = z.select(array_to_vector(F.concat("z.r.x", F.array(*[F.col(f"z.s{j}") for j in range(len(source))]))).alias("features"), F.col("z.r.label").alias("label"))
+        forest_ = RandomForestRegressor(numTrees=n_trees, maxDepth=depth, seed=seed + repeat, featureSubsetStrategy="all").fit(wide)
+        table += [(repeat, c, float(v), shadow) for (c, shadow), v in zip(columns, forest_.featureImportances.toArray(), strict=True)]
+    return rows.sparkSession.createDataFrame(table, "repeat int, predictor string, importance double, is_shadow boolean")
+
 
+def _permuted(i: int, salt: Sequence[int], group: Keys):
+    """Predictor i of the row array ``r`` in hash order."""
+    drawn = lambda s: F.struct(F.xxhash64(*map(F.lit, salt), *[F.col(c) for c in group], s["month"]).alias("h"), s["x"][i].alias("v"))
+    return F.transform(F.array_sort(F.transform("r", drawn)), lambda s: s["v"])
 
+
+def coin_tail(hits, n):
+    """P(X >= hits) of n fair coin tosses, as a column."""
+    choose = lambda k: F.when(k == 0, 1.0).otherwise(F.aggregate(F.sequence(F.lit(1), F.greatest(k, F.lit(1))), F.lit(1.0), lambda a, i: a * (n - k + i) / i))
+    return F.aggregate(F.sequence(hits, n), F.lit(0.0), lambda a, k: a + choose(k)) / F.pow(F.lit(2.0), n)
+
+
+def screened(importances: DataFrame, always_keep: Sequence[str] = K.SEASONAL_TERMS, alpha: float = K.SCREEN_ALPHA) -> DataFrame:
+    """(predictor, hits, kept): how often each beat the best shadow of its repeat, and whether a fair coin would so at most with ``alpha``."""
+    bars = importances.groupBy("repeat").agg(F.max(F.when(F.col("is_shadow"), F.col("importance"))).alias("bar"))
+    won = (F.col("importance") > F.col("bar")).cast("int")
+    counted = importances.filter("not is_shadow").join(bars, "repeat").groupBy("predictor").agg(F.sum(won).cast("int").alias("hits"), F.count("*").cast("int").alias("n"))
+    always = F.col("predictor").isin(list(always_keep))
+    return counted.select("predictor", F.when(~always, F.col("hits")).alias("hits"), (always | (coin_tail(F.col("hits"), F.col("n")) <= alpha)).alias("kept"))
+
+
+def boruta_select(
+    rows: DataFrame, names: Sequence[str], always_keep: Sequence[str] = K.SEASONAL_TERMS, alpha: float = K.SCREEN_ALPHA, group: Keys = (), **options
+) -> DataFrame:
+    """Screen the predictors ``names`` of arrays ``x`` against target ``y``: (predictor, hits, kept).
+
+    The always-kept columns are in every forest but have no shadow and no count of hits. With fewer than 12 complete rows, or nothing to
+    judge, all are kept.
+    """
+    judged = [c for c in names if c not in always_keep]
+    complete = rows.filter(~F.exists("x", lambda e: e.isNull()) & F.col("y").isNotNull())
+    if not judged or complete.limit(12).count() < 12:
+        spark = rows.sparkSession
+        return spark.createDataFrame([(c, None, True) for c in names], "predictor string, hits int, kept boolean")
+    return screened(shadow_importances(rows, list(names), shadowed=judged, group=group, **options), always_keep, alpha)

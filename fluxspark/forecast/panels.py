@@ -86,9 +86,9 @@ def screening_panel(
 
 
 def usage_order(panel: DataFrame, keys: Keys = ()) -> DataFrame:
-    """Drivers by mean use over everything, most used first."""
-    means = panel.groupBy("driver").agg(F.avg("share").alias("mean_share"))
-    return means.withColumn("rank", F.row_number().over(by().orderBy(F.desc("mean_share"), "driver")))
+    """Drivers by mean use over everything, most used first; per key where keys are given."""
+    means = panel.groupBy(*keys, "driver").agg(F.avg("share").alias("mean_share"))
+    return means.withColumn("rank", F.row_number().over(by(*keys).orderBy(F.desc("mean_share"), "driver")))
 
 
 def agreement_panel(frame: DataFrame, horizon: int = 1, keys: Keys = ()) -> DataFrame:

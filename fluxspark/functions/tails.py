@@ -66,11 +66,6 @@ def binomial_tail(count: int, n: int) -> float:
     return sum(math.comb(n, k) for k in range(max(count, 0), n + 1)) / 2**n
 
 
-def hit_threshold(repeats: int, alpha: float) -> int:
-    """Smallest count whose fair-coin upper tail is at most alpha."""
-    return next((c for c in range(repeats + 1) if binomial_tail(c, repeats) <= alpha), repeats + 1)
-
-
 def kolmogorov_tail(x: float) -> float:
     """Limiting tail of the scaled Kolmogorov distance."""
     if math.isnan(x) or x <= 0:

@@ -23,10 +23,10 @@ def require_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 def key_join(left: DataFrame, right: DataFrame, on: Keys, how: str = "left") -> DataFrame:
     """Equi-join that treats null keys as equal, as grouping does, and keeps the left key columns."""
     renamed = right.select(
-        *[F.col(c).alias(f"__{c}") for c in on], *[c for c in right.columns if c not in on]
+        *[F.col(c).alias(f"__key_{c}") for c in on], *[c for c in right.columns if c not in on]
     )
-    condition = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in on])
-    return left.join(renamed, condition, how).drop(*[f"__{c}" for c in on])
+    condition = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"__key_{c}")) for c in on])
+    return left.join(renamed, condition, how).drop(*[f"__key_{c}" for c in on])
 
 
 def attach(df: DataFrame, stats: DataFrame, keys: Keys = ()) -> DataFrame:

@@ -51,16 +51,12 @@ def paired(df: DataFrame, a: str, b: str) -> DataFrame:
     return df.filter(F.col(a).isNotNull() & F.col(b).isNotNull()).withColumn("difference", F.col(a) - F.col(b))
 
 
-PAIR_SCHEMA = "left string, right string"
-
-
 def pairwise_overlap(df: DataFrame, columns: Sequence[str], keys: Keys = ()) -> DataFrame:
     """Per column pair: slots shared, correlation, identical values, mean difference. One pass."""
     pairs = list(combinations(columns, 2))
     if not pairs:
-        return df.sparkSession.createDataFrame(
-            [], PAIR_SCHEMA + ", n_both long, correlation double, n_identical long, mean_difference double"
-        )
+        none = {"left": "string", "right": "string", "n_both": "bigint", "correlation": "double", "n_identical": "bigint", "mean_difference": "double"}
+        return df.limit(0).select(*keys, *[F.lit(None).cast(t).alias(c) for c, t in none.items()])
     aggs = []
     for i, (a, b) in enumerate(pairs):
         both = F.col(a).isNotNull() & F.col(b).isNotNull()
@@ -86,15 +82,15 @@ def pairwise_overlap(df: DataFrame, columns: Sequence[str], keys: Keys = ()) ->
 
 
 def assert_disjoint(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """The same frame, or an error naming the column pairs that report on one slot."""
-    pairs = list(combinations(columns, 2))
-    if pairs:
-        both = [F.count_if(F.col(a).isNotNull() & F.col(b).isNotNull()).alias(f"p{i}") for i, (a, b) in enumerate(pairs)]
-        found = df.agg(*both).first()
-        clash = [f"{a}/{b} on {n} slots" for (a, b), n in zip(pairs, found) if n]
-        if clash:
-            raise ValueError("columns overlap: " + ", ".join(clash))
-    return df
+    """The same frame, whose first row with two of the columns stops the job that reads it, naming them.
+
+    The guard is part of the plan: it costs no pass of its own, and a job that reads none of the columns
+    doesn't run it.
+    """
+    present = F.array_compact(F.array(*[F.when(F.col(c).isNotNull(), F.lit(c)) for c in columns]))
+    stop = F.raise_error(F.concat(F.lit("columns overlap: "), F.array_join(present, "/")))
+    kinds = dict(df.dtypes)
+    return df.withColumns({c: F.when(F.size(present) > 1, stop.cast(kinds[c])).otherwise(F.col(c)) for c in columns})
 
 
 def provenance_summary(merged: DataFrame, value: str = "value", keys: Keys = ()) -> DataFrame:

@@ -37,8 +37,7 @@ def build_windows(
     on = [*keys, "month"]
     complete = complete_months(covariates, columns, keys).distinct().withColumn("__c", F.lit(True))
     seen = observed.select(*on).distinct()
-    seen = seen.withColumn("__o", F.lit(True)).withColumn("__first", F.min("month").over(by(*keys)))
-    flags = complete.join(seen.drop("__first"), on, "full_outer")
+    flags = complete.join(seen.withColumn("__o", F.lit(True)), on, "full_outer")
     first = seen.groupBy(*keys).agg(F.min("month").alias("__first"))
     flags = attach(flags, first, keys)
     c, o = F.coalesce("__c", F.lit(False)), F.coalesce("__o", F.lit(False))

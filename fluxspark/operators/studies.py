@@ -169,10 +169,6 @@ def _split_distances(rows: DataFrame, columns: Sequence[str], xk: Keys) -> DataF
     )
 
 
-def summarize(experiments: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    return experiments if columns is None else experiments.select(*columns)
-
-
 def coefficient_path(
     frame: DataFrame,
     weighted: bool = False,

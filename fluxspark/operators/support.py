@@ -11,7 +11,6 @@ from fluxspark.functions import columns as C
 from fluxspark.operators.common import Keys, attach, key_join
 from fluxspark.operators.months import month_islands
 
-SALTS = 32
 
 
 def _roles(
@@ -101,10 +100,13 @@ def nearest_distance(
     id_column: str = "month",
     keys: Keys = (),
     tile_rows: int = 4096,
+    strict: bool = True,
 ) -> DataFrame:
     """Distance of each point to its nearest reference row, on the reference's mean and deviation.
 
-    Columns that do not vary in the reference are left out; if none varies the job stops. Reference rows
+    Columns that do not vary in the reference are left out; if none varies the job stops, or, unless
+    ``strict``, the distances of that key are null. So they are for a key without reference rows. The work is points
+    times reference rows, meant for a reference of months. Reference rows
     travel in tiles of bounded size (a monthly reference is one tile). Every point scans its tiles'
     arrays in place and keeps the least distance of each, so no pair of rows is ever written out.
     """
@@ -118,10 +120,10 @@ def nearest_distance(
     )
     nothing = F.raise_error(F.lit("no column varies over the reference")).cast("array<double>")
     varies = F.exists("__k", lambda k: k.isNotNull())
-    stats = stats.withColumn("__k", F.when(varies, F.col("__k")).otherwise(nothing))
+    stats = stats.withColumn("__k", F.when(varies, F.col("__k")).otherwise(nothing if strict else F.lit(None)))
     z = F.array(
         *[
-            (F.col(c) - F.col("__c")[i]) * F.coalesce(F.col("__k")[i], F.lit(0.0))
+            (F.col(c) - F.col("__c")[i]) * F.when(F.col("__k").isNotNull(), F.coalesce(F.col("__k")[i], F.lit(0.0)))
             for i, c in enumerate(columns)
         ]
     )
@@ -134,12 +136,13 @@ def nearest_distance(
     )
     placed = attach(pts, stats, keys).select(*keys, id_column, z.alias("__z"))
     if keys:
-        met = key_join(placed, tiles, keys, "inner")
+        met = key_join(placed, tiles, keys, "left")
     else:
         # One reference for all points: its tiles are copied to every salt, so the points stay spread out.
-        salt = F.pmod(F.xxhash64(id_column), F.lit(SALTS)).cast("int")
-        copies = tiles.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        met = placed.withColumn("__salt", salt).join(copies, "__salt").drop("__salt")
+        salts = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        salt = F.pmod(F.xxhash64(id_column), F.lit(salts)).cast("int")
+        copies = tiles.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        met = placed.withColumn("__salt", salt).join(copies, "__salt", "left").drop("__salt")
     square = lambda r: sum(
         ((F.col("__z")[i] - r["z"][i]) * (F.col("__z")[i] - r["z"][i]) for i in range(1, len(columns))),
         (F.col("__z")[0] - r["z"][0]) * (F.col("__z")[0] - r["z"][0]),

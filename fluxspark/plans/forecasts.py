@@ -13,7 +13,7 @@ from fluxspark.forecast import panels as P
 from fluxspark.forecast import rolling as L
 from fluxspark.forecast import scoring as S
 from fluxspark.operators import months as N
-from fluxspark.operators.common import checkpointed, key_join
+from fluxspark.operators.common import attach, checkpointed, key_join
 from fluxspark.operators.reshape import stack_labelled
 from fluxspark.plans import bindings as B
 from fluxspark.plans.bindings import KEYS, ON, query
@@ -134,10 +134,11 @@ QUERIES["boruta_select"] = query(
 
 
 def _kept(spark, folds, names):
+    """The screening of the last origin, with its origin."""
     last = folds.agg(F.max("origin").alias("o"))
-    train = M.scaled_folds(folds.filter(~F.col("is_test")).join(last, F.col("origin") == F.col("o")), names)
-    kept = M.boruta_select(train, names, n_trees=20, depth=5, group=KEYS)
-    return last.select(F.col("o").alias("origin"), F.explode(F.array(*[F.lit(c) for c in kept])).alias("predictor"))
+    train = M.scaled_folds(folds.filter(~F.col("is_test")).join(last, F.col("origin") == F.col("o")), names, KEYS)
+    kept = M.boruta_select(train, names, n_trees=20, depth=5, group=KEYS).filter("kept").select("predictor")
+    return attach(kept, last.select(F.col("o").alias("origin"))).select("origin", "predictor")
 
 
 def model_frame(s, d):

@@ -11,7 +11,11 @@ from pyspark.sql.types import ArrayType, DateType
 
 def write_table(df: DataFrame, path: str, partition_by: Sequence[str] = (), months: Sequence[str] = ("month",)) -> dict[str, str]:
     """The same rows as Parquet and as CSV under one folder. CSV carries months as yyyy-MM text."""
-    text = df.select(
+    out = {"parquet": f"{path}/parquet", "csv": f"{path}/csv"}
+    df.write.mode("overwrite").partitionBy(*partition_by).parquet(out["parquet"])
+    # The text is made from what was just written, so the frame is computed once.
+    stored = df.sparkSession.read.schema(df.schema).parquet(out["parquet"])
+    text = stored.select(
         *[
             F.date_format(f.name, "yyyy-MM").alias(f.name)
             if isinstance(f.dataType, DateType) and f.name in months
@@ -21,8 +25,6 @@ def write_table(df: DataFrame, path: str, partition_by: Sequence[str] = (), mont
             for f in df.schema.fields
         ]
     )
-    out = {"parquet": f"{path}/parquet", "csv": f"{path}/csv"}
-    df.write.mode("overwrite").partitionBy(*partition_by).parquet(out["parquet"])
     text.write.mode("overwrite").partitionBy(*partition_by).option("header", True).csv(out["csv"])
     return out
 

@@ -171,10 +171,11 @@ def test_tied_band_edges_stop(spark):
         T.bias_by_band(df, "r", "c").collect()
 
 
-def test_tails_against_known_values():
+def test_tails_against_known_values(spark):
     assert math.isclose(tails.t_two_sided(2.228, 10), 0.05, abs_tol=2e-4)
     assert math.isclose(tails.t_critical(0.05, 10), 2.2281, abs_tol=1e-3)
-    assert tails.hit_threshold(20, 0.05) == 15
+    tail = {k: spark.range(1).select(FM.coin_tail(F.lit(k), F.lit(20))).first()[0] for k in (0, 14, 15, 20)}
+    assert tail[0] == 1.0 and tail[15] <= 0.05 < tail[14] and math.isclose(tail[20], 2.0**-20)
     assert math.isclose(tails.kolmogorov_tail(1.36), 0.0494, abs_tol=1e-3)
 
 
@@ -273,7 +274,9 @@ def test_screening_keeps_signal_and_drops_noise(spark):
         rows.append((month(i), [season, real, noise], 3 * real + rnd.gauss(0, 0.1)))
     df = spark.createDataFrame(rows, "month date, x array<double>, y double")
     kept = FM.boruta_select(df, ["sin_year", "real", "noise"], always_keep=["sin_year"], repeats=6, n_trees=10, depth=4, alpha=0.05)
-    assert kept == ["sin_year", "real"]
+    assert {r.predictor: r.kept for r in kept.collect()} == {"sin_year": True, "real": True, "noise": False}
+    few = FM.boruta_select(df.limit(5), ["sin_year", "real", "noise"], always_keep=["sin_year"])
+    assert few.filter("kept").count() == 3
 
 
 def test_a_method_that_misses_a_month_leaves_it_unshared(spark):
@@ -316,3 +319,22 @@ def test_folding_solver_agrees_on_awkward_models(spark):
         assert math.isclose(cost(whole[g].beta), cost(split[g].beta), rel_tol=1e-9), g
     assert np.allclose(whole["flag"].beta, split["flag"].beta, atol=1e-8)
     assert lad.fit_arrays(df.limit(0), ["g"], bounded=False).count() == 0
+
+
+def test_a_key_without_reference_keeps_its_points(spark):
+    points = spark.createDataFrame([(k, month(i), float(i)) for k in "ab" for i in range(4)], "k string, month date, v double")
+    out = P.nearest_distance(points, points.filter("k = 'a'"), ["v"], keys=["k"]).collect()
+    assert len(out) == 8 and all((r.distance is None) == (r.k == "b") for r in out)
+    flat = points.filter("k = 'a'").withColumn("v", F.lit(1.0))
+    assert {r.distance for r in P.nearest_distance(points.filter("k = 'a'"), flat, ["v"], keys=["k"], strict=False).collect()} == {None}
+
+
+def test_trees_forecast_series_without_a_scale(spark):
+    """An exactly periodic series has no scaled-error denominator and still gets its forecasts."""
+    rnd = random.Random(4)
+    rows = [(k, month(i), math.sin(i * math.pi / 6) + (rnd.gauss(0, 0.3) if k == "noisy" else 0.0)) for k in ("flat", "noisy") for i in range(72)]
+    grid = spark.createDataFrame(rows, "site string, month date, value double")
+    folds = fold_rows(grid, 1, keys=["site"])
+    out = FM.pooled_forecasts(folds, design_names(1), {"forest": lambda: FM.forest(3, 3)}, refit_every=30, keys=["site"])
+    assert {r.site for r in out.collect()} == {"flat", "noisy"} and out.filter("forecast is null").count() == 0
+    assert FM.pooled_forecasts(folds.limit(0), design_names(1), {"forest": lambda: FM.forest(3, 3)}, keys=["site"]) is None

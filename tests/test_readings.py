@@ -42,8 +42,8 @@ def test_merge_errors(spark):
         M.merge_precedence(df, [])
     with pytest.raises(ValueError, match="zz"):
         require_columns(df, ["zz"])
-    with pytest.raises(ValueError, match="a/b on 1"):
-        M.assert_disjoint(df, ["a", "b"])
+    with pytest.raises(PySparkException, match="columns overlap: a/b"):
+        M.assert_disjoint(df, ["a", "b"]).select("b").collect()
     assert M.pairwise_overlap(df, ["a"]).columns[:2] == ["left", "right"]
 
 

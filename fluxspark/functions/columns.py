@@ -108,6 +108,7 @@ def q10_from_slope(c) -> Column:
 
 
 def slope_from_q10(c) -> Column:
+    """Null where the ratio is not positive."""
     return F.ln(col(c)) / 10.0
 
 

@@ -64,7 +64,7 @@ QUERIES["log_target"] = query(
     "SELECT site, month, ln(flux_mean) AS y, flux_se / flux_mean AS se_log, CASE WHEN flux_se > 0 THEN 1 / (flux_se * flux_se) END AS weight FROM flux")
 QUERIES["q10_and_slope"] = query(
     lambda s, d: B.covariates(s, d).select(*ON, C.q10_from_slope(F.col("wte_m") / 40).alias("q10"), C.slope_from_q10("wte_m").alias("slope")),
-    "cov", "site month *q10 *slope", "SELECT site, month, exp(wte_m / 40 * 10) AS q10, ln(wte_m) / 10 AS slope FROM cov")
+    "cov", "site month *q10 *slope", "SELECT site, month, exp(wte_m / 40 * 10) AS q10, CASE WHEN wte_m > 0 THEN ln(wte_m) / 10 END AS slope FROM cov")
 QUERIES["seasonal_terms"] = query(
     lambda s, d: B.series(s, d).select(*ON, *[e.alias(n) for n, e in C.seasonal_terms("month").items()]),
     "series", "site month *sin_year *cos_year *year_fraction",
@@ -77,10 +77,10 @@ QUERIES["bias_table"] = query(
     lambda s, d: T.bias_table(bias_rows(s, d)), "cov", "site month *bias_log *predicted_over_observed *prediction_error_pct direction",
     f"""SELECT site, month, b AS bias_log, exp(-b) AS predicted_over_observed, 100 * (exp(-b) - 1) AS prediction_error_pct, {DIRECTION('b')} AS direction FROM {BIAS}""")
 QUERIES["combine_additively"] = query(
-    lambda s, d: T.combine_additively(bias_rows(s, d).filter("month(month) = 3"), keys=KEYS), "cov",
+    lambda s, d: T.combine_additively(bias_rows(s, d), keys=KEYS), "cov",
     "site *net_bias_log *predicted_over_observed *prediction_error_pct direction *cancellation_share",
     f"""SELECT site, n AS net_bias_log, exp(-n) AS predicted_over_observed, 100 * (exp(-n) - 1) AS prediction_error_pct, {DIRECTION('n')} AS direction,
-        1 - abs(n) / a AS cancellation_share FROM (SELECT site, sum(b) AS n, sum(abs(b)) AS a FROM {BIAS} WHERE month(month) = 3 GROUP BY site)""")
+        1 - abs(n) / a AS cancellation_share FROM (SELECT site, sum(b) AS n, sum(abs(b)) AS a FROM {BIAS} GROUP BY site)""")
 QUERIES["rising_flag"] = query(
     lambda s, d: key_join(N.rising_flag(B.covariates(s, d), "soil_temp_f", KEYS).select(*ON, "rising"), fit(s, d), ON, "left_semi"),
     "windows", "site month rising",

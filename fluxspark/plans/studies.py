@@ -78,7 +78,7 @@ QUERIES["qq_table"] = query(
         FROM (SELECT site, residual, row_number() OVER (PARTITION BY site ORDER BY residual) AS k, (row_number() OVER (PARTITION BY site ORDER BY residual) - 0.5) / count(*) OVER (PARTITION BY site) AS p FROM {ROWS})
         JOIN (SELECT site, laplace_scale AS b FROM {SUMMARY}) USING (site) JOIN (SELECT site, quantile_cont(residual, 0.5) AS med FROM {ROWS} GROUP BY 1) USING (site)""")
 QUERIES["qq_table_gaussian"] = query(lambda s, d: T.qq_table(res(s, d), family="gaussian", keys=KEYS))
-QUERIES["simultaneous_band"] = query(lambda s, d: T.simultaneous_band(res(s, d), replicates=1000, keys=KEYS))
+QUERIES["simultaneous_band"] = query(lambda s, d: T.simultaneous_band(res(s, d), keys=KEYS))
 QUERIES["scale_by_weight"] = query(
     lambda s, d: T.scale_by_weight(res(s, d).select(*ON, "residual"), fit_rows(s, d).select(*ON, "weight"), keys=KEYS), "windows", "site month *residual",
     f"SELECT site, month, residual / (flux_se * flux_se) AS residual FROM {ROWS} JOIN flux USING (site, month)")
@@ -96,7 +96,7 @@ QUERIES["fit_lad_through_origin"] = query(
 QUERIES["run_experiments"] = query(
     lambda s, d: D.run_experiments(fit_rows(s, d), splits(s, d), COVARIATES, keys=KEYS))
 QUERIES["coefficient_path"] = query(
-    lambda s, d: D.coefficient_path(fit_rows(s, d), weighted=True, n_bootstrap=100, keys=KEYS))
+    lambda s, d: D.coefficient_path(fit_rows(s, d), weighted=True, keys=KEYS))
 
 
 def paths(s, d):

@@ -143,25 +143,33 @@ def signatures(docs: DataFrame) -> DataFrame:
 def candidate_links(classes: DataFrame) -> DataFrame:
     """(a, b) links that connect every pair of classes which shares a band and outlives the pruning.
 
-    Members of a band's bucket meet in units of one or two blocks; buckets with the same members are one unit. A unit
-    gives a link from each member to the least member it hangs together with, so no bucket emits its pairs.
+    Members of a band's bucket meet in units of one or two blocks; buckets with the same members are one unit. A unit of
+    one block gives a link from each member to the least member it hangs together with; a unit of two blocks
+    only joins what hangs together inside either. So a bucket emits about a link a member, not its pairs.
     """
     band = lambda k: F.xxhash64(k, F.substring(F.col("sig"), k * (ROWS * 4) + 1, F.lit(ROWS * 4)))
     banded = classes.select("cid", F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), band)).alias("bucket"))
     shared = banded.groupBy("bucket").agg(F.count("*").alias("m")).filter("m > 1").select("bucket", F.ceil(F.col("m") / BLOCK).cast("int").alias("parts"))
     members = banded.join(shared, "bucket").withColumn("part", F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int"))
     blocks = members.groupBy("bucket", "parts", "part").agg(F.array_sort(F.collect_list("cid")).alias("ids"))
-    alone = blocks.filter("parts = 1").select("ids").distinct().select(F.xxhash64("ids").alias("unit"), F.explode("ids").alias("cid"))
+    alone = blocks.filter("parts = 1").select("ids").distinct().select(F.xxhash64("ids").alias("unit"), F.lit(0).alias("side"), F.explode("ids").alias("cid"))
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
     met = blocks.filter("parts > 1").select("bucket", "part", "ids", other)
-    met = met.select(F.xxhash64("bucket", F.least("part", "other"), F.greatest("part", "other")).alias("unit"), F.explode("ids").alias("cid"))
+    met = met.select(
+        F.xxhash64("bucket", F.least("part", "other"), F.greatest("part", "other")).alias("unit"), (F.col("part") > F.col("other")).cast("int").alias("side"), F.explode("ids").alias("cid")
+    )
     units = alone.unionByName(met).join(classes.select("cid", "n", "sig"), "cid")
 
     def survivors(group: pd.DataFrame) -> pd.DataFrame:
         group = group.drop_duplicates("cid").sort_values("cid", ignore_index=True)
         sig = np.frombuffer(b"".join(group["sig"]), dtype=np.uint32).reshape(len(group), HASHES)
-        up = roots(len(group), *prune(sig, group["n"].to_numpy()))
-        linked = np.flatnonzero(up != np.arange(len(up)))
+        i, j = prune(sig, group["n"].to_numpy())
+        up, side = roots(len(group), i, j), group["side"].to_numpy()
+        linked = up != np.arange(len(up))
+        if side.any():  # links inside a block come from its own unit
+            same = side[i] == side[j]
+            linked &= roots(len(group), i[same], j[same]) == np.arange(len(up))
+        linked = np.flatnonzero(linked)
         cid = group["cid"].to_numpy()
         return pd.DataFrame({"a": cid[linked], "b": cid[up[linked]]})
 
@@ -231,7 +239,8 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
     texts = docs.select("doc_id", F.md5("text").alias("tkey"), "text")
     asked = wanted.select("cid", "tkey", F.col("rep").alias("__rep"))
-    one = texts.join(asked, "tkey").filter(F.col("doc_id").eqNullSafe(F.col("__rep"))).select("cid", "text")
+    # The asked for are a share of all texts, so this is a shuffle at any size.
+    one = texts.hint("merge").join(asked, "tkey").filter(F.col("doc_id").eqNullSafe(F.col("__rep"))).select("cid", "text")
     return one.mapInArrow(sets, "cid bigint, shingles binary").groupBy("cid").agg(F.first("shingles").alias("shingles"))
 
 

@@ -73,12 +73,14 @@ def write_tree(conversations: DataFrame, folder: str) -> None:
     first of them. Trees of any size are cut anywhere by the sort and by the running total of lengths.
     """
     convs = written(paths(conversations).withColumn("leaf", F.get("turns", F.size("turns") - 1)["node"]), "chat-paths")
-    distinct = convs.groupBy("leaf").agg(F.first("turns").alias("turns")).withColumn("path", F.transform("turns", lambda x: x["node"]))
+    # The tree is laid out without the texts, which come back to their nodes at the end.
+    slim = F.transform("turns", lambda x: F.struct(x["node"].alias("node"), x["pos"].alias("pos"), F.length(x["piece"]).cast("bigint").alias("length")))
+    distinct = convs.select("leaf", slim.alias("turns")).groupBy("leaf").agg(F.first("turns").alias("turns")).withColumn("path", F.transform("turns", lambda x: x["node"]))
     sorted_ = distinct.repartitionByRange("path").sortWithinPartitions("path")
     ranked = written(sorted_.select("leaf", "turns", F.monotonically_increasing_id().alias("rank")), "chat-ranked")
     turns = ranked.select("rank", "leaf", F.posexplode("turns").alias("k", "t")).select("rank", "leaf", "k", "t.*")
-    owner = turns.groupBy("node").agg(F.min(F.struct("rank", "k")).alias("o"), F.first(F.struct("piece", "pos", "loss_from", "loss_to")).alias("t"))
-    nodes = owner.select("node", "o.rank", "o.k", "t.*").withColumn("length", F.length("piece").cast("bigint")).withColumn("part", F.shiftright("rank", 33))
+    owner = turns.groupBy("node").agg(F.min(F.struct("rank", "k")).alias("o"), F.first(F.struct("pos", "length")).alias("t"))
+    nodes = owner.select("node", "o.rank", "o.k", "t.*").withColumn("part", F.shiftright("rank", 33))
     placed = written(running_total(nodes, "length", ["part"], ["rank", "k"]).withColumn("start", F.col("__cum") - F.col("length")).drop("__cum"), "chat-nodes")
     where = turns.select("rank", "leaf", "k", "node").join(placed.select("node", "start", "length"), "node")
     lines = where.groupBy("rank", "leaf").agg(F.array_sort(F.collect_list(F.struct("k", "start", "length"))).alias("nodes"))
@@ -100,7 +102,9 @@ def write_tree(conversations: DataFrame, folder: str) -> None:
         return F.struct((a["left"] - (end - x["start"])).alias("left"), F.when(a["left"] > 0, more).otherwise(a["out"]).alias("out"))
 
     clip = F.aggregate("seen", F.struct(F.col("pos").alias("left"), F.array().cast(kind).alias("out")), before, lambda a: a["out"])
-    stream = placed.join(lines.select("rank", "seen"), "rank").select("start", "piece", "pos", "loss_from", "loss_to", clip.alias("seen"))
+    texts = convs.select(F.explode("turns").alias("t")).groupBy("t.node").agg(F.first(F.struct("t.piece", "t.loss_from", "t.loss_to")).alias("x"))
+    stream = placed.join(lines.select("rank", "seen"), "rank").select("node", "start", "pos", clip.alias("seen")).join(texts, "node")
+    stream = stream.select("start", "x.piece", "pos", "x.loss_from", "x.loss_to", "seen")
     stream.repartitionByRange("start").sortWithinPartitions("start").write.parquet(f"{folder}/stream")
     convs.select("conv_id", "leaf").join(lines.select("leaf", "starts", "seen"), "leaf").select("conv_id", "starts", "seen").write.parquet(f"{folder}/conversations")
 

@@ -179,11 +179,12 @@ class Encoder:
         for p in new & self.before.keys():
             self.seen[p] = self.before[p]
         new -= self.seen.keys()
-        parts = {p: self.atoms(p) for p in new}
-        single = {a for ps in parts.values() for a in ps}
+        whole = {p for p in new if p[-1:].isalnum() and "\n" not in p}
+        parts = {p: self.atoms(p) for p in new - whole}
+        single = whole.union(*parts.values()) - self.seen.keys()
         for p in single & self.before.keys():
-            self.seen[p] = self.before[p]
-        fresh = list(single - self.seen.keys())
+            self.seen[p] = self.before[p]  # parts of new pieces
+        fresh = list(single - self.before.keys())
         for piece, e in zip(fresh, self.library.encode_batch_fast(fresh, add_special_tokens=False), strict=True):
             self.seen[piece] = array("H", e.ids).tobytes()
         for p, ps in parts.items():

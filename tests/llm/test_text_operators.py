@@ -204,6 +204,17 @@ def test_pii_base_spans(spark):
     assert pii.find_spans(docs.limit(0)).count() == 0
 
 
+def test_pii_query(spark):
+    texts = dict(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect())
+    rows = queries.op6_pii(spark, SF).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        base = brute_pii(texts[r.doc_id])
+        kinds = [s.split(":")[0] for s in base.split(",") if s]
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [kinds.count(k) for k in pii.KINDS]
+        assert r.base_sha256 == hashlib.sha256(base.encode()).hexdigest() and set(base.split(",")) <= set(r.spans.split(","))
+
+
 def test_pii_learns_contexts_and_leaves_others(spark):
     seeds = [f"please write mail me: user{i}@site{i}.org now" for i in range(20)]
     unseen = ["please write mail me: user_at_site7 now", "the year was 12345 then", "please write mail me: nothing now"]

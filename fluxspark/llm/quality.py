@@ -1,28 +1,34 @@
-"""Quality rules: text measures, and a hashed n-gram log-likelihood ratio of trusted text against the raw corpus."""
+"""Quality rules: text measures, and an n-gram log-likelihood ratio of trusted text against the raw corpus."""
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Hash buckets of lower-case words and word pairs.
-BITS = 16
-#: Added to each bucket's count in both multinomials.
+#: N-grams dealt to a range of hashes: 2**BITS, so ranges grow in number with the corpus. A range has 2**32 hashes.
+BITS = 22
+#: Ranges at least.
+LEAST_RANGES = 64
+#: Added to each n-gram's count in both multinomials.
 SMOOTHING = 3.0
 #: Mean log-likelihood ratio in nats per n-gram under which a document goes.
 LEAST_RATIO = -0.3
 #: Labelled good documents that the trusted multinomial is fitted on, at most.
 TRUSTED_DOCS = 16_384
 SYMBOLS = "#*$%&|<>"
-_WORD = re.compile(r"[^ \t-\r]+")
+#: A word for both Python and Spark.
+WORD = r"[^ \t-\r]+"
+_WORD = re.compile(WORD)
 _BLANK = " \t\n\v\f\r"
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93))
 
@@ -34,17 +40,19 @@ class _Hashes(dict):
         if len(self) > 300_000:
             self.clear()
         low = word.lower().encode("utf-8", "surrogatepass")
-        self[word] = h = zlib.crc32(low) << 32 | zlib.crc32(low, 0x5BD1E995)
+        self[word] = h = int.from_bytes(hashlib.blake2b(low, digest_size=8).digest(), "little")
         return h
 
 
-def gram_buckets(words: list[str], hashes: dict[str, int]) -> np.ndarray:
-    """Buckets of all words and of all pairs of neighbours."""
+def gram_hashes(words: list[str], hashes: dict[str, int]) -> np.ndarray:
+    """64-bit hashes of all words and of all pairs of neighbours."""
     h = np.fromiter(map(hashes.__getitem__, words), dtype=np.uint64, count=len(words))
     pairs = h[:-1] * _M1 + (h[1:] ^ _M3) * _M2
     mixed = np.concatenate([h, pairs])
     mixed ^= mixed >> np.uint64(29)
-    return ((mixed * _M1) >> np.uint64(64 - BITS)).astype(np.int64)
+    mixed *= _M1
+    mixed ^= mixed >> np.uint64(32)
+    return mixed * _M2
 
 
 def repeat_words(words: list[str]) -> int:
@@ -71,47 +79,135 @@ def measures(text: str, words: list[str]) -> tuple[int, int, int, int, int]:
     return len(words), sum(map(len, words)), sum(map(text.count, SYMBOLS)), dup, repeat_words(words)
 
 
-def gram_counts(docs: DataFrame) -> DataFrame:
-    """bucket, raw, target: n-gram counts over every document and over the trusted ones (columns text, trusted)."""
+def log_ratios(target: np.ndarray, raw: np.ndarray, own: np.ndarray, trusted: float, rest: np.ndarray | float) -> np.ndarray:
+    """log(p_target / p_raw) of n-grams with these counts, a text's own counts left out of the raw corpus.
+
+    The target's smoothing is the raw one scaled to its size, so n-grams seen nowhere else count 0.
+    """
+    return np.log(target + SMOOTHING * trusted / rest) - np.log(np.maximum(raw - own, 0) + SMOOTHING) - np.log(trusted / rest)
+
+
+def mean_ratio(buckets: np.ndarray, both: np.ndarray, sums: np.ndarray) -> float:
+    """Mean of log_ratios over one text's n-grams, target and raw counts given as an array by n-gram."""
+    if not len(buckets) or not sums[0]:
+        return 0.0
+    b, own = np.unique(buckets, return_counts=True)
+    rest = max(sums[1] - len(buckets), 1.0)
+    return float(own @ log_ratios(both[0][b], both[1][b], own, sums[0], rest) / len(buckets))
+
+
+def packed_numbers(x: np.ndarray) -> bytes:
+    """Numbers of four bytes, compressed by byte position."""
+    return len(x).to_bytes(4, "little") + pa.compress(x.view(np.uint8).reshape(-1, 4).T.tobytes(), "zstd", asbytes=True)
+
+
+def numbers(packs: pa.ChunkedArray, kind: str = "<u4") -> list[np.ndarray]:
+    """The arrays of packed_numbers."""
+    out = []
+    for p in packs.to_pylist():
+        n = int.from_bytes(p[:4], "little")
+        out.append(np.frombuffer(pa.decompress(p[4:], 4 * n, "zstd"), np.uint8).reshape(4, n).T.copy().view(kind).ravel())
+    return out
+
+
+def by_rank(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, repeated ones first and by falling count; the place of each key among them from 1, 0 if not repeated."""
+    u, at, times = np.unique(keys, return_inverse=True, return_counts=True)
+    many = np.flatnonzero(times > 1)
+    many = many[np.argsort(-times[many], kind="stable")]
+    place = np.zeros(len(u), "<u4")
+    place[many] = np.arange(1, len(many) + 1)
+    places = place[at]
+    return np.concatenate([u[many], keys[places == 0]]), places
+
+
+def positions(places: np.ndarray, distinct: int) -> np.ndarray:
+    """Each key's position among the distinct keys of by_rank."""
+    out, once = places.astype(np.int64) - 1, np.flatnonzero(places == 0)
+    out[once] = np.arange(distinct - len(once), distinct)
+    return out
+
+
+def gram_blocks(docs: DataFrame, ranges: int) -> DataFrame:
+    """The n-grams of texts (columns text, digest, trusted), packed in blocks of texts: a row per block and range of hashes.
+
+    keys, places, own: hashes in the range (see by_rank) and counts in a text. docs, lens, grams, trusted: the block's texts that have
+    some, with how many, all n-grams, and the mark. One row of each block has the digests and n-grams of all its texts.
+    """
+
+    def packed(held: list, block: int) -> Iterator[pa.RecordBatch]:
+        found, own = np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held]).astype("<u4")
+        grams, marks = np.array([x[2] for x in held], "<u4"), np.array([x[3] for x in held], "<u4")
+        doc = np.repeat(np.arange(len(held), dtype="<u4"), [len(x[0]) for x in held])
+        at = ((found & np.uint64(0xFFFFFFFF)) * np.uint64(ranges) >> np.uint64(32)).astype(np.uint16 if ranges <= 1 << 16 else np.uint32)
+        order = np.argsort(at, kind="stable")
+        keys, own, doc, ends = (found >> np.uint64(32)).astype("<u4")[order], own[order], doc[order], np.bincount(at, minlength=ranges).cumsum()
+        first = 0
+        for r in range(ranges):
+            cut, first, whole = slice(first, ends[r]), ends[r], r == block % ranges
+            if cut.start == cut.stop and not whole:
+                continue
+            d, n = np.unique(doc[cut], return_counts=True)
+            packs = [packed_numbers(x) for x in (*by_rank(keys[cut]), own[cut], d, n.astype("<u4"), grams[d], marks[d])]
+            packs += [b"".join(x[4] for x in held), packed_numbers(grams)] if whole else [None, None]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([r], pa.int32()), pa.array([block], pa.int64()), *[pa.array([x], pa.binary()) for x in packs]], names=["range", "block", *BLOCK]
+            )
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        both, hashes = np.zeros((2, 1 << BITS), dtype=np.int64), _Hashes()
+        hashes, held, size, block = _Hashes(), [], 0, TaskContext.get().partitionId() << 32
         for batch in batches:
-            for text, trusted in zip(batch["text"], batch["trusted"], strict=True):
-                words = _WORD.findall(text.as_py() or "")
-                if words:
-                    b, n = np.unique(gram_buckets(words, hashes), return_counts=True)
-                    both[0][b] += n
-                    if trusted.as_py():
-                        both[1][b] += n
-        full = np.flatnonzero(both[0])
-        yield pa.RecordBatch.from_arrays([pa.array(full), pa.array(both[0][full]), pa.array(both[1][full])], names=["bucket", "raw", "target"])
-
-    return docs.select("text", "trusted").mapInArrow(count, "bucket bigint, raw bigint, target bigint").groupBy("bucket").agg(
-        F.sum("raw").alias("raw"), F.sum("target").alias("target")
-    )
+            for text, digest, trusted in zip(batch["text"], batch["digest"], batch["trusted"], strict=True):
+                if words := _WORD.findall(text.as_py() or ""):
+                    found, own = np.unique(gram_hashes(words, hashes), return_counts=True)
+                    held.append((found, own, 2 * len(words) - 1, trusted.as_py(), digest.as_py()))
+                    size += len(found)
+                    if size >> BITS:
+                        yield from packed(held, block)
+                        held, size, block = [], 0, block + 1
+        if held:
+            yield from packed(held, block)
 
+    return docs.select("text", "digest", "trusted").mapInArrow(count, "range int, block bigint, " + ", ".join(f"{c} binary" for c in BLOCK))
 
-def gram_table(counts: DataFrame) -> np.ndarray:
-    """Target and raw counts by bucket; at most 2**BITS rows reach the driver."""
-    both = np.zeros((2, 1 << BITS))
-    for row in counts.collect():
-        both[:, row["bucket"]] = row["target"], row["raw"]
-    return both
 
+BLOCK = ["keys", "places", "own", "docs", "lens", "grams", "trusted", "digests", "totals"]
 
-def mean_ratio(buckets: np.ndarray, both: np.ndarray, sums: np.ndarray) -> float:
-    """Mean of log(p_target / p_raw) over a text's n-grams, its own counts left out of the raw corpus.
 
-    The target's smoothing is the raw one scaled to its size, so n-grams seen nowhere else count 0.
+def text_ratios(docs: DataFrame) -> DataFrame | None:
+    """digest, ratio of every text with words (columns text, digest, trusted); none if no trusted text has words.
+
+    Counts are summed by n-gram within a range of hashes, next to the texts that have them; sums of a text's
+    ratios over ranges follow. Nothing is broadcast or collected but the two totals.
     """
-    if not len(buckets) or not sums[0]:
-        return 0.0
-    b, own = np.unique(buckets, return_counts=True)
-    target, raw = both[0][b], np.maximum(both[1][b] - own, 0)
-    rest = max(sums[1] - len(buckets), 1.0)
-    logs = np.log(target + SMOOTHING * sums[0] / rest) - np.log(raw + SMOOTHING)
-    return float(own @ logs / len(buckets) - math.log(sums[0] / rest))
+    grams = F.greatest(2 * F.regexp_count("text", F.lit(WORD)) - 1, F.lit(0)).cast("bigint")
+    raw, trusted = (float(x or 0) for x in docs.agg(F.sum(grams), F.sum(F.when(F.col("trusted"), grams))).first())
+    if not trusted:
+        return None
+
+    def add_range(rows: pa.Table) -> pa.Table:
+        keys, places, own, docs, lens, n, marks = (numbers(rows[c]) for c in BLOCK[:7])
+        starts = np.cumsum([0, *map(len, keys)])
+        _, same = np.unique(np.concatenate(keys), return_inverse=True)
+        gram = np.concatenate([same[k + positions(p, len(x))] for k, p, x in zip(starts, places, keys, strict=False)])
+        own, lens, n, marks = map(np.concatenate, (own, lens, n, marks))
+        text = np.repeat(np.arange(len(lens)), lens)
+        all_own, good = np.bincount(gram, own), np.bincount(gram, own * marks[text])
+        logs = log_ratios(good[gram], all_own[gram], own.astype(float), trusted, np.maximum(raw - n, 1.0)[text])
+        parts = np.split(np.bincount(text, own * logs, len(lens)).astype("<f4"), np.cumsum([*map(len, docs)])[:-1])
+        packs = pa.array([packed_numbers(x) for x in parts], pa.binary())
+        return pa.table([rows["block"], rows["docs"], packs, rows["digests"], rows["totals"]], names=["block", "docs", "parts", "digests", "totals"])
+
+    def add_block(rows: pa.Table) -> pa.Table:
+        whole = rows.filter(pc.is_valid(rows["digests"]))
+        digests, n = whole["digests"][0].as_py(), numbers(whole["totals"])[0]
+        sums = np.bincount(np.concatenate(numbers(rows["docs"])), np.concatenate(numbers(rows["parts"], "<f4")), len(n))
+        return pa.table([pa.array([digests[i : i + 16] for i in range(0, len(digests), 16)], pa.binary()), pa.array(np.round(sums / n, 6))], names=["digest", "ratio"])
+
+    blocks = gram_blocks(docs, max(LEAST_RANGES, math.ceil(raw / (1 << BITS))))
+    parts = blocks.groupBy("range").applyInArrow(add_range, "block bigint, docs binary, parts binary, digests binary, totals binary")
+    found = parts.groupBy("block").applyInArrow(add_block, "digest binary, ratio double")
+    return found.groupBy("digest").agg(F.max("ratio").alias("ratio"))
 
 
 def trusted_marks(docs: DataFrame, labels: DataFrame, most: int = TRUSTED_DOCS) -> DataFrame:
@@ -128,43 +224,49 @@ def trusted_marks(docs: DataFrame, labels: DataFrame, most: int = TRUSTED_DOCS)
     return joined.select("doc_id", "text", F.coalesce("trusted", F.lit(False)).alias("trusted"))
 
 
-def judged(docs: DataFrame, both: np.ndarray, least: float = LEAST_RATIO) -> DataFrame:
+def judged(docs: DataFrame, ratios: DataFrame | None, least: float = LEAST_RATIO) -> DataFrame:
     """The documents with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, ratio, base_failed and kept.
 
-    A column of the documents that has one of these names is replaced. Null text: no words, so base_failed.
+    ratios: digest (MD5 of the text) and ratio; texts that it lacks have ratio 0. A column of the documents that has
+    one of these names is replaced. Null text: no words, so base_failed.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(both)  # twice 2**BITS doubles, one megabyte
-    sums = both.sum(axis=1)
-    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "ratio"]
+    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
     def measure(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        hashes = _Hashes()
         for texts in batches:
             rows = []
             for t in texts:
                 text = t.as_py() or ""
-                words = _WORD.findall(text)
-                ratio = mean_ratio(gram_buckets(words, hashes), shared.value, sums)
-                rows.append((*measures(text, words), round(ratio, 6)))
-            cols = list(zip(*rows, strict=True)) or [[]] * 6
-            yield pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in cols[:5]] + [pa.array(cols[5], pa.float64())], names)
-
-    kind = ", ".join(f"{n} bigint" for n in names[:5]) + ", ratio double"
-    udf = F.arrow_udf(measure, f"struct<{kind.replace(' ', ':').replace(',:', ',')}>")
-    found = docs.select(F.struct("*").alias("__row"), udf(F.col("text")).alias("__m"))
+                rows.append(measures(text, _WORD.findall(text)))
+            cols = list(zip(*rows, strict=True)) or [[]] * 5
+            yield pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in cols], names)
+
+    udf = F.arrow_udf(measure, f"struct<{','.join(f'{n}:bigint' for n in names)}>")
+    new = [*names, "ratio", "base_failed", "kept"]
+    old = [c for c in docs.columns if c.lower() not in new]
+    found = docs.select(*[F.col(f"`{c}`").alias(f"__{i}") for i, c in enumerate(old)], udf(F.col("text")).alias("__m"), digest("text").alias("__d"))
+    if ratios is None:
+        found = found.withColumn("__ratio", F.lit(0.0))
+    else:
+        side = ratios.select(F.col("digest").alias("__d"), F.col("ratio").alias("__r")).hint("shuffle_hash")
+        found = found.join(side, "__d", "left").withColumn("__ratio", F.coalesce("__r", F.lit(0.0)))
     failed = (F.col("__m.n_words") < 10) | (100 * F.col("__m.n_repeat_words") > 20 * F.col("__m.n_words"))
-    kept = ~failed & (F.col("__m.ratio") >= F.lit(least))
-    new = [*names, "base_failed", "kept"]
-    old = [F.col("__row")[c].alias(c) for c in docs.columns if c.lower() not in new]
-    return found.select(*old, *[F.col("__m")[n].alias(n) for n in names], failed.alias("base_failed"), kept.alias("kept"))
+    kept = ~failed & (F.col("__ratio") >= F.lit(least))
+    first = [F.col(f"__{i}").alias(c) for i, c in enumerate(old)]
+    return found.select(*first, *[F.col(f"__m.{n}").alias(n) for n in names], F.col("__ratio").alias("ratio"), failed.alias("base_failed"), kept.alias("kept"))
+
+
+def digest(text: str):
+    return F.unhex(F.md5(text))
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame, least: float = LEAST_RATIO) -> DataFrame:
     """Judge every document (columns doc_id, text and any others) by the rules and the ratio.
 
     The ratio is the mean over all words and neighbouring pairs of log(p_trusted / p_corpus), both multinomials
-    over hashed n-grams of whole texts: of the labelled good documents, and of all documents. Kept: not base_failed
+    over n-grams of whole texts: of the labelled good documents, and of all documents. Kept: not base_failed
     and ratio at least ``least``. No labels, or none good: every ratio is 0 and only the rules decide. Empty table:
     no rows. Equal texts get equal verdicts.
     """
-    return judged(docs, gram_table(gram_counts(trusted_marks(docs, labels))), least)
+    marked = trusted_marks(docs, labels).withColumn("digest", digest("text"))
+    return judged(docs, text_ratios(marked), least)

@@ -170,6 +170,31 @@ def test_quality_query_keeps_clean_and_drops_junk(spark):
     assert all(clean) and sum(junk) <= 0.1 * len(junk)
 
 
+def test_quality_query_drops_junk_in_a_larger_corpus_too(spark):
+    sf = "/root/testdata/sf0.1"
+    verdict = {r.doc_id: r for r in queries.op8_quality_rules(spark, sf).collect()}
+    labels = [x for x in spark.read.parquet(f"{sf}/labels.parquet").collect() if not x.toxic and not verdict[x.doc_id].base_failed]
+    clean = [verdict[x.doc_id].kept for x in labels if x.quality == 1]
+    junk = [verdict[x.doc_id].kept for x in labels if x.quality == 0]
+    assert all(clean) and sum(junk) <= 0.05 * len(junk)
+
+
+def test_text_ratios_are_those_of_exact_counts(spark):
+    texts = ["a b c a b", "a b c a b", "c d e f", "A x", "", None, "b b b b z"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    labels = spark.createDataFrame([(0, 1, 0), (3, 1, 0)], "doc_id bigint, quality int, toxic int")
+    grams = [(w := (t or "").lower().split()) + list(zip(w, w[1:])) for t in texts]
+    names = {g: i for i, g in enumerate(sorted({g for x in grams for g in x}, key=str))}
+    both = np.zeros((2, len(names)))
+    for i, x in enumerate(grams):
+        for g in x:
+            both[1, names[g]] += 1
+            both[0, names[g]] += i in (0, 3)
+    for r in quality.quality_rules(docs, labels).collect():
+        want = quality.mean_ratio(np.array([names[g] for g in grams[r.doc_id]], int), both, both.sum(axis=1))
+        assert r.ratio == pytest.approx(want, abs=2e-6)
+
+
 def test_mean_ratio_by_hand():
     both = np.zeros((2, 1 << quality.BITS))
     both[:, 3], both[:, 9] = (6, 10), (2, 30)

@@ -74,17 +74,21 @@ def covariates(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def flux(spark: SparkSession, sf: str) -> DataFrame:
-    """Monthly flux from mid-1997, without its Julys."""
+def flux_whole(spark: SparkSession, sf: str) -> DataFrame:
+    """Monthly flux of all months."""
     v = F.col("l_extendedprice") / 1000
-    rows = _site_months(spark, sf).agg(
+    return _site_months(spark, sf).agg(
         F.avg(v).alias("flux_mean"),
         F.count("*").alias("flux_obs"),
         F.count_distinct("l_shipdate").alias("flux_days"),
         F.stddev_samp(v).alias("flux_sd"),
         (F.stddev_samp(v) / F.sqrt(F.count("*"))).alias("flux_se"),
     )
-    return rows.filter((F.col("month") >= F.lit("1997-06-01").cast("date")) & (F.month("month") != 7))
+
+
+def flux(spark: SparkSession, sf: str) -> DataFrame:
+    """Monthly flux from mid-1997, without its Julys."""
+    return flux_whole(spark, sf).filter((F.col("month") >= F.lit("1997-06-01").cast("date")) & (F.month("month") != 7))
 
 
 def series(spark: SparkSession, sf: str) -> DataFrame:
@@ -139,6 +143,13 @@ flux AS (
          stddev_samp(l_extendedprice / 1000) / sqrt(count(*)) AS flux_se
   FROM lineitem GROUP BY 1, 2
   HAVING CAST(date_trunc('month', min(l_shipdate)) AS DATE) >= DATE '1997-06-01' AND month(min(l_shipdate)) <> 7)""",
+    "flux_whole": """
+flux AS (
+  SELECT l_suppkey % 5 AS site, CAST(date_trunc('month', l_shipdate) AS DATE) AS month,
+         avg(l_extendedprice / 1000) AS flux_mean, count(*) AS flux_obs, count(DISTINCT l_shipdate) AS flux_days,
+         stddev_samp(l_extendedprice / 1000) AS flux_sd,
+         stddev_samp(l_extendedprice / 1000) / sqrt(count(*)) AS flux_se
+  FROM lineitem GROUP BY 1, 2)""",
     "series": """
 series0 AS (
   SELECT l_suppkey % 5 AS site, CAST(date_trunc('month', l_shipdate) AS DATE) AS month, sum(l_extendedprice) / 97131.7 AS v
@@ -201,6 +212,14 @@ class Query:
     sql: str | None
 
 
+def whole(run: Callable[[DataFrame], DataFrame], cut: Query, digits: int = 8) -> Query:
+    """A query about ``flux`` over all its months: the operator on the whole table, and the SQL of ``cut`` over it."""
+    given = SQL["flux"].strip()
+    if cut.sql is None or given not in cut.sql:
+        raise ValueError("the query has no SQL over flux")
+    return Query(lambda spark, sf: round6(run(flux_whole(spark, sf)), digits), cut.sql.replace(given, SQL["flux_whole"].strip()))
+
+
 def query(run, uses: str = "", columns: str = "", body: str | None = None, digits: int = 8) -> Query:
     """A registered query: doubles rounded on both sides, and its oracle built from shared views.
 

@@ -17,7 +17,7 @@ from fluxspark.operators import weights as W
 from fluxspark.operators.common import exact_quantiles, key_join
 from fluxspark.operators.merge import paired
 from fluxspark.plans import bindings as B
-from fluxspark.plans.bindings import COVARIATES, KEYS, ON, query
+from fluxspark.plans.bindings import COVARIATES, KEYS, ON, query, whole
 from fluxspark.sources import readers as S
 
 QUERIES = {}
@@ -532,3 +532,19 @@ QUERIES["lag_rows"] = query(
     lambda s, d: L.lag_rows(series(s, d), "value", 12, "back", KEYS), "series", "site month *value *back",
     f"""SELECT s.site, s.month, s.value, back FROM series s LEFT JOIN (SELECT site, month, lag(value, 12) OVER (PARTITION BY site ORDER BY month) AS back FROM {OBS}) o
         ON o.site = s.site AND o.month = s.month""", 6)
+
+# ---- over all months of the flux table ----------------------------------------------------------------------------
+
+WHOLE = {
+    "weight_summary": (lambda f: W.weight_summary(f, ["flux_days", "flux_obs", "flux_sd"], "flux_se", KEYS), 4),
+    "weight_concentration": (lambda f: W.weight_concentration(f, "flux_se", keys=KEYS), 4),
+    "least_influential": (lambda f: W.least_influential(f, "flux_se", 12, ["flux_mean"], KEYS), 4),
+    "most_influential": (lambda f: W.most_influential(f, "flux_se", 6, ["flux_mean"], KEYS), 4),
+    "seasonal_weight_balance": (lambda f: W.seasonal_weight_balance(f, "flux_mean", "flux_se", KEYS), 4),
+    "monthly_flux_to_annual": (lambda f: A.monthly_flux_to_annual(f, "flux_mean", KEYS), 8),
+    "series_profile": (lambda f: A.series_profile(f.withColumn("v", F.col("flux_mean") - 38), "v", "flux_days", 15, KEYS), 8),
+    "log_target": (lambda f: D.log_target(f, "flux_mean").select(*ON, "y", C.log_standard_error("flux_se", "flux_mean").alias("se_log"),
+                                                                  C.inverse_variance_weight("flux_se").alias("weight")), 8),
+}
+for _name, (_run, _digits) in WHOLE.items():
+    QUERIES[f"{_name}_whole"] = whole(_run, QUERIES[_name], _digits)

@@ -142,3 +142,5 @@ QUERIES["season_totals"] = query(
     "site i:year n_months *flux_mean_g_c *flux_sd_g_c",
     f"""SELECT site, year(month) AS year, count(*) AS n_months, round_even({SEASON.format(c="flux_mean")}, 3) AS flux_mean_g_c, round_even({SEASON.format(c="flux_sd")}, 3) AS flux_sd_g_c
         FROM flux WHERE month(month) BETWEEN 5 AND 10 GROUP BY 1, 2""")
+QUERIES["season_totals_whole"] = B.whole(
+    lambda f: V.season_totals(f.select(*ON, "flux_mean", "flux_sd"), ["flux_mean", "flux_sd"], keys=KEYS), QUERIES["season_totals"])

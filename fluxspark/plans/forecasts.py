@@ -150,6 +150,12 @@ def model_frame(s, d):
     )
 
 
+def forecast_whole(s, d, **less):
+    """Both families of models with covariates; by default all learners, all horizons, screening and refits at every origin."""
+    return M.run(checkpointed(panel(s, d)), ("soil_temp_f", "wte_m"), **({"screen": M.boruta_select, "keys": KEYS} | less))
+
+
+QUERIES["forecast_run_whole"] = query(lambda s, d: forecast_whole(s, d).drop("predictors"))
 QUERIES["forecast_run"] = query(lambda s, d: M.run(panel(s, d), ("soil_temp_f",), learners={}, horizons=(1, 3), keys=KEYS).drop("predictors"))
 QUERIES["model_leaderboard"] = query(lambda s, d: S.leaderboard(model_frame(s, d), keys=KEYS))
 

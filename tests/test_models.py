@@ -338,3 +338,17 @@ def test_trees_forecast_series_without_a_scale(spark):
     out = FM.pooled_forecasts(folds, design_names(1), {"forest": lambda: FM.forest(3, 3)}, refit_every=30, keys=["site"])
     assert {r.site for r in out.collect()} == {"flat", "noisy"} and out.filter("forecast is null").count() == 0
     assert FM.pooled_forecasts(folds.limit(0), design_names(1), {"forest": lambda: FM.forest(3, 3)}, keys=["site"]) is None
+
+
+def test_forecast_run_with_learners_and_screening(spark):
+    from functools import partial
+
+    from fluxspark.forecast import models as M
+    from fluxspark.plans.forecasts import QUERIES, forecast_whole
+
+    assert "forecast_run_whole" in QUERIES
+    rows = forecast_whole(
+        spark, "/root/testdata/sf0.01", learners={"random forest": partial(M.forest, 2, 2)}, horizons=(1,), min_train=77,
+        screen=partial(M.boruta_select, n_trees=2, depth=2)).collect()
+    assert rows and {"random forest"} < {r.method for r in rows}
+    assert all(r.n_predictors == len(r.predictors) > 0 for r in rows)

@@ -8,7 +8,7 @@ from public_tokenizers import path as tokenizer_file
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fluxspark.llm import bpe, chat, jaccard_join, mixing, pii, quality, token_counts, token_files, topk, url_filter
+from fluxspark.llm import alignment, bpe, chat, jaccard_join, mixing, order_minhash, pii, quality, token_counts, token_files, topk, url_filter, whitening
 from fluxspark.llm.shared import shared_dir
 from fluxspark.plans.bindings import Query, table
 
@@ -75,6 +75,27 @@ def op10_mixing(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.mixed_words(table(spark, sf, "documents"))
 
 
+def op11_order_minhash(spark: SparkSession, sf: str) -> DataFrame:
+    found = order_minhash.compared_with_next(table(spark, sf, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+
+
+def op12_whitening(spark: SparkSession, sf: str) -> DataFrame:
+    rows, fitted = whitening.whiten(table(spark, sf, "embeddings").select("vec_id", "embedding"), keep=["vec_id"])
+    values = fitted.spectrum.values / fitted.spectrum.trace if fitted and fitted.spectrum.trace > 0 else []
+    explained = F.array(*[F.lit(float(v)) for v in values]) if len(values) else F.array(F.lit(0.0))
+    n, error = (fitted.moments.n, fitted.identity_error) if fitted else (0, 0.0)
+    each = rows.select("vec_id", "deviation", F.posexplode("whitened").alias("i", "whitened"))
+    return each.select(
+        "vec_id", (F.col("i") + 1).alias("component"), F.lit(n).cast("bigint").alias("n"), "deviation", "whitened", explained[F.col("i")].alias("explained"), F.lit(error).alias("identity_error")
+    )
+
+
+def op13_alignment(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    return alignment.link_report(docs, tokenizer_file("byte_bpe_50k.json"), tokenizer_file("piece_bpe_32k.model"))
+
+
 OP7_SQL = """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings
@@ -100,4 +121,4 @@ SELECT conv_id, count(*) AS n_turns,
        sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS LAST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
        CAST(sum(length(head) + length(body) + 8) AS BIGINT) AS formatted_chars
 FROM e GROUP BY conv_id"""
-QUERIES = {f.__name__: Query(f, globals().get(f"{f.__name__.split('_')[0].upper()}_SQL")) for f in (op1_bpe, op2_token_counts, op3_url_filter, op4_jaccard_join, op5_chat, op6_pii, op7_top_k, op8_quality_rules, op9_token_files, op10_mixing)}
+QUERIES = {f.__name__: Query(f, globals().get(f"{f.__name__.split('_')[0].upper()}_SQL")) for f in (op1_bpe, op2_token_counts, op3_url_filter, op4_jaccard_join, op5_chat, op6_pii, op7_top_k, op8_quality_rules, op9_token_files, op10_mixing, op11_order_minhash, op12_whitening, op13_alignment)}

@@ -1,119 +1,155 @@
-"""Distribution tails for summary rows, as vectorized pandas UDFs over the standard library."""
+"""Distribution tails and quantiles as column expressions: rational approximations, series, and continued fractions folded over sequences."""
 
 from __future__ import annotations
 
 import math
-from statistics import NormalDist
+from functools import reduce
 
-import numpy as np
-import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
+_TINY = 1e-300
 
-def _betacf(a: float, b: float, x: float) -> float:
-    """Lentz's continued fraction of the incomplete beta function."""
-    tiny = 1e-300
-    c, d = 1.0, 1.0 - (a + b) * x / (a + 1.0)
-    d = 1.0 / (d if abs(d) > tiny else tiny)
-    h = d
-    for m in range(1, 400):
-        for num in (
-            m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)),
-            -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1)),
-        ):
-            d = 1.0 + num * d
-            d = 1.0 / (d if abs(d) > tiny else tiny)
-            c = 1.0 + num / c
-            c = c if abs(c) > tiny else tiny
-            h *= d * c
-        if abs(d * c - 1.0) < 1e-15:
-            break
-    return h
 
+def _safe(x: Column) -> Column:
+    return F.when(F.abs(x) < _TINY, F.lit(_TINY)).otherwise(x)
 
-def beta_inc(a: float, b: float, x: float) -> float:
-    """Regularized incomplete beta function."""
-    if x <= 0.0 or x >= 1.0:
-        return 0.0 if x <= 0.0 else 1.0
-    front = math.exp(
-        math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)
-    )
-    if x < (a + 1.0) / (a + b + 2.0):
-        return front * _betacf(a, b, x) / a
-    return 1.0 - front * _betacf(b, a, 1.0 - x) / b
 
+def _fold(n: int | Column, start: Column, step) -> Column:
+    """start after step(state, i) for i = 1..n."""
+    return F.aggregate(F.sequence(F.lit(1), F.lit(n) if isinstance(n, int) else n), start, step)
 
-def t_two_sided(t: float, df: float) -> float:
-    if t is None or df is None or math.isnan(t) or math.isnan(df) or df <= 0:
-        return math.nan
-    return beta_inc(df / 2.0, 0.5, df / (df + t * t))
 
+def _let(values: dict[str, Column], then) -> Column:
+    """``then`` of a struct of values that are computed once, though an expression may name them often."""
+    return F.transform(F.array(F.struct(*[v.alias(k) for k, v in values.items()])), then)[0]
 
-def t_critical(alpha: float, df: float) -> float:
-    """Value whose two-sided tail is alpha, by bisection on the tail."""
-    low, high = 0.0, 1.0
-    while t_two_sided(high, df) > alpha:
-        high *= 2.0
-    for _ in range(200):
-        mid = (low + high) / 2.0
-        low, high = (mid, high) if t_two_sided(mid, df) > alpha else (low, mid)
-    return (low + high) / 2.0
 
+# W. J. Cody's rational approximations of the error function (Math. Comp. 23, 1969), numerator and denominator,
+# highest power first: of erf(x) / x in x^2 up to 0.46875, of exp(x^2) erfc(x) in x up to 4, and of its remainder in 1 / x^2 beyond.
+_NEAR = (
+    (1.85777706184603153e-1, 3.16112374387056560, 1.13864154151050156e2, 3.77485237685302021e2, 3.20937758913846947e3),
+    (1.0, 2.36012909523441209e1, 2.44024637934444173e2, 1.28261652607737228e3, 2.84423683343917062e3),
+)
+_MIDDLE = (
+    (2.15311535474403846e-8, 5.64188496988670089e-1, 8.88314979438837594, 6.61191906371416295e1, 2.98635138197400131e2, 8.81952221241769090e2, 1.71204761263407058e3, 2.05107837782607147e3, 1.23033935479799725e3),
+    (1.0, 1.57449261107098347e1, 1.17693950891312499e2, 5.37181101862009858e2, 1.62138957456669019e3, 3.29079923573345963e3, 4.36261909014324716e3, 3.43936767414372164e3, 1.23033935480374942e3),
+)
+_FAR = (
+    (1.63153871373020978e-2, 3.05326634961232344e-1, 3.60344899949804439e-1, 1.25781726111229246e-1, 1.60837851487422766e-2, 6.58749161529837803e-4),
+    (1.0, 2.56852019228982242, 1.87295284992346725, 5.27905102951428412e-1, 6.05183413124413191e-2, 2.33520497626869185e-3),
+)
 
-def binomial_tail(count: int, n: int) -> float:
-    """P(X >= count) of n fair coin tosses."""
-    return sum(math.comb(n, k) for k in range(max(count, 0), n + 1)) / 2**n
 
+def _ratio(pair: tuple, x: Column) -> Column:
+    value = lambda powers: reduce(lambda acc, c: acc * x + c, powers[1:], F.lit(powers[0]))
+    return value(pair[0]) / value(pair[1])
 
-def kolmogorov_tail(x: float) -> float:
-    """Limiting tail of the scaled Kolmogorov distance."""
-    if math.isnan(x) or x <= 0:
-        return 1.0
-    if x < 1.18:
-        v = math.exp(-(math.pi**2) / (8 * x * x))
-        return max(0.0, 1.0 - math.sqrt(2 * math.pi) / x * (v + v**9 + v**25 + v**49))
-    return min(1.0, 2.0 * sum((-1) ** (k - 1) * math.exp(-2.0 * k * k * x * x) for k in range(1, 50)))
 
+def erfc(x: Column) -> Column:
+    """Complementary error function."""
+    a = F.abs(x)
+    far = F.exp(-a * a) / a * (1 / math.sqrt(math.pi) - _ratio(_FAR, 1 / (a * a)) / (a * a))
+    upper = F.when(a <= 4, F.exp(-a * a) * _ratio(_MIDDLE, a)).otherwise(far)
+    return F.when(a <= 0.46875, 1 - x * _ratio(_NEAR, x * x)).when(x > 0, upper).otherwise(2 - upper)
 
-def _each(f, *cols: pd.Series) -> pd.Series:
-    return pd.Series([np.nan if any(pd.isna(v) for v in vs) else f(*vs) for vs in zip(*cols)], dtype="float64")
 
+def normal_cdf(z: Column) -> Column:
+    return erfc(-z / math.sqrt(2.0)) / 2
 
-@F.pandas_udf(DoubleType())
-def t_p_value(t: pd.Series, df: pd.Series) -> pd.Series:
-    return _each(t_two_sided, t, df)
 
+def normal_p_value(z: Column) -> Column:
+    """Two-sided."""
+    return erfc(F.abs(z) / math.sqrt(2.0))
 
-@F.pandas_udf(DoubleType())
-def t_quantile_two_sided(alpha: pd.Series, df: pd.Series) -> pd.Series:
-    return _each(t_critical, alpha, df)
 
+def normal_quantile(p: Column) -> Column:
+    """Value below which a standard normal falls with probability p; null outside (0, 1).
 
-@F.pandas_udf(DoubleType())
-def normal_p_value(z: pd.Series) -> pd.Series:
-    return _each(lambda v: math.erfc(abs(v) / math.sqrt(2.0)), z)
+    Newton steps on the upper tail, which is convex there, from a start below the root.
+    """
 
+    def root(v: Column) -> Column:
+        density = lambda x: F.exp(-x * x / 2) / math.sqrt(2 * math.pi)
+        return _fold(8, v["start"], lambda x, _: x + (erfc(x / math.sqrt(2.0)) / 2 - v["q"]) / density(x))
 
-@F.pandas_udf(DoubleType())
-def normal_cdf(z: pd.Series) -> pd.Series:
-    return _each(lambda v: 0.5 * math.erfc(-v / math.sqrt(2.0)), z)
+    q = F.least(p, 1 - p)
+    start = F.sqrt(F.greatest(-2 * F.ln(_safe(2 * q)) * (math.pi / 4), F.lit(0.0)))
+    x = _let({"q": q, "start": start}, root)
+    return F.when((p > 0) & (p < 1), F.when(p < 0.5, -1.0).otherwise(1.0) * x)
 
 
-@F.pandas_udf(DoubleType())
-def normal_quantile(p: pd.Series) -> pd.Series:
-    return _each(NormalDist().inv_cdf, p)
+def log_gamma(x: Column) -> Column:
+    """Stirling's series at x + 10, less the logarithms of the ten factors."""
+    z = x + 10
+    series = 1 / (12 * z) - 1 / (360 * z**3) + 1 / (1260 * z**5) - 1 / (1680 * z**7) + 1 / (1188 * z**9)
+    factors = x
+    for i in range(1, 10):
+        factors = factors * (x + i)
+    return (z - 0.5) * F.ln(z) - z + math.log(2 * math.pi) / 2 + series - F.ln(factors)
 
 
-@F.pandas_udf(DoubleType())
-def kolmogorov_p_value(x: pd.Series) -> pd.Series:
-    return _each(kolmogorov_tail, x)
+def _beta_fraction(a: Column, b: Column, x: Column) -> Column:
+    """The incomplete beta function's continued fraction by the modified Lentz method; a step's factor joins at the next."""
 
+    def step(s: Column, i: Column) -> Column:
+        m = F.floor((i + 1) / 2).cast("double")
+        num = F.when(i % 2 == 1, m * (b - m)).otherwise(-(a + m) * (a + b + m)) * x / ((a + i) * (a + i + 1))
+        return F.struct(_safe(1 + num / s["c"]).alias("c"), (1 / _safe(1 + num * s["d"])).alias("d"), (s["h"] * s["c"] * s["d"]).alias("h"))
 
-@F.pandas_udf(DoubleType())
-def sign_test_p_value(wins: pd.Series, n: pd.Series) -> pd.Series:
-    def two_sided(w, m):
-        w, m = int(w), int(m)
-        return min(1.0, 2.0 * binomial_tail(max(w, m - w), m))
+    start = F.struct(F.lit(1.0).alias("c"), (1 / _safe(1 - (a + b) * x / (a + 1))).alias("d"), F.lit(1.0).alias("h"))
+    last = _fold((60 + 3 * F.sqrt(F.greatest(a, b))).cast("int"), start, step)
+    return _let({"s": last}, lambda v: v["s"]["h"] * v["s"]["c"] * v["s"]["d"])
 
-    return _each(two_sided, wins, n)
+
+def beta_inc(a: Column, b: Column, x: Column) -> Column:
+    """Regularized incomplete beta function for positive a and b."""
+    inner = F.least(F.greatest(x, F.lit(1e-290)), F.lit(1 - 1e-16))
+
+    def tail(v: Column) -> Column:
+        front = F.exp(log_gamma(v["p"] + v["q"]) - log_gamma(v["p"]) - log_gamma(v["q"]) + v["p"] * F.ln(v["y"]) + v["q"] * F.ln(1 - v["y"]))
+        part = front * _beta_fraction(v["p"], v["q"], v["y"]) / v["p"]
+        return F.when(v["low"], part).otherwise(1 - part)
+
+    def sided(v: Column) -> Column:
+        low = v["x"] < (v["a"] + 1) / (v["a"] + v["b"] + 2)
+        pick = lambda yes, no: F.when(low, yes).otherwise(no)
+        return _let({"low": low, "p": pick(v["a"], v["b"]), "q": pick(v["b"], v["a"]), "y": pick(v["x"], 1 - v["x"])}, tail)
+
+    return F.when(x <= 0, 0.0).when(x >= 1, 1.0).otherwise(_let({"a": a, "b": b, "x": inner}, sided))
+
+
+def t_p_value(t: Column | str, df: Column) -> Column:
+    """Two-sided tail of Student's t; null without a positive number of degrees."""
+    t = F.col(t) if isinstance(t, str) else t
+    sound = t.isNotNull() & ~F.isnan(t) & (df > 0)
+    return F.when(sound, beta_inc(df / 2, F.lit(0.5), df / (df + t * t)))
+
+
+def t_quantile_two_sided(alpha: Column, df: Column) -> Column:
+    """Value whose two-sided tail is alpha. The tail is convex, so Newton steps from the normal value rise to the root."""
+
+    def root(v: Column) -> Column:
+        d = v["d"]
+        density = lambda t: v["front"] * F.exp(-(d + 1) / 2 * F.log1p(t * t / d))
+        return _fold(14, v["start"], lambda t, _: t + (t_p_value(t, d) - v["alpha"]) / (2 * density(t)))
+
+    front = F.exp(log_gamma((df + 1) / 2) - log_gamma(df / 2)) / F.sqrt(df * math.pi)
+    return F.when((df > 0) & alpha.isNotNull(), _let({"d": df, "alpha": alpha, "front": front, "start": normal_quantile(1 - alpha / 2)}, root))
+
+
+def kolmogorov_p_value(x: Column) -> Column:
+    """Limiting tail of the scaled Kolmogorov distance: one theta series for small values, the other for large."""
+    at = F.greatest(x, F.lit(1e-3))
+    v = F.exp(-(math.pi**2) / (8 * at * at))
+    small = 1 - math.sqrt(2 * math.pi) / at * (v + v**9 + v**25 + v**49)
+    large = 2 * _fold(50, F.lit(0.0), lambda s, k: s + F.when(k % 2 == 1, 1.0).otherwise(-1.0) * F.exp(-2.0 * k * k * at * at))
+    return F.when(x.isNull(), None).when(F.isnan(x) | (x <= 0), 1.0).when(x < 1.18, F.greatest(small, F.lit(0.0))).otherwise(F.least(large, F.lit(1.0)))
+
+
+def sign_test_p_value(wins: Column, n: Column) -> Column:
+    """Two-sided, of a fair coin: the binomial tail is an incomplete beta function at one half."""
+    most = F.greatest(wins, n - wins).cast("double")
+    count = n.cast("double")
+    tail = beta_inc(F.greatest(most, F.lit(1.0)), count - most + 1, F.lit(0.5))
+    return F.when(wins.isNotNull() & n.isNotNull(), F.when(most <= 0, 1.0).otherwise(F.least(2 * tail, F.lit(1.0))))

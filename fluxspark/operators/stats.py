@@ -4,17 +4,16 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType
 from pyspark.sql.window import Window
 
 from fluxspark import constants as K
 from fluxspark.functions import columns as C
 from fluxspark.functions import tails
+from fluxspark.functions.linear import solved
 from fluxspark.operators.common import (
     Keys,
     attach,
@@ -109,20 +108,22 @@ def _fits(df: DataFrame, value: str, keys: Keys) -> DataFrame:
     )
 
 
-def laplace_vs_gaussian(df: DataFrame, value: str = "difference", ks: bool = True, keys: Keys = ()) -> DataFrame:
-    """Both fits as rows: location, scale, log likelihood, AIC, and the Kolmogorov-Smirnov distance."""
-    fits = _fits(df, value, keys)
-    if ks:
+def laplace_vs_gaussian(
+    df: DataFrame, value: str = "difference", ks: bool | Sequence[str] = True, keys: Keys = ()
+) -> DataFrame:
+    """Both fits as rows: location, scale, log likelihood, AIC, and the Kolmogorov-Smirnov distance.
+
+    ``ks`` may name the families whose distance is wanted; the other's is null then.
+    """
+    fits, wanted = _fits(df, value, keys), ("laplace", "gaussian") if ks is True else tuple(ks or ())
+    if wanted:
         ranks = attach(cumulative_counts(df, value, keys), fits, keys)
         top, bottom = F.col("n_through") / F.col("n"), (F.col("n_through") - F.col("n_at")) / F.col("n")
-        lap = C.laplace_cdf(value, "laplace_loc", "laplace_scale")
-        ranks = ranks.withColumn(
-            "__g", tails.normal_cdf(F.try_divide(F.col(value) - F.col("gaussian_loc"), F.col("gaussian_scale")))
-        )
+        z = F.try_divide(F.col(value) - F.col("gaussian_loc"), F.col("gaussian_scale"))
+        cdf = {"laplace": C.laplace_cdf(value, "laplace_loc", "laplace_scale"), "gaussian": tails.normal_cdf(F.col("__z"))}
         gap = lambda f: F.max(F.greatest(top - f, f - bottom))
-        fits = attach(
-            fits, ranks.groupBy(*keys).agg(gap(lap).alias("laplace_ks"), gap(F.col("__g")).alias("gaussian_ks")), keys
-        )
+        distances = [(gap(cdf[f]) if f in wanted else F.lit(None).cast("double")).alias(f"{f}_ks") for f in cdf]
+        fits = attach(fits, ranks.withColumn("__z", z).groupBy(*keys).agg(*distances), keys)
     best = F.least(4 - 2 * F.col("laplace_loglik"), 4 - 2 * F.col("gaussian_loglik"))
     row = lambda f: F.struct(
         F.lit(f).alias("distribution"),
@@ -508,13 +509,12 @@ def combine_additively(df: DataFrame, bias: str = "bias_log", keys: Keys = ()) -
 # ---- seasonal structure ---------------------------------------------------------------------------
 
 
-@F.pandas_udf(ArrayType(DoubleType()))
-def _seasonal_coefficients(n: pd.Series, s: pd.Series) -> pd.Series:
+def _seasonal_coefficients(n: str, s: str) -> Column:
     """Least squares on the calendar terms from per-calendar-month counts and sums."""
-    m = np.arange(1, 13)
-    X = np.column_stack([np.ones(12), np.sin(2 * np.pi * m / 12), np.cos(2 * np.pi * m / 12), (m - 1) / 12])
-    fit = lambda c, t: np.linalg.lstsq(X.T @ (np.asarray(c)[:, None] * X), X.T @ np.asarray(t), rcond=None)[0]
-    return pd.Series([fit(c, t).tolist() for c, t in zip(n, s)])
+    terms = [(1.0, math.sin(math.pi * m / 6), math.cos(math.pi * m / 6), (m - 1) / 12) for m in range(1, 13)]
+    weighted = lambda c, f: reduce(lambda x, y: x + y, [F.col(c)[m] * f(terms[m]) for m in range(12)])
+    row = lambda i: F.array(*[weighted(n, lambda t, j=j: t[i] * t[j]) for j in range(4)], weighted(s, lambda t: t[i]))
+    return solved(F.array(*[row(i) for i in range(4)]), 4)
 
 
 def seasonal_residuals(rows: DataFrame, value: str, on: Keys) -> DataFrame:

@@ -7,6 +7,7 @@ from functools import partial
 from pyspark.sql import functions as F
 
 from fluxspark import constants as K
+from fluxspark.forecast import fold_trees as T
 from fluxspark.forecast import folds as O
 from fluxspark.forecast import models as M
 from fluxspark.forecast import panels as P
@@ -16,6 +17,7 @@ from fluxspark.operators import months as N
 from fluxspark.operators.common import attach, checkpointed, key_join
 from fluxspark.operators.reshape import stack_labelled
 from fluxspark.plans import bindings as B
+from fluxspark.plans import densities as I
 from fluxspark.plans.bindings import KEYS, ON, query
 
 QUERIES = {}
@@ -150,12 +152,37 @@ def model_frame(s, d):
     )
 
 
+_FITTED = {}
+
+
 def forecast_whole(s, d, **less):
-    """Both families of models with covariates; by default all learners, all horizons, screening and refits at every origin."""
+    """Pooled trees of all series with covariates; by default all learners, all horizons, screening and refits at every origin."""
     return M.run(checkpointed(panel(s, d)), ("soil_temp_f", "wte_m"), **({"screen": M.boruta_select, "keys": KEYS} | less))
 
 
-QUERIES["forecast_run_whole"] = query(lambda s, d: forecast_whole(s, d).drop("predictors"))
+def fitted(s, d):
+    """All learners with covariates, all horizons, screening and a new fit at every origin of every series; computed once a session and input."""
+    key = s.sparkContext.applicationId, d
+    if key not in _FITTED:
+        _FITTED[key] = checkpointed(T.run_folds(checkpointed(panel(s, d)), ("soil_temp_f", "wte_m"), keys=KEYS))
+    return _FITTED[key]
+
+
+def fitted_families(s, d):
+    """The fitted methods as one family beside the benchmarks."""
+    return stack_labelled({"benchmarks": bench(s, d), "fitted": fitted(s, d).drop("n_predictors", "predictors")})
+
+
+def fitted_restricted(s, d):
+    frame = fitted_families(s, d)
+    return S.restrict(frame, S.shared_targets(frame, KEYS), KEYS)
+
+
+QUERIES["forecast_run_whole"] = query(lambda s, d: fitted(s, d).drop("predictors"))
+QUERIES["fitted_leaderboard"] = query(lambda s, d: S.leaderboard(fitted_families(s, d), keys=KEYS))
+QUERIES["fitted_predictor_frequency"] = query(lambda s, d: S.predictor_frequency(fitted(s, d), KEYS))
+QUERIES["fitted_screening_panel"] = query(lambda s, d: P.screening_panel(fitted(s, d), B.COVARIATES, keys=KEYS))
+QUERIES["fitted_best_against_reference"] = query(lambda s, d: S.best_against_reference(fitted_restricted(s, d), keys=KEYS))
 QUERIES["forecast_run"] = query(lambda s, d: M.run(panel(s, d), ("soil_temp_f",), learners={}, horizons=(1, 3), keys=KEYS).drop("predictors"))
 QUERIES["model_leaderboard"] = query(lambda s, d: S.leaderboard(model_frame(s, d), keys=KEYS))
 
@@ -214,8 +241,14 @@ QUERIES["diebold_mariano"] = query(
     lambda s, d: S.diebold_mariano(dm_pairs(s, d), keys=KEYS).drop("p", "margin"), "series", "site i:horizon n i:lag *statistic *effective_n *mean_difference",
     f"""{WITH1}, pr AS (SELECT site, horizon, target, max(error) FILTER (method = 'climatology') AS l, max(error) FILTER (method = 'seasonal naive') AS r FROM fr GROUP BY 1, 2, 3),
         {DM("pr", "site, horizon")} SELECT site, horizon, {DMOUT} FROM dmr""", 7)
-QUERIES["diebold_mariano_p"] = query(lambda s, d: S.diebold_mariano(dm_pairs(s, d), keys=KEYS).select("site", "horizon", "p"))
-QUERIES["significance_margin"] = query(lambda s, d: S.significance_margin(dm_pairs(s, d), keys=KEYS))
+PAIRED = f"""{WITH1}, pr AS (SELECT site, horizon, target, max(error) FILTER (method = 'climatology') AS l, max(error) FILTER (method = 'seasonal naive') AS r FROM fr GROUP BY 1, 2, 3),
+        {DM("pr", "site, horizon")}"""
+QUERIES["diebold_mariano_p"] = query(
+    lambda s, d: S.diebold_mariano(dm_pairs(s, d), keys=KEYS).select("site", "horizon", "p"), "series", "site i:horizon *p",
+    f"{PAIRED} SELECT site, horizon, {I.t_p('t', 'n - 1')} AS p FROM (SELECT *, mean_difference / sqrt(v / n) * corr AS t FROM dmr)", 7)
+QUERIES["significance_margin"] = query(
+    lambda s, d: S.significance_margin(dm_pairs(s, d), keys=KEYS), "series", "site i:horizon n *margin",
+    f"{PAIRED} SELECT site, horizon, n, q * sqrt(v / n) / corr AS margin FROM dmr JOIN {I.t_quantiles('(SELECT n - 1 AS df FROM dmr)')} c ON c.df = n - 1", 6)
 
 
 def predictors(s, d):
@@ -293,7 +326,10 @@ QUERIES["best_against_reference"] = query(
     "site i:horizon n i:lag *statistic *effective_n *mean_difference family method wins n_months",
     f"""{SHARED}, {BEST}, {DM("bp", "site, horizon")} SELECT site, horizon, {DMOUT}, family, method, wins, n_months FROM dmr JOIN bs USING (site, horizon)
         JOIN (SELECT site, horizon, count(*) FILTER (abs(r) > abs(l)) AS wins, count(*) AS n_months FROM bp GROUP BY 1, 2) USING (site, horizon)""", 7)
-QUERIES["best_against_reference_p"] = query(lambda s, d: S.best_against_reference(restricted(s, d), keys=KEYS).select("site", "horizon", "p", "sign_test_p"))
+QUERIES["best_against_reference_p"] = query(
+    lambda s, d: S.best_against_reference(restricted(s, d), keys=KEYS).select("site", "horizon", "p", "sign_test_p"), "series", "site i:horizon *p *sign_test_p",
+    f"""{SHARED}, {BEST}, {DM("bp", "site, horizon")} SELECT site, horizon, {I.t_p("t", "n - 1")} AS p, {I.sign_test_p("wins", "n_months")} AS sign_test_p
+        FROM (SELECT *, mean_difference / sqrt(v / n) * corr AS t FROM dmr JOIN (SELECT site, horizon, count(*) FILTER (abs(r) > abs(l)) AS wins, count(*) AS n_months FROM bp GROUP BY 1, 2) USING (site, horizon))""", 7)
 GROUPS = {"seasonal naive": "simple", "naive": "simple", "climatology": "mean"}
 QUERIES["group_contrast"] = query(
     lambda s, d: S.group_contrast(restricted(s, d).filter("family = 'benchmarks' and method <> 'seasonal naive with drift'"), GROUPS, "mean", "simple", KEYS).drop("p", "margin"), "series",

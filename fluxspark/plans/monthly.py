@@ -17,6 +17,7 @@ from fluxspark.operators import weights as W
 from fluxspark.operators.common import exact_quantiles, key_join
 from fluxspark.operators.merge import paired
 from fluxspark.plans import bindings as B
+from fluxspark.plans import densities as I
 from fluxspark.plans.bindings import COVARIATES, KEYS, ON, query, whole
 from fluxspark.sources import readers as S
 
@@ -356,14 +357,17 @@ QUERIES["laplace_vs_gaussian"] = query(
     f"""{AIC(PR)} SELECT site, 'laplace' AS distribution, ll AS loc, ls AS scale, lll AS loglik, 4 - 2 * lll AS aic, 4 - 2 * lll - least(4 - 2 * lll, 4 - 2 * gll) AS delta_aic_vs_best FROM k
         UNION ALL SELECT site, 'gaussian', gl, gs, gll, 4 - 2 * gll, 4 - 2 * gll - least(4 - 2 * lll, 4 - 2 * gll) FROM k""", 6)
 QUERIES["laplace_ks_distance"] = query(
-    lambda s, d: T.laplace_vs_gaussian(pairs(s, d), keys=KEYS).filter("distribution = 'laplace'").select("site", "ks_statistic"), "readings", "site *ks_statistic",
+    lambda s, d: T.laplace_vs_gaussian(pairs(s, d), ks=["laplace"], keys=KEYS).filter("distribution = 'laplace'").select("site", "ks_statistic"), "readings", "site *ks_statistic",
     f"""WITH x AS (SELECT * FROM {PR}), m AS (SELECT site, quantile_cont(d, 0.5) AS med, count(*) AS n FROM x GROUP BY 1),
         b AS (SELECT site, avg(abs(d - med)) AS b FROM x JOIN m USING (site) GROUP BY 1),
         v AS (SELECT site, d, count(*) AS c FROM x GROUP BY 1, 2), u AS (SELECT site, d, c, sum(c) OVER (PARTITION BY site ORDER BY d) AS t FROM v)
         SELECT site, max(greatest(t / n - g, g - (t - c) / n)) AS ks_statistic FROM (SELECT site, c, t, n::DOUBLE AS n,
           CASE WHEN d < med THEN exp((d - med) / b) / 2 ELSE 1 - exp(-(d - med) / b) / 2 END AS g FROM u JOIN m USING (site) JOIN b USING (site)) GROUP BY site""")
 QUERIES["gaussian_ks_distance"] = query(
-    lambda s, d: T.laplace_vs_gaussian(pairs(s, d), keys=KEYS).filter("distribution = 'gaussian'").select("site", "ks_statistic"))
+    lambda s, d: T.laplace_vs_gaussian(pairs(s, d), ks=["gaussian"], keys=KEYS).filter("distribution = 'gaussian'").select("site", "ks_statistic"), "readings", "site *ks_statistic",
+    f"""{AIC(PR)}, v AS (SELECT site, d, count(*) AS c FROM x GROUP BY 1, 2), w AS (SELECT site, d, c, sum(c) OVER (PARTITION BY site ORDER BY d) AS t FROM v),
+        g AS (SELECT site, t / n AS top, (t - c) / n AS bottom, (d - gl) / gs AS z FROM w JOIN f USING (site)), e AS (SELECT site, top, bottom, {I.normal_cdf("z", 800)} AS p FROM g)
+        SELECT site, max(greatest(top - p, p - bottom)) AS ks_statistic FROM e GROUP BY site""")
 REG = lambda src, g="site": f"""(SELECT {g}, n, sign(r) * sy / sx AS b, my - sign(r) * sy / sx * mx AS a, sy / sx * sqrt((1 - r * r) / n) AS bse, r, mx,
   (n - 1) * (sy * sy - 2 * sign(r) * sy / sx * cv + sy * sy) / (n - 2) AS left_var, cv / (sx * sx) AS ob, my - cv / (sx * sx) * mx AS oa,
   sqrt((1 - r * r) * sy * sy / (sx * sx) / (n - 2)) AS obse, sx * sx * (n - 1) / n AS ssx FROM (SELECT {g}, count(*) AS n, corr(x, y) AS r, stddev_samp(x) AS sx, stddev_samp(y) AS sy,
@@ -416,7 +420,12 @@ QUERIES["compare_periods_deseasonalised"] = query(
         st AS (SELECT site, covariate, count(*) FILTER (ist) AS n1, count(*) FILTER (isf) AS n2, avg(value) FILTER (ist) AS mean1, avg(value) FILTER (isf) AS mean2,
           var_samp(value) FILTER (ist) AS s1, var_samp(value) FILTER (isf) AS s2 FROM x GROUP BY 1, 2)
         SELECT site, covariate, n1, n2, mean1, mean2, mean1 - mean2 AS mean_difference, (mean1 - mean2) / sqrt(((n1 - 1) * s1 + (n2 - 1) * s2) / (n1 + n2 - 2)) AS standardised_difference FROM st""")
-QUERIES["period_test_p_values"] = query(lambda s, d: compared(s, d, False).select("site", "covariate", "mann_whitney_p", "ks_p"))
+QUERIES["period_test_p_values"] = query(
+    lambda s, d: compared(s, d, False).select("site", "covariate", "mann_whitney_p", "ks_p"), "long_cov windows", "site covariate *mann_whitney_p *ks_p",
+    f"""WITH cp AS ({CP(FT)}), ti AS (SELECT site, covariate, sum(t * t * t - t) AS ties FROM (SELECT site, covariate, value, count(*)::DOUBLE AS t FROM {FT} WHERE isf OR ist GROUP BY 1, 2, 3) GROUP BY 1, 2),
+        us AS (SELECT *, (cliffs_delta + 1) / 2 * n1 * n2 AS u, n1 + n2 AS n FROM cp JOIN ti USING (site, covariate)),
+        zs AS (SELECT *, greatest((greatest(u, n1 * n2 - u) - n1 * n2 / 2.0 - 0.5) / sqrt(n1 * n2 / 12.0 * (n + 1 - ties / (n * (n - 1.0)))), 0) AS z, sqrt(n1 * n2 / n::DOUBLE) * ks_statistic AS k FROM us)
+        SELECT site, covariate, {I.normal_p("z")} AS mann_whitney_p, {I.kolmogorov_p("k")} AS ks_p FROM zs""")
 QUERIES["early_late_contrast"] = query(
     lambda s, d: T.early_late_contrast(B.covariates(s, d), COVARIATES, ("1995-01-01", "1996-12-01"), ("2000-01-01", "2001-12-01"), KEYS).drop("mann_whitney_p"),
     "long_cov", "site covariate *early_mean *late_mean *difference",
@@ -426,7 +435,10 @@ QUERIES["early_late_contrast"] = query(
 QUERIES["axis_independence"] = query(
     lambda s, d: T.axis_independence(fits(s, d), COVARIATES, KEYS).drop("p_value"), "long_cov windows", "site covariate n *correlation_with_time",
     f"SELECT site, covariate, count(*) AS n, corr({MI}, value) AS correlation_with_time FROM long_cov JOIN {FIT} USING (site, month) GROUP BY 1, 2")
-QUERIES["axis_independence_p"] = query(lambda s, d: T.axis_independence(fits(s, d), COVARIATES, KEYS).select("site", "covariate", "p_value"))
+CORR_P = lambda r, n: f"CASE WHEN abs({r}) < 1 THEN {I.t_p(f'{r} * sqrt({n} - 2) / sqrt(1 - {r} * {r})', f'{n} - 2')} ELSE 0 END"
+QUERIES["axis_independence_p"] = query(
+    lambda s, d: T.axis_independence(fits(s, d), COVARIATES, KEYS).select("site", "covariate", "p_value"), "long_cov windows", "site covariate *p_value",
+    f"""SELECT site, covariate, {CORR_P("r", "n")} AS p_value FROM (SELECT site, covariate, count(*) AS n, corr({MI}, value) AS r FROM long_cov JOIN {FIT} USING (site, month) GROUP BY 1, 2)""")
 QUERIES["covariate_anomaly"] = query(
     lambda s, d: T.covariate_anomaly(B.covariates(s, d), target(s, d), fit(s, d), COVARIATES, KEYS), "long_cov windows",
     "site covariate *period_mean *reference_mean *difference *standardized *period_max *reference_max",
@@ -513,10 +525,38 @@ QUERIES["trend_tests"] = query(
         JOIN (SELECT site, count(*) AS n_years, avg(a) AS amplitude_mean, min(a) AS amplitude_min, max(a) AS amplitude_max, 100 * stddev_samp(a) / avg(a) AS amplitude_cv_pct,
               regr_slope(a, y) AS amplitude_trend_per_year FROM a GROUP BY 1) USING (site)""", 6)
 QUERIES["trend_test_p_values"] = query(
-    lambda s, d: T.trend_tests(series(s, d), keys=KEYS).select("site", "trend_p", "deseasonalised_trend_p", "amplitude_trend_p"))
-QUERIES["explained_by_calendar"] = query(lambda s, d: T.explained_by_calendar(B.covariates(s, d), COVARIATES, KEYS))
+    lambda s, d: T.trend_tests(series(s, d), keys=KEYS).select("site", "trend_p", "deseasonalised_trend_p", "amplitude_trend_p"), "series",
+    "site *trend_p *deseasonalised_trend_p *amplitude_trend_p",
+    f"""WITH f AS (SELECT *, row_number() OVER (PARTITION BY site ORDER BY month) - 1 AS t FROM {FLAT}),
+        a AS (SELECT site, year(month) AS y, max(value) - min(value) AS a FROM {OBS} GROUP BY 1, 2 HAVING count(*) >= 10),
+        r AS (SELECT site, count(*) AS n, corr(value, t) AS r1, corr(left_over, t) AS r2 FROM f GROUP BY 1), w AS (SELECT site, count(*) AS m, corr(a, y) AS r3 FROM a GROUP BY 1)
+        SELECT site, {CORR_P("r1", "n")} AS trend_p, {CORR_P("r2", "n")} AS deseasonalised_trend_p, {CORR_P("r3", "m")} AS amplitude_trend_p FROM r JOIN w USING (site)""")
+
+
+def calendar_fit(source: str, group: str) -> str:
+    """Rows of ``source`` (group, month, v and others) with v centred and what the calendar terms leave of it, term after term."""
+    sums = lambda x, y: f"sum({x} * {y}) OVER (PARTITION BY {group})"
+    off = lambda x, z: f"{x} - {z} * {sums(x, z)} / {sums(z, z)} AS {x}"
+    terms = "sin(2 * pi() * month(month) / 12) AS a, cos(2 * pi() * month(month) / 12) AS b, (month(month) - 1) / 12.0 AS c"
+    out = f"(SELECT * EXCLUDE (v, a, b, c), {', '.join(f'{x} - avg({x}) OVER (PARTITION BY {group}) AS {x}' for x in 'abcv')} FROM (SELECT *, {terms} FROM {source}))"
+    out = f"(SELECT *, v AS e FROM {out})"
+    for z, left in (("a", "bce"), ("b", "ce"), ("c", "e")):
+        out = f"(SELECT * EXCLUDE ({', '.join(left)}), {', '.join(off(x, z) for x in left)} FROM {out})"
+    return out
+
+
+QUERIES["explained_by_calendar"] = query(
+    lambda s, d: T.explained_by_calendar(B.covariates(s, d), COVARIATES, KEYS), "long_cov", "site covariate n *explained",
+    f"""SELECT site, covariate, count(*) AS n, CASE WHEN count(*) >= 12 THEN 1 - sum(e * e) / sum(v * v) END AS explained
+        FROM {calendar_fit("(SELECT site, month, covariate, value AS v FROM long_cov)", "site, covariate")} GROUP BY 1, 2""")
+LAGGED = " UNION ALL ".join(
+    f"SELECT site, CAST(month + INTERVAL {k} MONTH AS DATE) AS month, '{c}_lag{k}' AS predictor, {c} AS v FROM cov WHERE {c} IS NOT NULL" for c, k in [("soil_temp_f", 1), ("wte_m", 1), ("wte_m", 2)])
 QUERIES["seasonal_redundancy"] = query(
-    lambda s, d: T.seasonal_redundancy(series(s, d), R.regrid(B.covariates(s, d), KEYS), [("soil_temp_f", 1), ("wte_m", 1), ("wte_m", 2)], keys=KEYS))
+    lambda s, d: T.seasonal_redundancy(series(s, d), R.regrid(B.covariates(s, d), KEYS), [("soil_temp_f", 1), ("wte_m", 1), ("wte_m", 2)], keys=KEYS), "series cov",
+    "site predictor n *explained_by_calendar *partial_r *p",
+    f"""WITH l AS (SELECT l.*, left_over AS y FROM ({LAGGED}) l JOIN {FLAT} f USING (site, month) JOIN (SELECT site, max(month) AS last FROM cov GROUP BY 1) USING (site) WHERE l.month <= last),
+        r AS (SELECT site, predictor, count(*) AS n, 1 - sum(e * e) / sum(v * v) AS ex, corr(e, y) AS r FROM {calendar_fit("l", "site, predictor")} GROUP BY 1, 2)
+        SELECT site, predictor, n, round_even(ex, 3) AS explained_by_calendar, round_even(r, 3) AS partial_r, round_even({CORR_P("r", "n")}, 4) AS p FROM r""")
 QUERIES["series_profile"] = query(
     lambda s, d: A.series_profile(B.flux(s, d).withColumn("v", F.col("flux_mean") - 38), "v", "flux_days", 15, KEYS), "flux",
     "site n_months first last b:span_months b:n_absent *median_days min_days max_days months_under_few_days *mean *min *max crosses_zero months_at_or_above_zero",

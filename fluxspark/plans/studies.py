@@ -11,6 +11,7 @@ from fluxspark.operators import studies as D
 from fluxspark.operators import support as P
 from fluxspark.operators.common import key_join
 from fluxspark.plans import bindings as B
+from fluxspark.plans import densities as I
 from fluxspark.plans.bindings import COVARIATES, KEYS, ON, query
 from fluxspark.plans.monthly import FITS, fit, splits, target
 
@@ -77,7 +78,11 @@ QUERIES["qq_table"] = query(
     f"""SELECT site, k, residual AS observed, med - b * sign(p - 0.5) * ln(1 - 2 * abs(p - 0.5)) AS expected
         FROM (SELECT site, residual, row_number() OVER (PARTITION BY site ORDER BY residual) AS k, (row_number() OVER (PARTITION BY site ORDER BY residual) - 0.5) / count(*) OVER (PARTITION BY site) AS p FROM {ROWS})
         JOIN (SELECT site, laplace_scale AS b FROM {SUMMARY}) USING (site) JOIN (SELECT site, quantile_cont(residual, 0.5) AS med FROM {ROWS} GROUP BY 1) USING (site)""")
-QUERIES["qq_table_gaussian"] = query(lambda s, d: T.qq_table(res(s, d), family="gaussian", keys=KEYS))
+RANKED = f"""(SELECT site, residual, k, (k - 0.5) / n AS p, mu, sd FROM (SELECT site, residual, row_number() OVER (PARTITION BY site ORDER BY residual) AS k, count(*) OVER (PARTITION BY site) AS n,
+  avg(residual) OVER (PARTITION BY site) AS mu, stddev_pop(residual) OVER (PARTITION BY site) AS sd FROM {ROWS}))"""
+QUERIES["qq_table_gaussian"] = query(
+    lambda s, d: T.qq_table(res(s, d), family="gaussian", keys=KEYS), "windows", "site i:k *observed *expected",
+    f"SELECT site, k, residual AS observed, mu + sd * q AS expected FROM {I.normal_quantile_steps(RANKED, 'site, residual, k, mu, sd')}")
 QUERIES["simultaneous_band"] = query(lambda s, d: T.simultaneous_band(res(s, d), keys=KEYS))
 QUERIES["scale_by_weight"] = query(
     lambda s, d: T.scale_by_weight(res(s, d).select(*ON, "residual"), fit_rows(s, d).select(*ON, "weight"), keys=KEYS), "windows", "site month *residual",

@@ -3,6 +3,7 @@
 import datetime as dt
 import math
 import random
+from statistics import NormalDist
 
 import numpy as np
 import pytest
@@ -172,11 +173,20 @@ def test_tied_band_edges_stop(spark):
 
 
 def test_tails_against_known_values(spark):
-    assert math.isclose(tails.t_two_sided(2.228, 10), 0.05, abs_tol=2e-4)
-    assert math.isclose(tails.t_critical(0.05, 10), 2.2281, abs_tol=1e-3)
-    tail = {k: spark.range(1).select(FM.coin_tail(F.lit(k), F.lit(20))).first()[0] for k in (0, 14, 15, 20)}
-    assert tail[0] == 1.0 and tail[15] <= 0.05 < tail[14] and math.isclose(tail[20], 2.0**-20)
-    assert math.isclose(tails.kolmogorov_tail(1.36), 0.0494, abs_tol=1e-3)
+    given = [(2.228, 10.0, 1.36, 7, 10, -1.5, 0.975), (0.3, 1.0, 0.4, 5, 10, 6.0, 1e-9), (40.0, 400.0, 3.0, 300, 400, 0.0, 0.5), (None, 0.0, None, None, 3, None, 1.0)]
+    df = spark.createDataFrame(given, "t double, d double, k double, w bigint, n bigint, z double, p double")
+    c = F.col
+    rows = df.select(
+        "*", tails.t_p_value(c("t"), c("d")).alias("tp"), tails.t_quantile_two_sided(F.lit(0.05), c("d")).alias("tq"), tails.kolmogorov_p_value(c("k")).alias("kp"),
+        tails.sign_test_p_value(c("w"), c("n")).alias("sp"), tails.normal_cdf(c("z")).alias("cdf"), tails.normal_p_value(c("z")).alias("np"), tails.normal_quantile(c("p")).alias("q")).collect()
+    assert math.isclose(rows[0].tp, 0.05, abs_tol=2e-4) and math.isclose(rows[0].tq, 2.2281, abs_tol=1e-3) and math.isclose(rows[0].kp, 0.0494, abs_tol=1e-3)
+    assert math.isclose(rows[1].tp, 1 - 2 / math.pi * math.atan(0.3), rel_tol=1e-12) and math.isclose(rows[1].tq, math.tan(0.475 * math.pi), rel_tol=1e-10)
+    for r in rows[:3]:
+        assert math.isclose(r.cdf, 0.5 * math.erfc(-r.z / math.sqrt(2)), rel_tol=1e-13) and math.isclose(r.np, math.erfc(abs(r.z) / math.sqrt(2)), rel_tol=1e-12)
+        assert math.isclose(r.q, NormalDist().inv_cdf(r.p), abs_tol=1e-12)
+        tail = sum(math.comb(r.n, k) for k in range(max(r.w, r.n - r.w), r.n + 1)) / 2**r.n
+        assert math.isclose(r.sp, min(1.0, 2 * tail), rel_tol=1e-10)
+    assert (rows[3].tp, rows[3].tq, rows[3].kp, rows[3].sp, rows[3].cdf, rows[3].q) == (None,) * 6
 
 
 def test_identical_periods_do_not_differ(spark):

@@ -31,8 +31,9 @@ def escaped_role(role: Column) -> Column:
 
 
 def unescaped_role(role: Column) -> Column:
-    plain = F.replace(unescaped(role), F.lit("\\\\"), F.lit("\u0001"))
-    return F.replace(F.replace(plain, F.lit("\\n"), F.lit("\n")), F.lit("\u0001"), F.lit("\\"))
+    """Cut at the doubled backslashes, a line feed's mark is what is left of them; no character stands in for another."""
+    parts = F.split(unescaped(role), r"\\\\", -1)
+    return F.array_join(F.transform(parts, lambda p: F.replace(p, F.lit("\\n"), F.lit("\n"))), "\\")
 
 
 def paths(conversations: DataFrame) -> DataFrame:

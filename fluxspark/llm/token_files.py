@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import re
-from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -15,10 +12,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from fluxspark.llm.byte_ranks import ByteRanks
+
 #: A shard ends with the document that brings it to so many ids.
 SHARD_IDS = 1_000_000
-#: Rounds of pair replacement, pairs replaced in a round, and the least count of a pair.
-ROUNDS, PAIRS, LEAST = 6, 1024, 8
+#: Pairs replaced in one round, at most, and the least count of a pair.
+PAIRS, LEAST = 2048, 2
 #: Symbols between two entries of a shard's offset index.
 STRIDE = 1024
 #: Symbols are unsigned 16-bit: ids first, nonterminals after them.
@@ -38,40 +37,55 @@ def greedy(hit: np.ndarray) -> np.ndarray:
     return hit[(hit - hit[run]) % 2 == 0]
 
 
+def frequent_pairs(key: np.ndarray, room: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Positions, ascending, whose pair is among the ``room`` most frequent ones, the place of each in the list, and the list.
+
+    Pairs are counted by hash slot. The fullest slots stand for the pair that comes first in each, which is counted alone; what shares
+    its slot waits for another round. Where they hold nothing but pairs that stand there once, all pairs are counted one by one.
+    """
+    slot = (key * np.uint32(0x9E3779B1)) >> np.uint32(12)
+    counts = np.bincount(slot, minlength=1 << 20)
+    full = np.flatnonzero(counts >= LEAST)
+    if len(full) > 2 * room:
+        full = full[np.argpartition(counts[full], -2 * room)[-2 * room :]]
+    of = np.full(1 << 20, -1, dtype=np.int32)
+    of[full] = np.arange(len(full))
+    group = of[slot]
+    at = np.flatnonzero(group >= 0)
+    group, own = group[at], key[at]
+    pairs = np.empty(len(full), dtype=np.uint32)
+    pairs[group[::-1]] = own[::-1]
+    same = own == pairs[group]
+    at, group = at[same], group[same]
+    times = np.bincount(group, minlength=len(full))
+    if not (times >= LEAST).any():
+        at = np.arange(len(key))
+        pairs, group, times = np.unique(key, return_inverse=True, return_counts=True)
+    best = np.flatnonzero(times >= LEAST)
+    best = best[np.lexsort((pairs[best], -times[best]))][:room]
+    number = np.full(len(pairs), -1, dtype=np.int64)
+    number[best] = np.arange(len(best))
+    place = number[group]
+    return at[place >= 0], place[place >= 0], pairs[best]
+
+
 def compress(ids: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray]:
     """Rules (pairs of symbols, in order of their numbers from ``base``) and the symbols that expand to the ids.
 
-    A round counts all neighbouring pairs, takes the most frequent, and replaces them from left to right.
+    A round counts all neighbouring pairs, takes the most frequent, and replaces them from left to right; rounds go on until no pair
+    stands there LEAST times or all symbols are used. A pair that overlaps a more frequent one may be left with a single place.
     """
     sym, rules = ids.astype(np.uint16), []
-    for _ in range(ROUNDS):
-        room = min(PAIRS, SYMBOLS - base - len(rules))
-        if len(sym) < 2 or room <= 0:
-            break
-        key = sym[:-1].astype(np.uint32) << np.uint32(16) | sym[1:]
-        slot = (key * np.uint32(0x9E3779B1)) >> np.uint32(12)
-        counts = np.bincount(slot, minlength=1 << 20)
-        full = np.flatnonzero(counts >= LEAST)
-        if len(full) > 2 * room:
-            full = full[np.argpartition(counts[full], -2 * room)[-2 * room :]]
-        wanted = np.zeros(1 << 20, dtype=bool)
-        wanted[full] = True
-        at = np.flatnonzero(wanted[slot])
-        pairs, back, times = np.unique(key[at], return_inverse=True, return_counts=True)
-        best = np.flatnonzero(times >= LEAST)
-        if not len(best):
+    while len(sym) > 1 and (room := min(PAIRS, SYMBOLS - base - len(rules))) > 0:
+        at, place, pairs = frequent_pairs(sym[:-1].astype(np.uint32) << np.uint32(16) | sym[1:], room)
+        if not len(at):
             break
-        best = best[np.lexsort((pairs[best], -times[best]))][:room]
-        number = np.full(len(pairs), -1, dtype=np.int64)
-        number[best] = base + len(rules) + np.arange(len(best))
-        product = number[back]
-        at, product = at[product >= 0], product[product >= 0]
         picked = greedy(at)
-        sym[picked] = product[np.searchsorted(at, picked)].astype(np.uint16)
+        sym[picked] = (base + len(rules) + place[np.searchsorted(at, picked)]).astype(np.uint16)
         stay = np.ones(len(sym), dtype=bool)
         stay[picked + 1] = False
         sym = sym[stay]
-        rules += [(p >> 16, p & 0xFFFF) for p in pairs[best].tolist()]
+        rules += [(p >> 16, p & 0xFFFF) for p in pairs.tolist()]
     return np.array(rules, dtype=np.uint16).reshape(-1, 2), sym
 
 
@@ -134,82 +148,12 @@ def unpack(shard: dict, start: int = 0, stop: int | None = None) -> np.ndarray:
     return ids[start - skip : None if stop is None else stop - skip]
 
 
-class Encoder:
-    """The tokenizers library over distinct stretches of text.
-
-    No token crosses a single space between two characters that are not white space (the space begins a token),
-    so texts fall apart there and each distinct piece is encoded once. A text with an added token's string goes whole.
-    """
-
-    _CUT = re.compile(r" (?=\S)(?<=\S )")
-    _LINES = re.compile(r" ?\S+(?:\n\S+)+")
-
-    def __init__(self, path: str, remembered: int = 250_000):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.library = Tokenizer.from_file(path)
-        self.library.no_padding()
-        self.library.no_truncation()
-        self.size = self.library.get_vocab_size(with_added_tokens=True)
-        if self.size > SYMBOLS - 2:
-            raise ValueError("ids must fit in 16 bits")
-        added = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.whole = re.compile("|".join(map(re.escape, added))) if added else None
-        self.seen: dict[str, bytes] = {}
-        self.before: dict[str, bytes] = {}
-        self.remembered = remembered
-
-    def atoms(self, piece: str) -> list[str]:
-        """Parts that tokens don't cross either: lines, and punctuation after a letter."""
-        out = []
-        for i, line in enumerate(piece.split("\n") if "\n" in piece and self._LINES.fullmatch(piece) else [piece]):
-            if i:
-                out.append("\n")
-            core = line.rstrip(".,;:!?")
-            if core and core != line and core[-1].isalpha() and core[-1] < "\u0500":
-                out += [core, line[len(core) :]]
-            else:
-                out.append(line)
-        return out
-
-    def _learn(self, pieces: set[str]) -> None:
-        """Put the ids of every piece into ``seen``. What was not seen since the last turnover is forgotten at the next."""
-        new = pieces - self.seen.keys()
-        for p in new & self.before.keys():
-            self.seen[p] = self.before[p]
-        new -= self.seen.keys()
-        whole = {p for p in new if p[-1:].isalnum() and "\n" not in p}
-        parts = {p: self.atoms(p) for p in new - whole}
-        single = whole.union(*parts.values()) - self.seen.keys()
-        for p in single & self.before.keys():
-            self.seen[p] = self.before[p]  # parts of new pieces
-        fresh = list(single - self.before.keys())
-        for piece, e in zip(fresh, self.library.encode_batch_fast(fresh, add_special_tokens=False), strict=True):
-            self.seen[piece] = array("H", e.ids).tobytes()
-        for p, ps in parts.items():
-            if len(ps) > 1:
-                self.seen[p] = b"".join([self.seen[a] for a in ps])
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        split: list[list[str]] = []
-        for t in texts:
-            if self.whole and self.whole.search(t):
-                split.append([t])
-                continue
-            first, *rest = self._CUT.split(t)
-            split.append([first, *[" " + p for p in rest]])
-        self._learn(set().union(*split))
-        get = self.seen.__getitem__
-        out = [np.frombuffer(b"".join(map(get, p)), dtype="<u2") for p in split]
-        if len(self.seen) > self.remembered:
-            self.before, self.seen = self.seen, {}
-        return out
-
-
 @lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
-    return Encoder(path)
+def encoder(path: str) -> ByteRanks:
+    ranks = ByteRanks(path)
+    if ranks.size > SYMBOLS - 2:
+        raise ValueError("ids must fit in 16 bits")
+    return ranks
 
 
 def write_ids(docs: DataFrame, path: str, folder: str, end_id: int = 0, shard_ids: int = SHARD_IDS) -> None:
@@ -236,8 +180,8 @@ def write_ids(docs: DataFrame, path: str, folder: str, end_id: int = 0, shard_id
             for at in range(0, batch.num_rows, 512):
                 piece = batch.slice(at, 512)
                 texts = [t or "" for t in piece["text"].to_pylist()]
-                for doc, ids in zip(piece["doc_id"].to_pylist(), enc.encode(texts), strict=True):
-                    held.append(np.append(ids, np.uint16(end_id)))
+                for doc, text in zip(piece["doc_id"].to_pylist(), texts, strict=True):
+                    held.append(np.array([*enc.encode(text), end_id], dtype=np.uint16))
                     ids_of.append(doc)
                     ends.append((ends[-1] if ends else 0) + len(held[-1]))
                     if ends[-1] >= shard_ids:

@@ -10,8 +10,10 @@ from pyspark.sql.window import Window
 
 from fluxspark.llm.shared import attach, key_join, numbered, running_total, word_count
 
-#: Rows of one bucket of a source's shuffled order.
-BUCKET_ROWS = 2_000
+#: Rows of one bucket of a source's shuffled order, and of a range of finish times until these are RANGES.
+BUCKET_ROWS, RANGES = 2_000, 65_536
+#: Least words of a packet, and packets of a source's target where its documents are longer.
+PACKET, PACKETS = 1, 1 << 20
 
 
 def source_targets(rows: DataFrame, weights: Sequence[float] = (3, 1, 2), budget: float = 1.5, most: int = 2) -> DataFrame:
@@ -36,6 +38,12 @@ def source_targets(rows: DataFrame, weights: Sequence[float] = (3, 1, 2), budget
     return attach(ranked, spent).select("source", "n_rows", "source_size", "weight", full.alias("target"))
 
 
+def whole_target() -> Column:
+    """A source's weight in the queue: its target in whole words, null for none."""
+    words = F.round("target").cast("bigint")
+    return F.when(words > 0, words)
+
+
 def service_times(rows: DataFrame, targets: DataFrame, seed: int = 11, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """Each document's virtual start and finish time: its source's words before and through it, over the source's target.
 
@@ -47,7 +55,7 @@ def service_times(rows: DataFrame, targets: DataFrame, seed: int = 11, bucket_ro
     parts = F.ceil(F.col("n_rows") / bucket_rows)
     queued = queued.withColumn("__b", F.floor(F.col("__k") * parts / F.lit(float(1 << 40))))
     summed = running_total(queued, "size", ["__b"], ["__k", "doc_id", "size", "uid"], ["source"])
-    share = F.when(F.col("target") > 0, F.col("target"))
+    share = whole_target()
     return summed.select(
         *rows.columns, "source_size", "target",
         ((F.col("__cum") - F.col("size")) / share).alias("start"),
@@ -56,29 +64,40 @@ def service_times(rows: DataFrame, targets: DataFrame, seed: int = 11, bucket_ro
     )
 
 
+def packets(timed: DataFrame, most: int) -> DataFrame:
+    """The queues as packets: uid, doc_id, source, repeat, words, finish. A queue is passed ``most`` times; a repeat's times lie source_size / target later.
+
+    A document longer than its source's packet (the target over PACKETS, PACKET words at least) is served in several, each with
+    its own finish time, so that the cut leaves no source far from its target. Rows grow by PACKETS a source at most.
+    """
+    copies = timed.filter("size > 0 and finish is not null").withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(most - 1))))
+    length = F.greatest(F.lit(PACKET), F.floor(F.col("target") / PACKETS)).cast("bigint")
+    cut = copies.withColumn("__l", length).withColumn("__i", F.explode(F.sequence(F.lit(1).cast("bigint"), F.ceil(F.col("size") / F.col("__l")))))
+    end = F.least(F.col("__i") * F.col("__l"), F.col("size"))
+    served = F.col("repeat") * F.col("source_size") + F.col("through") - F.col("size") + end
+    return cut.select("uid", "doc_id", "source", "repeat", (end - (F.col("__i") - 1) * F.col("__l")).alias("words"), (served / whole_target()).alias("finish"))
+
+
 def mix(rows: DataFrame, weights: Sequence[float] = (3, 1, 2), budget: float = 1.5, most: int = 2, seed: int = 11) -> tuple[DataFrame, DataFrame]:
     """The mix, and the documents with their service times.
 
-    ``rows``: uid, doc_id, source, size. The queue of a source is passed ``most`` times; a repeat's times lie
-    source_size / target later. All copies are range-sorted by finish time over the whole cluster. Weights are the
-    targets, which sum to the budget, so the budget ends at virtual time budget / sum(target) = 1 (or when all sources
-    are used up). The mix is cut there: copies that finish earlier are whole, and the one in service in each source
-    gives the words served by then (at most one document a source is cut).
+    ``rows``: uid, doc_id, source, size. The packets of all sources are ordered by finish time over the whole cluster; the mix takes them
+    until their words reach the total budget, the last one in part. Weights are the targets in whole words, which sum to the budget, so each
+    source has had its target by then, but for a packet.
 
-    Mix: uid, repeat (from 0), finish, words. No rows, or no words: an empty mix. Equal rows queue one after the other.
+    Mix: uid, repeat (from 0), finish (of the last packet taken), words. No rows, or no words: an empty mix. Equal rows queue one after the other.
     """
     targets = source_targets(rows, weights, budget, most)
     timed = service_times(rows, targets, seed)
-    copies = timed.filter("size > 0 and finish is not null").withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(most - 1))))
-    later = F.col("repeat") * F.col("source_size")
-    end = F.round("target").cast("bigint")
-    words = F.least(F.col("size"), end - (later + F.col("through") - F.col("size")))
-    taken = copies.select(
-        "uid", "repeat", ((later + F.col("through")) / F.col("target")).alias("finish"), words.alias("words")
-    ).filter("words > 0")
-    spark = rows.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return taken.repartitionByRange(parts, "finish", "uid").sortWithinPartitions("finish", "uid"), timed
+    queued = packets(timed, most)
+    size = targets.agg(F.sum("n_rows").alias("rows"), F.max(most * F.col("source_size") / whole_target()).alias("end"), F.sum(whole_target()).alias("budget"))
+    # Ranges of finish time hold about as many packets each, since the queues are shuffled.
+    ranges = F.least(F.lit(RANGES), F.ceil(most * F.col("rows") / BUCKET_ROWS))
+    placed = attach(queued, size).withColumn("__b", F.floor(F.col("finish") / F.col("end") * ranges).cast("int"))
+    total = running_total(placed, "words", ["__b"], ["finish", "source", "doc_id", "words", "uid", "repeat"])
+    left = F.least(F.col("words"), F.col("budget") - (F.col("__cum") - F.col("words")))
+    taken = total.withColumn("words", left).filter("words > 0").groupBy("uid", "repeat").agg(F.max("finish").alias("finish"), F.sum("words").alias("words"))
+    return taken, timed
 
 
 def slim(docs: DataFrame, size: Column | None = None) -> DataFrame:
@@ -100,12 +119,12 @@ def mixed_words(docs: DataFrame, **options) -> DataFrame:
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The documents of the mix with the columns they had, a repeated one twice.
+    """The documents of the mix with the columns they had, a repeated one twice, range-sorted by finish time.
 
     A copy that the cut leaves less than half of is left out, one with at least half is kept whole.
     """
     kept = numbered(docs.select(F.struct("*").alias("row")), "mix-rows", "uid")
     rows = kept.select("uid", "row.doc_id", "row.source", word_count(F.col("row.text")).alias("size"))
     taken, timed = mix(rows, **options)
-    whole = taken.join(timed.select("uid", "size"), "uid").filter("2 * words >= size").select("uid")
-    return kept.join(whole, "uid").select("row.*")
+    whole = taken.join(timed.select("uid", "size"), "uid").filter("2 * words >= size").select("uid", "finish")
+    return kept.join(whole, "uid").repartitionByRange("finish", "uid").sortWithinPartitions("finish", "uid").select("row.*")

@@ -19,8 +19,8 @@ PATTERNS = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-#: What an unseen identifier looks like: five characters or more, a digit among them.
-LIKELY = r"(?<![A-Za-z0-9._%+@-])(?=[A-Za-z._%+@-]*+[0-9])[A-Za-z0-9._%+@-]{5,}+"
+#: What an unseen identifier looks like: five characters or more, a digit or an @ among them.
+LIKELY = r"(?<![A-Za-z0-9._%+@-])(?=[A-Za-z._%+-]*+[0-9@])[A-Za-z0-9._%+@-]{5,}+"
 #: Rounds of scoring, distinct seeds a pattern needs, and the scores at which patterns spread and are believed.
 ROUNDS, SUPPORT, SPREAD, BELIEVED = 3, 3.0, 0.5, 0.8
 _BLOCK = 256
@@ -30,7 +30,7 @@ _ITEM = "array<struct<start:bigint,end:bigint,s:string,gap:string>>"
 def with_matches(rows: DataFrame, text: Column, patterns: dict[str, tuple[str, Column]]) -> DataFrame:
     """Add a column per name: the pattern's leftmost matches that don't overlap, as an array of (start, end, s, gap).
 
-    Places are in code points; gap is the end of the text before. The text is cut at its matches, so a match's place is the length
+    Places are in code points; gap is the end of the text before, the match before and what precedes that included. The text is cut at its matches, so a match's place is the length
     of all pieces before it. Lengths are summed in blocks, which keeps long arrays cheap. Each step is a column of its own,
     because lambdas evaluate what stands inside them again for every element. A pattern's second part says
     which texts can hold a match at all.
@@ -42,8 +42,10 @@ def with_matches(rows: DataFrame, text: Column, patterns: dict[str, tuple[str, C
 
     def blocks(c: str) -> Column:
         at = lambda i: F.element_at(f"{c}_pieces", i.cast("int"))
+        end = lambda i: F.right(at(i), F.lit(84))
+        before = lambda i: F.when(i > 1, F.concat(end(2 * i - 3), end(2 * i - 2), end(2 * i - 1))).otherwise(end(2 * i - 1))
         item = lambda i: F.struct(
-            F.length(at(2 * i - 1)).cast("bigint").alias("g"), F.length(at(2 * i)).cast("bigint").alias("l"), at(2 * i).alias("s"), F.right(at(2 * i - 1), F.lit(84)).alias("gap")
+            F.length(at(2 * i - 1)).cast("bigint").alias("g"), F.length(at(2 * i)).cast("bigint").alias("l"), at(2 * i).alias("s"), before(i).alias("gap")
         )
         n = F.floor(F.size(f"{c}_pieces") / 2).cast("int")
         some = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / _BLOCK).cast("int")), lambda b: F.transform(F.sequence(b * _BLOCK + 1, F.least((b + 1) * _BLOCK, F.floor(F.size(f"{c}_pieces") / 2).cast("int"))), item))
@@ -87,8 +89,9 @@ def passes(kind: str):
 
 
 def context(gap: Column) -> Column:
-    """A hash of the last two words before a place, in lower case; null where the gap has fewer."""
+    """A hash of the last two words before a place, in lower case; null where the gap has fewer. Words with a digit or an @ are all one."""
     words = F.regexp_extract(F.lower(gap), r"(\S{1,40}\s+\S{1,40})\s*$", 1)
+    words = F.regexp_replace(words, r"\S*[0-9@]\S*", "#")
     return F.when(words != "", F.xxhash64(F.regexp_replace(words, r"\s+", " ")))
 
 
@@ -97,7 +100,7 @@ def scan(rows: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     digit = F.rlike(text, F.lit("[0-9]"))
     may = {"email": F.contains(text, F.lit("@")), "ip": digit, "card": digit, "phone": F.contains(text, F.lit("+"))}
-    wanted = {f"b{i}": (PATTERNS[k], may[k]) for i, k in enumerate(KINDS)} | {"likely": (LIKELY, digit)}
+    wanted = {f"b{i}": (PATTERNS[k], may[k]) for i, k in enumerate(KINDS)} | {"likely": (LIKELY, digit | may["email"])}
     found = with_matches(rows.select("uid", "doc_id", "text"), text, wanted)
     found = found.withColumns({f"b{i}": F.filter(f"b{i}", passes(k)) for i, k in enumerate(KINDS)})
     plain = lambda i: F.transform(f"b{i}", lambda x: F.struct(x["start"].alias("start"), F.lit(i).alias("k"), x["end"].alias("end")))

@@ -17,6 +17,8 @@ from fluxspark.llm.shared import numbered, written
 BLOCK = 4096
 #: Vectors that the blocks gather around: so many at most, whatever the size of the data.
 PIVOTS = 16
+#: Stands for a null id in the trees and comes after all others (an id of this value comes back null).
+NO_ID = 2**63 - 1
 #: Points of a node that is not divided further, and nodes whose points are scored at once.
 LEAF, AT_ONCE = 16, 512
 
@@ -134,11 +136,11 @@ def dual_search(queries: CoverTree, data: CoverTree, best: Best) -> None:
 
 
 def integer_vectors(table: DataFrame, scale: int = 64, vector: str = "embedding", key: str = "vec_id") -> DataFrame:
-    """vec_id, v: floor(scale * x) of every component; rows with a null id, or a null or non-finite component, are left out."""
+    """vec_id, v: floor(scale * x) of every component; rows with a null vector, or a null or non-finite component, are left out."""
     inf = float("inf")
     sound = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < inf)
     rows = table.select(F.col(key).cast("bigint").alias("vec_id"), F.col(vector).cast("array<double>").alias("v"))
-    rows = rows.filter(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & F.coalesce(F.forall("v", sound), F.lit(False)))
+    rows = rows.filter(F.col("v").isNotNull() & F.coalesce(F.forall("v", sound), F.lit(False)))
     return rows.withColumn("v", F.transform("v", lambda x: F.floor(x * scale)))
 
 
@@ -155,7 +157,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, block: int = BLOCK,
     """query_id, rank (from 1), vec_id, score: the k greatest inner products of each query row with every other row.
 
     ``vectors``: vec_id, v (array<bigint>; a shorter vector counts as padded with zeros). Ties go to the smaller
-    vec_id. Rows are told apart by position, so rows of one vec_id are queries and candidates each. Fewer rows than k:
+    vec_id, null ones last. Rows are told apart by position, so rows of one vec_id, or of none, are queries and candidates each. Fewer rows than k:
     all of them; no queries, or an empty table: no rows.
 
     Vectors gather around the nearest of a few pivots and are split into blocks of bounded size (equal vectors too). Each
@@ -163,7 +165,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, block: int = BLOCK,
     kth score. Then query blocks meet those data blocks that can still hold a better score, and the partial
     answers are merged.
     """
-    rows = numbered(vectors.withColumn("q", F.coalesce(is_query, F.lit(False))), "topk-vectors", "uid")
+    rows = vectors.withColumn("q", F.coalesce(is_query, F.lit(False))).withColumn("vec_id", F.coalesce("vec_id", F.lit(NO_ID)))
+    rows = numbered(rows, "topk-vectors", "uid")
     # The pivots only shape the blocks.
     centres = [_matrix(pd.Series([r["v"]]))[0].astype(float) for r in rows.orderBy(F.xxhash64("vec_id"), "uid").limit(pivots).collect()]
     width = max([1, *map(len, centres)])
@@ -233,4 +236,5 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, block: int = BLOCK,
     found = found.unionByName(met.select("queries", "data").mapInPandas(across, kind))
     order = Window.partitionBy("uid").orderBy(F.desc("score"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-    return ranked.select("query_id", F.col("rank").cast("int"), "vec_id", "score")
+    given = lambda c: F.nullif(F.col(c), F.lit(NO_ID)).alias(c)
+    return ranked.select(given("query_id"), F.col("rank").cast("int"), given("vec_id"), "score")

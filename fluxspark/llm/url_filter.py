@@ -15,8 +15,6 @@ from fluxspark.llm.shared import written
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
 #: Labelled URLs that the trees are fitted on, at most.
 TRAIN_ROWS = 20_000
-#: Hash buckets of host suffixes, and of suffixes with the first part of the path, so the tables of their statistics are bounded.
-SUFFIX_BUCKETS, START_BUCKETS = 4096, 8192
 TREES, DEPTH, SEED = 12, 4, 7
 FEATURES = ("url_chars", "host_chars", "path_chars", "depth", "labels", "digit_ratio", "entropy", "parameters", "hyphens", "fragment", "suffix_log_n", "suffix_block_rate", "start_log_n", "start_block_rate")
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -62,23 +60,21 @@ def judged_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES,
 
     The verdict is the longest fitting rule's. URLs that a rule fits are the labelled ones: at most ``train_rows`` of them, first
     by a hash, train the trees, which judge the rest. Suffix statistics (how often a host's last two labels,
-    alone and with the first part of the path, occur, and are blocked by rules) come from all rows, in hash buckets. With one verdict among the labelled URLs the rest
+    alone and with the first part of the path, occur, and are blocked by rules) come from all rows, a table of one row a suffix that grows with the web. With one verdict among the labelled URLs the rest
     get that verdict, with none they are allowed. ``held_out`` rows have no label (to measure the trees on). Null URLs count as empty. Repeated rows stay. An empty table gives no rows.
     """
     url = F.coalesce(F.col("url"), F.lit(""))
     host, path = host_and_path(url)
     rows = pages.select("page_id", "url", host.alias("host"), path.alias("path"))
     suffix, start = F.substring_index("host", ".", -2), F.substring_index("path", "/", 2)
-    rows = rows.withColumn("found", rule_column(F.col("host"), F.col("path"), rules)).withColumns(
-        {"suffix": F.pmod(F.xxhash64(suffix), F.lit(SUFFIX_BUCKETS)).cast("int"), "start": F.pmod(F.xxhash64(suffix, start), F.lit(START_BUCKETS)).cast("int")}
-    )
+    rows = rows.withColumn("found", rule_column(F.col("host"), F.col("path"), rules)).withColumns({"suffix": suffix, "start": F.concat(suffix, F.lit("/"), start)})
     known = F.col("found").isNotNull() & ~(F.lit(False) if held_out is None else held_out)
     label = F.when(known, (F.col("found.verdict") == "block").cast("double"))
     wide = rows
     for key in ("suffix", "start"):
         stats = rows.groupBy(key).agg(F.count("*").alias("n"), F.count(label).alias("known"), F.coalesce(F.sum(label), F.lit(0.0)).alias("blocked"))
         stats = stats.select(key, F.log1p("n").alias(f"{key}_log_n"), ((F.col("blocked") + 1) / (F.col("known") + 2)).alias(f"{key}_block_rate"))
-        wide = wide.join(F.broadcast(stats), key)  # SUFFIX_BUCKETS or START_BUCKETS rows at most
+        wide = wide.join(stats, key)  # one row a key on the right: Spark broadcasts it while small, and splits a hot key's rows beyond
     wide = wide.withColumn("label", label).withColumns(lexical(url, F.col("host"), F.col("path")))
     ready = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(wide)
     sample = ready.filter("label is not null").select("features", "label", F.xxhash64("url", "page_id").alias("h")).orderBy("h").limit(train_rows)

@@ -103,7 +103,7 @@ def test_top_k_query_and_ties(spark):
     odd = [(0, [1.0, None]), (20, [float("nan")]), (40, None), (None, [1.0]), (60, [0.5, -0.01]), (61, [2.0]), (80, [])]
     vectors = topk.integer_vectors(spark.createDataFrame(odd, "vec_id bigint, embedding array<float>"))
     assert sorted(map(tuple, topk.top_k(vectors, F.col("vec_id") % 20 == 0).collect())) == [
-        (60, 1, 61, 4096), (60, 2, 80, 0), (80, 1, 60, 0), (80, 2, 61, 0)
+        (60, 1, 61, 4096), (60, 2, None, 2048), (60, 3, 80, 0), (80, 1, 60, 0), (80, 2, 61, 0), (80, 3, None, 0)
     ]
     assert topk.top_k(vectors.limit(0), F.lit(True)).count() == 0
 
@@ -151,6 +151,7 @@ def test_chat_round_trip(spark, tmp_path):
     odd = [
         (-1, 0, "user", trap), (-1, 1, "assistant", trap), (-2, 0, "user", trap), (-2, 1, "x\\n\ny<s>", "<\\s>a<\\\\/s>\n\n<s</s>>"), (-3, 0, None, None),
         (-3, None, "assistant", "A"), (-3, 2, "assistant", ""), (-4, 0, "user", trap), (-4, 1, "assistant", trap), (-4, 1, "assistant", trap), (None, 0, "assistant", "é" * 9000),
+        (-5, 0, "a\u0001b", "x"), (-5, 1, "c\\n\\\nd\u0002\t", "y"), (-5, 2, "\\\\n\\", "z\u0001"),
     ]
     given = spark.read.parquet(f"{SF}/conversations.parquet")
     table = given.unionByName(spark.createDataFrame(odd, given.schema)).withColumn("piece", F.lit(1)).withColumn("rank", F.lit(2))
@@ -225,6 +226,30 @@ def test_mixing_edge_cases(spark):
     assert [(r.taken, r.target) for r in nothing] == [(0, 0.0)]
 
 
+def test_mix_is_cut_and_kept_in_order_of_finish(spark):
+    """The mix is what comes first by finish time until the budget is used up, and its documents stay in that order."""
+    docs = spark.read.parquet(f"{BIGGER}/documents.parquet").select("doc_id", "text", "source")
+    taken, timed = mixing.mix(mixing.slim(docs))
+    rows, queued = taken.collect(), {r.uid: r for r in timed.collect()}
+    last = max(r.finish for r in rows)
+    whole = {(r.uid, r.repeat) for r in rows}
+    for uid, r in queued.items():
+        for repeat in (0, 1):
+            start = r.start + repeat * r.source_size / round(r.target)
+            assert ((uid, repeat) in whole) == (start < last) or abs(start - last) < 1e-4
+    assert abs(sum(r.words for r in rows) - round(1.5 * sum(r.size for r in queued.values()))) <= 8
+    mixed = mixing.mixed_documents(docs.withColumn("finish", F.lit("mine"))).withColumn("at", F.monotonically_increasing_id()).collect()
+    start = {}
+    for r in queued.values():
+        start.setdefault(r.doc_id, []).append((r.finish, r.source_size / round(r.target)))
+    seen, order = Counter(), []
+    for r in sorted(mixed, key=lambda r: r.at):
+        (finish, lap), = start[r.doc_id]
+        order.append(finish + seen[r.doc_id] * lap)
+        seen[r.doc_id] += 1
+    assert all(a <= b + 1e-4 for a, b in zip(order, order[1:]) if max(a, b) < last)
+
+
 def test_pipeline_stages(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").withColumn("kept", F.lit("mine")).withColumn("uid", F.lit(5))
     extra = [(10**6 + i, t, None, None, None, None, None) for i, t in enumerate([None, "", "word " * 30, "u v w x y z 1 2 3 a@b.cd 5"])]

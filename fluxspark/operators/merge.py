@@ -180,16 +180,15 @@ def source_runs(
 
 
 def switch_summary(runs: DataFrame, keys: Keys = ()) -> DataFrame:
-    """Runs and switches per year. A switch belongs to the year its new run starts in."""
-    opening = runs.groupBy(*keys).agg(F.min("first").alias("__opening"))
-    per = attach(runs, opening, keys).groupBy(*keys, F.year("first").alias("year"))
-    return per.agg(
+    """Runs and switches per year. A switch belongs to the year its new run starts in; the first run of a series is none."""
+    per = runs.groupBy(*keys, F.year("first").alias("year")).agg(
         F.count("*").alias("n_runs"),
-        F.count_if(F.col("first") > F.col("__opening")).alias("n_switches"),
         F.percentile("n", F.lit(0.5)).alias("median_run"),
         F.max("n").alias("max_run"),
         F.array_join(F.array_sort(F.collect_set("source")), "/").alias("sources"),
     )
+    opens = (F.col("year") == F.min("year").over(by(*keys))).cast("bigint")
+    return per.select(*keys, "year", "n_runs", (F.col("n_runs") - opens).alias("n_switches"), "median_run", "max_run", "sources")
 
 
 def total_switches(runs: DataFrame, keys: Keys = ()) -> DataFrame:
@@ -210,27 +209,27 @@ def label_multiset_subset(
 ) -> DataFrame:
     """Mark the long rows that a derived file, holding only day and rounded value, was cut from.
 
-    A value kept k times on a day claims the k earliest matching rows. The match groups are one
-    day's slots of one series. With ``check_total`` the claims must equal the derived rows.
+    A value kept k times on a day claims the k earliest matching rows. Both inputs are read once: derived rows join the long ones
+    in one window per match group, which is one day's slots of one series. With ``check_total`` a derived row without a
+    long row to claim stops the job.
     """
     match = [*keys, "date", "rounded"]
-    wanted = derived.groupBy(*match).agg(F.count("*").alias("__wanted"))
-    order = Window.partitionBy(*match).orderBy(ts, "column")
     rounded = long.withColumn("rounded", F.bround("value", decimals))
-    labelled = (
-        key_join(rounded, wanted, match)
-        .withColumn("in_derived", F.row_number().over(order) <= F.coalesce("__wanted", F.lit(0)))
-        .drop("__wanted")
+    rows = rounded.select(*match, F.struct(*[c for c in rounded.columns if c not in match]).alias("__row"))
+    asked = derived.select(*[F.col(c).cast(rounded.schema[c].dataType).alias(c) for c in match], F.lit(None).cast(rows.schema["__row"].dataType).alias("__row"))
+    long_row = F.col("__row").isNotNull()
+    group = Window.partitionBy(*match)
+    order = group.orderBy(long_row.desc(), f"__row.{ts}", "__row.column")
+    counted = rows.unionByName(asked).select(
+        "*", F.row_number().over(order).alias("__k"), F.count_if(long_row).over(group).alias("__has"), F.count_if(~long_row).over(group).alias("__wanted")
     )
     if check_total:
-        claims = labelled.agg(F.count_if("in_derived").alias("__claimed"))
-        total = derived.agg(F.count("*").alias("__total"))
         short = F.raise_error(F.lit("derived rows without a match in the long frame")).cast("boolean")
-        checked = attach(attach(labelled, claims), total)
-        labelled = checked.withColumn(
-            "in_derived", F.when(F.col("__claimed") == F.col("__total"), F.col("in_derived")).otherwise(short)
-        ).drop("__claimed", "__total")
-    return labelled
+        counted = counted.filter(F.when(F.col("__wanted") > F.col("__has"), short).otherwise(long_row))
+    else:
+        counted = counted.filter(long_row)
+    kept = [F.col(c) if c in match else F.col("__row")[c].alias(c) for c in rounded.columns]
+    return counted.select(*kept, (F.col("__k") <= F.col("__wanted")).alias("in_derived"))
 
 
 def derived_provenance(labelled: DataFrame, columns: Sequence[str], ts: str = "ts", keys: Keys = ()) -> DataFrame:

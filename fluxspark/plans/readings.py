@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from fluxspark import constants as K
@@ -11,9 +13,11 @@ from fluxspark.operators import coverage as V
 from fluxspark.operators import merge as M
 from fluxspark.operators import quality as Q
 from fluxspark.operators import reshape as R
+from fluxspark.operators.common import shared_folder
 from fluxspark.plans import bindings as B
 from fluxspark.plans.bindings import KEYS, SLUGS, VALUES, query
 from fluxspark.sources import readers as S
+from fluxspark.sources import sinks
 
 QUERIES = {}
 MONTH = "CAST(date_trunc('month', ts) AS DATE)"
@@ -514,3 +518,77 @@ QUERIES["build_monthly"] = query(
         LEFT JOIN (SELECT site, {MONTH} AS month, {STAT('v_base', 'v_base')}, {STAT('v_ref', 'v_ref')} FROM readings
                    WHERE coalesce(v_base, v_ref) IS NOT NULL GROUP BY 1, 2) m ON g.site = m.site AND g.month = m.month
         LEFT JOIN cov c ON g.site = c.site AND g.month = c.month""")
+
+# ---- files: lines made from the tables, and written tables ------------------------------------------------------
+
+
+def _lines(rows, order, *parts):
+    """Comma-separated lines of a table, one file a site: the rows with ``n`` for their order."""
+    return rows.select("site", order.cast("bigint").alias("n"), F.concat_ws(",", *[F.coalesce(p.cast("string"), F.lit("")) for p in parts]).alias("line"))
+
+
+def _with_head(rows, head, comment=None):
+    """The lines below a header, and below a comment line that a site's name goes into."""
+    sites = rows.select("site").distinct()
+    out = rows.unionByName(sites.select("site", F.lit(-1).cast("bigint").alias("n"), F.repeat(F.lit(head), F.sign(F.col("site") + 1).cast("int")).alias("line")))
+    if comment:
+        out = out.unionByName(sites.select("site", F.lit(-2).cast("bigint").alias("n"), F.format_string(comment, F.col("site")).alias("line")))
+    return out
+
+
+def product_lines(s, d):
+    stamp = F.date_format("ts", "yyyyMMddHHmm")
+    rows = _lines(B.readings(s, d), F.unix_seconds(F.col("ts").cast("timestamp")), stamp, F.coalesce("v_base", F.lit(-9999.0)), F.col("v_ref"), F.col("wd"))
+    return _with_head(rows, "TIMESTAMP_START,V_BASE,V_REF,WD", "# Site: %s; half_hours = 48; site_id=%<s")
+
+
+def monthly_lines(s, d):
+    month, later = F.date_format("month", "MM/yyyy"), F.date_format(F.add_months("month", 12), "MM/yyyy")
+    return _with_head(_lines(B.covariates(s, d), F.year("month") * 12 + F.month("month"), month, F.col("soil_temp_f"), later, F.col("precip_in")), "Month,Soil,Rain Month,Rain")
+
+
+QUERIES["read_readings"] = query(
+    lambda s, d: S.readings_of(S.comma_separated(product_lines(s, d), keys=KEYS).drop("n"), keys=KEYS), "readings", "site ts *V_BASE *V_REF *WD",
+    "SELECT site, ts, v_base AS V_BASE, v_ref AS V_REF, wd AS WD FROM readings")
+QUERIES["read_commented_csv"] = query(
+    lambda s, d: S.comment_pairs(product_lines(s, d), keys=KEYS), "readings", "site k v",
+    "SELECT DISTINCT site, k, CASE k WHEN 'half_hours' THEN '48' ELSE CAST(site AS VARCHAR) END AS v FROM readings, (VALUES ('half_hours'), ('site_id')) p(k)")
+QUERIES["read_monthly_csv"] = query(
+    lambda s, d: S.monthly_of(S.comma_separated(monthly_lines(s, d), keys=KEYS), "Month", "Soil", "soil", "MM/yyyy", KEYS), "cov", "site month *soil",
+    "SELECT site, month, soil_temp_f AS soil FROM cov WHERE soil_temp_f IS NOT NULL")
+
+
+def blocks(s, d):
+    found = S.blocks_of(S.comma_separated(monthly_lines(s, d), keys=KEYS), {"soil": ("Month", "Soil"), "rain": ("Rain Month", "Rain")}, "MM/yyyy", KEYS)
+    return found["soil"].select(*KEYS, F.lit("soil").alias("block"), "month", F.col("soil").alias("value")).unionByName(found["rain"].select(*KEYS, F.lit("rain").alias("block"), "month", F.col("rain").alias("value")))
+
+
+QUERIES["read_block_csv"] = query(
+    blocks, "cov", "site block month *value",
+    """SELECT site, 'soil' AS block, month, soil_temp_f AS value FROM cov WHERE soil_temp_f IS NOT NULL UNION ALL
+       SELECT site, 'rain', CAST(month + INTERVAL 12 MONTH AS DATE), precip_in FROM cov WHERE precip_in IS NOT NULL""")
+
+
+def written_back(s, d):
+    """The covariates written as Parquet and CSV, and read from the CSV."""
+    paths = sinks.write_table(B.covariates(s, d), f"{shared_folder(s)}/table-{uuid.uuid4().hex}")
+    return s.read.schema("site bigint, month string, soil_temp_f double, atm_temp_f double, precip_in double, wte_m double").option("header", True).csv(paths["csv"])
+
+
+QUERIES["write_table"] = query(
+    written_back, "cov", "site month *soil_temp_f *atm_temp_f *precip_in *wte_m",
+    "SELECT site, strftime(month, '%Y-%m') AS month, soil_temp_f, atm_temp_f, precip_in, wte_m FROM cov")
+
+
+def restaged(s, d):
+    """A stage of daily counts from one input and then from a part of it, at one place: what is read at the end is made from the part."""
+    path = f"{shared_folder(s)}/stage-{uuid.uuid4().hex}"
+    stage = lambda rows: sinks.stage_table(s, path, lambda: rows.groupBy("site", F.to_date("ts").alias("day")).agg(F.count("v_ref").alias("n")), inputs=[rows])
+    stage(B.readings(s, d))
+    part = B.readings(s, d).filter(F.month("ts") > 6)
+    stage(part)
+    return stage(part)
+
+
+QUERIES["stage_table"] = query(
+    restaged, "readings", "site day n", "SELECT site, CAST(ts AS DATE) AS day, count(v_ref) AS n FROM readings WHERE month(ts) > 6 GROUP BY 1, 2")

@@ -26,11 +26,48 @@ def _csv(spark: SparkSession, path: str, comment: str | None = None, columns: Se
     return df.toDF(*[c.removeprefix(BOM).strip() for c in df.columns])
 
 
+def lines_of(spark: SparkSession, path: str) -> DataFrame:
+    """The lines of a text file or folder as a table (file, n, line), n rising within a file."""
+    return spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("n"), F.col("value").alias("line"))
+
+
+def comma_separated(lines: DataFrame, comment: str = "#", line: str = "line", n: str = "n", keys: Sequence[str] = ()) -> DataFrame:
+    """Rows of comma-separated lines that stand in a table: the keys, ``n``, and every column as text.
+
+    The header is the first line that is neither empty nor a comment; the files of all keys share it, and a line equal to it is a header
+    wherever it stands. Values may be quoted. Short rows end in nulls. No lines: no columns but the keys.
+    """
+    text = F.regexp_replace(F.col(line), f"^{BOM}|\\r$", "")
+    body = lines.select(*keys, n, text.alias("__line")).filter((F.trim("__line") != "") & ~F.startswith(F.ltrim("__line"), F.lit(comment)))
+    first = body.agg(F.min_by("__line", F.struct(*keys, n)).alias("h")).first()["h"]
+    if first is None:
+        return body.select(*keys, n)
+    names = [c.strip().strip('"') for c in first.split(",")]
+    parsed = F.from_csv("__line", ", ".join(f"c{i} string" for i in range(len(names))), {"mode": "PERMISSIVE", "emptyValue": ""})
+    rows = body.filter(F.col("__line") != first).select(*keys, n, parsed.alias("__r"))
+    value = lambda i: F.nullif(F.trim(F.col(f"__r.c{i}")), F.lit(""))
+    return rows.select(*keys, n, *[value(i).alias(c) for i, c in enumerate(names)])
+
+
+def comment_pairs(lines: DataFrame, comment: str = "#", line: str = "line", keys: Sequence[str] = ()) -> DataFrame:
+    """(keys, k, v): the key=value; pairs of comment lines."""
+    said = lines.filter(F.startswith(F.ltrim(F.col(line)), F.lit(comment)))
+    pairs = said.select(*keys, F.explode(F.split(F.regexp_replace(line, rf"^\s*\{comment}\s*", ""), ";")).alias("p")).filter(F.contains("p", F.lit("=")))
+    return pairs.select(*keys, F.trim(F.substring_index("p", "=", 1)).alias("k"), F.trim(F.expr("substring(p, locate('=', p) + 1)")).alias("v"))
+
+
 def parse_stamp(c):
     """Time stamp of a yyyyMMddHHmm text, without a time zone."""
     return F.to_timestamp_ntz(C.col(c).cast("string"), F.lit(K.STAMP_FORMAT))
 
 
+def readings_of(raw: DataFrame, sentinel: float = K.SENTINEL, stamp: str = "TIMESTAMP_START", value_columns: Sequence[str] | None = None, keys: Sequence[str] = ()) -> DataFrame:
+    """Half-hourly rows of text columns: exact sentinel to null, time stamp as ``ts``."""
+    require_columns(raw, [stamp, *(value_columns or [])])
+    values = value_columns or [c for c in raw.columns if not c.startswith("TIMESTAMP_") and c not in keys]
+    return raw.select(*keys, parse_stamp(stamp).alias("ts"), *[C.clean_value(c, sentinel, tolerant=False).alias(c) for c in values])
+
+
 def read_readings(
     spark: SparkSession,
     path: str,
@@ -44,11 +81,7 @@ def read_readings(
     ``columns`` is the file's full header. ``value_columns`` keeps only those, and only
     they are parsed.
     """
-    raw = require_columns(_csv(spark, path, "#", columns), [stamp, *(value_columns or [])])
-    values = value_columns or [c for c in raw.columns if not c.startswith("TIMESTAMP_")]
-    return raw.select(
-        parse_stamp(stamp).alias("ts"), *[C.clean_value(c, sentinel, tolerant=False).alias(c) for c in values]
-    )
+    return readings_of(_csv(spark, path, "#", columns), sentinel, stamp, value_columns)
 
 
 def clean_sentinel(
@@ -71,20 +104,30 @@ def _month(c: str, pattern: str | None):
     return F.trunc(F.coalesce(*tried).cast("date"), "MM")
 
 
+def monthly_of(raw: DataFrame, date_column: str, value_column: str, name: str, pattern: str | None = None, keys: Sequence[str] = ()) -> DataFrame:
+    """(keys, month, name) of the text rows that hold both."""
+    require_columns(raw, [date_column, value_column])
+    out = raw.select(*keys, _month(date_column, pattern).alias("month"), C.clean_value(F.col(f"`{value_column}`")).alias(name))
+    return out.dropna(subset=["month", name])
+
+
 def read_monthly_csv(
     spark: SparkSession, path: str, date_column: str, value_column: str, name: str, pattern: str | None = None
 ) -> DataFrame:
     """(month, name) of the rows that hold both."""
-    raw = require_columns(_csv(spark, path), [date_column, value_column])
-    out = raw.select(_month(date_column, pattern).alias("month"), C.clean_value(F.col(f"`{value_column}`")).alias(name))
-    return out.dropna()
+    return monthly_of(_csv(spark, path), date_column, value_column, name, pattern)
+
+
+def blocks_of(raw: DataFrame, blocks: dict[str, tuple[str, str]], pattern: str | None = None, keys: Sequence[str] = ()) -> dict[str, DataFrame]:
+    """Tables that stand side by side in the same rows, each with its own date column: name -> (date, value)."""
+    return {name: monthly_of(raw, d, v, name, pattern, keys) for name, (d, v) in blocks.items()}
 
 
 def read_block_csv(
     spark: SparkSession, path: str, blocks: dict[str, tuple[str, str]], pattern: str | None = None
 ) -> dict[str, DataFrame]:
-    """Tables that stand side by side in one file, each with its own date column: name -> (date, value)."""
-    return {name: read_monthly_csv(spark, path, d, v, name, pattern) for name, (d, v) in blocks.items()}
+    """Tables that stand side by side in one file."""
+    return blocks_of(_csv(spark, path), blocks, pattern)
 
 
 def readings_to_month_mean(df: DataFrame, date: str, value: str, name: str, pattern: str = "MM/yyyy") -> DataFrame:
@@ -97,16 +140,9 @@ def readings_to_month_mean(df: DataFrame, date: str, value: str, name: str, patt
 
 def read_commented_csv(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Rows of a CSV, and the key=value; pairs of its comment lines as one row."""
-    rows = _csv(spark, path, "#")
-    pairs = (
-        spark.read.text(path)
-        .filter(F.col("value").startswith("#"))
-        .select(F.explode(F.split(F.regexp_replace("value", "^#\\s*", ""), ";")).alias("p"))
-        .filter(F.col("p").contains("="))
-        .select(F.trim(F.substring_index("p", "=", 1)).alias("k"), F.trim(F.expr("substring(p, locate('=', p) + 1)")).alias("v"))
-    )
+    pairs = comment_pairs(spark.read.text(path), line="value")
     meta = pairs.agg(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("metadata"))
-    return rows, meta
+    return _csv(spark, path, "#"), meta
 
 
 def load_series(monthly: DataFrame, column: str, keys: Sequence[str] = ()) -> DataFrame:

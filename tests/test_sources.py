@@ -79,3 +79,44 @@ def test_outer_join_of_covariates(spark):
     a = spark.createDataFrame([(dt.date(2009, 1, 1), 1.0)], "month date, a double")
     b = spark.createDataFrame([(dt.date(2009, 2, 1), 2)], "month date, b int")
     assert sorted(map(tuple, R.join_covariates([a, b]).collect())) == [(dt.date(2009, 1, 1), 1.0, None), (dt.date(2009, 2, 1), None, 2)]
+
+
+def test_stage_table_follows_its_inputs(spark, tmp_path):
+    calls, source, stage = [], str(tmp_path / "in"), str(tmp_path / "stage")
+
+    def made(rows, **options):
+        def build():
+            calls.append(1)
+            return rows.selectExpr("id * 2 AS v")
+
+        return sinks.stage_table(spark, stage, build, inputs=[rows], **options)
+
+    spark.range(3).write.parquet(source)
+    first = made(spark.read.parquet(source))
+    assert first.count() == 3 and made(spark.read.parquet(source)).count() == 3 and len(calls) == 1
+    assert made(spark.read.parquet(source).filter("id > 0")).count() == 2 and len(calls) == 2
+    spark.range(5).write.mode("append").parquet(source)
+    assert made(spark.read.parquet(source)).count() == 8 and len(calls) == 3
+    assert made(spark.read.parquet(source), version="2").count() == 8 and made(spark.read.parquet(source), version="2", reuse=False).count() == 8 and len(calls) == 5
+    # What was read before is still there, and a build that fails leaves the current one.
+    assert first.count() == 3
+
+    def broken():
+        return spark.range(2).selectExpr("raise_error('no')")
+
+    try:
+        sinks.stage_table(spark, stage, broken, inputs=[spark.range(9)])
+    except Exception:
+        pass
+    assert made(spark.read.parquet(source), version="2", reuse=False).count() == 8
+
+
+def test_lines_of_files_are_parsed_in_a_table(spark, tmp_path):
+    put(tmp_path, "a.csv", "﻿# Site: x; n=2\r\nTIMESTAMP_START,FCH4,\"WD\"\r\n\r\n200901010000,4.5,-9999\r\n# late; m = 3 \r\n200901010030,\"-9999\"\r\n")
+    lines = R.lines_of(spark, str(tmp_path / "a.csv"))
+    raw = R.comma_separated(lines)
+    assert raw.columns == ["n", "TIMESTAMP_START", "FCH4", "WD"]
+    rows = R.readings_of(raw.drop("n")).orderBy("ts").collect()
+    assert [(r.FCH4, r.WD) for r in rows] == [(4.5, None), (None, None)]
+    assert {(r.k, r.v) for r in R.comment_pairs(lines).collect()} == {("m", "3"), ("n", "2")}
+    assert R.comma_separated(lines.limit(0)).columns == ["n"]

@@ -57,8 +57,14 @@ class ByteRanks:
         self.library.no_padding()
         self.library.no_truncation()
         self.odd = odd_code_points()
+        self.odd_ascii = [chr(c) for c in np.flatnonzero(self.odd[:128]).tolist()]
+
+    def is_odd(self, text: str) -> bool:
+        if text.isascii():
+            return any(c in text for c in self.odd_ascii)
+        return bool(self.odd[np.frombuffer(text.encode("utf-32-le", "replace"), dtype="<u4")].any())
 
     def encode(self, text: str) -> list[int]:
-        if any(t in text for t in self.apart) or self.odd[np.frombuffer(text.encode("utf-32-le", "replace"), dtype="<u4")].any():
+        if any(t in text for t in self.apart) or self.is_odd(text):
             return self.library.encode(text, add_special_tokens=False).ids
         return self.ranks.encode_ordinary(text)

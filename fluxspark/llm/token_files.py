@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -91,10 +92,10 @@ def compress(ids: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray]:
 
 def rule_lengths(rules: np.ndarray, base: int) -> np.ndarray:
     """Ids that each nonterminal expands to."""
-    out = np.ones(base + len(rules), dtype=np.int64)
-    for i, (a, b) in enumerate(rules.tolist()):
-        out[base + i] = out[a] + out[b]
-    return out[base:]
+    out = [1] * base
+    for a, b in rules.tolist():
+        out.append(out[a] + out[b])
+    return np.array(out[base:], dtype=np.int64)
 
 
 def expand(symbols: np.ndarray, rules: np.ndarray, lengths: np.ndarray, base: int) -> np.ndarray:
@@ -166,28 +167,28 @@ def write_ids(docs: DataFrame, path: str, folder: str, end_id: int = 0, shard_id
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, part = encoder(path), TaskContext.get().partitionId()
-        held: list[np.ndarray] = []
+        held = array("H")
         ids_of: list[int | None] = []
         ends: list[int] = []
         shard = first = 0
 
         def flush() -> pa.RecordBatch:
-            packed = pack(np.concatenate(held), enc.size)
+            packed = pack(np.frombuffer(held, dtype=np.uint16), enc.size)
             row = {"part": part, "shard": shard, "first": first, "n_ids": ends[-1], **packed, "doc_ids": ids_of, "ends": ends}
             return pa.RecordBatch.from_pylist([row], schema=schema)
 
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 piece = batch.slice(at, 512)
-                texts = [t or "" for t in piece["text"].to_pylist()]
-                for doc, text in zip(piece["doc_id"].to_pylist(), texts, strict=True):
-                    held.append(np.array([*enc.encode(text), end_id], dtype=np.uint16))
+                for doc, text in zip(piece["doc_id"].to_pylist(), piece["text"].to_pylist(), strict=True):
+                    held.fromlist(enc.encode(text or ""))
+                    held.append(end_id)
                     ids_of.append(doc)
-                    ends.append((ends[-1] if ends else 0) + len(held[-1]))
+                    ends.append(len(held))
                     if ends[-1] >= shard_ids:
                         yield flush()
                         shard, first = shard + 1, first + ends[-1]
-                        held, ids_of, ends = [], [], []
+                        held, ids_of, ends = array("H"), [], []
         if held:
             yield flush()
 
@@ -208,8 +209,8 @@ def read_documents(spark: SparkSession, folder: str) -> DataFrame:
                 shard = batch.slice(row, 1).to_pylist()[0]
                 ids = unpack(shard)
                 ends = np.array(shard["ends"], dtype=np.int64)
-                starts = np.r_[0, ends[:-1]]
-                raw = [ids[a:b].astype("<u4").tobytes() for a, b in zip(starts, ends, strict=True)]
+                starts, wide = np.r_[0, ends[:-1]], ids.astype("<u4").tobytes()
+                raw = [wide[a:b] for a, b in zip((4 * starts).tolist(), (4 * ends).tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(shard["doc_ids"], pa.int64()), pa.array(starts + shard["first"]), pa.array(raw, pa.binary())], names=["doc_id", "start", "ids"]
                 )

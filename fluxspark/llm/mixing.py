@@ -13,7 +13,7 @@ from fluxspark.llm.shared import attach, key_join, numbered, running_total, word
 #: Rows of one bucket of a source's shuffled order, and of a range of finish times until these are RANGES.
 BUCKET_ROWS, RANGES = 2_000, 65_536
 #: Least words of a packet, and packets of a source's target where its documents are longer.
-PACKET, PACKETS = 1, 1 << 20
+PACKET, PACKETS = 1, 1 << 16
 
 
 def source_targets(rows: DataFrame, weights: Sequence[float] = (3, 1, 2), budget: float = 1.5, most: int = 2) -> DataFrame:
@@ -90,7 +90,7 @@ def mix(rows: DataFrame, weights: Sequence[float] = (3, 1, 2), budget: float = 1
     targets = source_targets(rows, weights, budget, most)
     timed = service_times(rows, targets, seed)
     queued = packets(timed, most)
-    size = targets.agg(F.sum("n_rows").alias("rows"), F.max(most * F.col("source_size") / whole_target()).alias("end"), F.sum(whole_target()).alias("budget"))
+    size = targets.agg(F.sum(F.col("n_rows") + F.least(F.lit(PACKETS), "target")).alias("rows"), F.max(most * F.col("source_size") / whole_target()).alias("end"), F.sum(whole_target()).alias("budget"))
     # Ranges of finish time hold about as many packets each, since the queues are shuffled.
     ranges = F.least(F.lit(RANGES), F.ceil(most * F.col("rows") / BUCKET_ROWS))
     placed = attach(queued, size).withColumn("__b", F.floor(F.col("finish") / F.col("end") * ranges).cast("int"))

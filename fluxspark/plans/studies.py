@@ -13,7 +13,7 @@ from fluxspark.operators.common import key_join
 from fluxspark.plans import bindings as B
 from fluxspark.plans import densities as I
 from fluxspark.plans.bindings import COVARIATES, KEYS, ON, query
-from fluxspark.plans.monthly import FITS, fit, splits, target
+from fluxspark.plans.monthly import FITS, TGT, fit, splits, target
 
 QUERIES = {}
 
@@ -87,10 +87,34 @@ QUERIES["simultaneous_band"] = query(lambda s, d: T.simultaneous_band(res(s, d),
 QUERIES["scale_by_weight"] = query(
     lambda s, d: T.scale_by_weight(res(s, d).select(*ON, "residual"), fit_rows(s, d).select(*ON, "weight"), keys=KEYS), "windows", "site month *residual",
     f"SELECT site, month, residual / (flux_se * flux_se) AS residual FROM {ROWS} JOIN flux USING (site, month)")
+
+
+def best_plane(rows: str, group: str = "site", water: bool = True) -> str:
+    """(group, b0, b1, b2) of least summed w |y - b0 - b1 x1 - b2 x2|: the best of all planes (lines without x2) through as many rows as they have terms."""
+    third, u2 = ("JOIN r c ON c.g = a.g AND b.i < c.i", "c") if water else ("", "b")
+    solved = (
+        "y0 - (p1 * v2 - p2 * v1) / det * s0 - (u1 * p2 - u2 * p1) / det * t0 AS b0, (p1 * v2 - p2 * v1) / det AS b1, (u1 * p2 - u2 * p1) / det AS b2" if water
+        else "y0 - p1 / u1 * s0 AS b0, p1 / u1 AS b1, 0.0 AS b2"
+    )
+    return f"""(WITH r AS MATERIALIZED (SELECT *, row({group}) AS g, row_number() OVER (PARTITION BY {group} ORDER BY y, x1, x2, w) AS i FROM {rows}),
+      d AS (SELECT a.g, a.y AS y0, a.x1 AS s0, a.x2 AS t0, b.x1 - a.x1 AS u1, b.x2 - a.x2 AS v1, b.y - a.y AS p1, {u2}.x1 - a.x1 AS u2, {u2}.x2 - a.x2 AS v2, {u2}.y - a.y AS p2 FROM r a JOIN r b ON a.g = b.g AND a.i < b.i {third}),
+      m AS MATERIALIZED (SELECT g, row_number() OVER () AS id, {solved} FROM (SELECT *, {"u1 * v2 - u2 * v1" if water else "u1"} AS det FROM d) WHERE abs(det) > 1e-12),
+      k AS (SELECT m.g, id, any_value(b0) AS b0, any_value(b1) AS b1, any_value(b2) AS b2, sum(w * abs(y - b0 - b1 * x1 - b2 * x2)) AS cost FROM m JOIN r ON r.g = m.g GROUP BY m.g, id),
+      o AS (SELECT DISTINCT {group}, g FROM r)
+      SELECT {group}, arg_min(b0, cost) AS b0, arg_min(b1, cost) AS b1, arg_min(b2, cost) AS b2 FROM k JOIN o USING (g) GROUP BY {group})"""
+
+
+FITTED = f"""(SELECT site, month, soil_temp_f, wte_m, (soil_temp_f - 32) * 5 / 9 AS x1, wte_m AS x2, ln(flux_mean) AS y, flux_se, CASE WHEN flux_se > 0 THEN 1 / (flux_se * flux_se) END AS w
+  FROM {FITS} JOIN flux USING (site, month))"""
+UNWEIGHTED = f"(SELECT * REPLACE (1.0 AS w) FROM {FITTED})"
+WEIGHTED = f"(SELECT * FROM {FITTED} WHERE w IS NOT NULL)"
+TERMS = lambda rows: f"""SELECT site, term, CASE term WHEN 'intercept' THEN b0 WHEN 'soil_temp_c' THEN b1 ELSE b2 END AS value
+  FROM {best_plane(rows)}, (VALUES ('intercept'), ('soil_temp_c'), ('water_table_clamped')) t(term)"""
 QUERIES["fit_lad"] = query(
-    lambda s, d: lad.coefficients(lad.fit_lad(design(s, d), D.FULL, "y", keys=KEYS), D.FULL, KEYS))
+    lambda s, d: lad.coefficients(lad.fit_lad(design(s, d), D.FULL, "y", keys=KEYS), D.FULL, KEYS), "windows", "site term *value", TERMS(UNWEIGHTED), 6)
 QUERIES["fit_lad_weighted"] = query(
-    lambda s, d: lad.coefficients(lad.fit_lad(design(s, d).filter("weight is not null"), D.FULL, "y", "weight", KEYS, bounded=True), D.FULL, KEYS))
+    lambda s, d: lad.coefficients(lad.fit_lad(design(s, d).filter("weight is not null"), D.FULL, "y", "weight", KEYS, bounded=True), D.FULL, KEYS),
+    "windows", "site term *value", TERMS(WEIGHTED), 6)
 # The least absolute deviation through the origin is a weighted median, which SQL can state.
 QUERIES["fit_lad_through_origin"] = query(
     lambda s, d: lad.fit_lad(B.readings(s, d).filter("v_ref <> 0 and v_alt is not null").select("site", "v_ref", "v_alt"), ["v_ref"], "v_alt", keys=KEYS)
@@ -134,10 +158,26 @@ def variants(s, d):
     return out
 
 
-QUERIES["predict_variant"] = query(variants)
+# Both models of the reconstruction with the bounds of their training rows, and the target months under each variant.
+MODELS = f"""md AS MATERIALIZED (SELECT f.site, f.b0, f.b1, f.b2, r.b0 AS r0, r.b1 AS r1, lo, hi FROM {best_plane(WEIGHTED)} f JOIN {best_plane(WEIGHTED, water=False)} r USING (site)
+    JOIN (SELECT site, min(x2) AS lo, max(x2) AS hi FROM {FITTED} GROUP BY 1) USING (site)),
+  pv AS (SELECT site, month, b0 + b1 * x1 + b2 * greatest(least(wte_m, hi), lo) AS clamped, b0 + b1 * x1 + b2 * wte_m AS unclamped, r0 + r1 * x1 AS reduced
+    FROM (SELECT *, (soil_temp_f - 32) * 5 / 9 AS x1 FROM cov JOIN {TGT} USING (site, month)) JOIN md USING (site))"""
+QUERIES["predict_variant"] = query(
+    variants, "windows", "site month variant *prediction", f"WITH {MODELS} SELECT site, month, variant, prediction FROM pv UNPIVOT (prediction FOR variant IN (clamped, unclamped, reduced))", 6)
 recon = lambda s, d: D.monthly_reconstruction(fit_rows(s, d), target_rows(s, d), keys=KEYS)
-QUERIES["monthly_reconstruction"] = query(recon)
-QUERIES["wet_end_bias"] = query(lambda s, d: D.wet_end_bias(fit_rows(s, d), keys=KEYS))
+RECON = f"""{MODELS}, rq AS (SELECT site, quantile_cont(e, 0.05) AS rl, quantile_cont(e, 0.95) AS rh FROM (SELECT site, y - b0 - b1 * x1 - b2 * x2 AS e FROM {WEIGHTED} JOIN md USING (site)) GROUP BY 1),
+  rc AS (SELECT site, month, exp(clamped) AS clamped, exp(clamped + rl) AS lower, exp(clamped + rh) AS upper, exp(unclamped) AS unclamped, exp(reduced) AS reduced FROM pv JOIN rq USING (site))"""
+QUERIES["monthly_reconstruction"] = query(recon, "windows", "site month *clamped *lower *upper *unclamped *reduced", f"WITH {RECON} SELECT * FROM rc", 5)
+EARLY = f"""ey AS MATERIALIZED (SELECT * FROM {FITTED} JOIN (SELECT site, year FROM (SELECT site, year, row_number() OVER (PARTITION BY site ORDER BY year) AS k FROM (SELECT DISTINCT site, year(month) AS year FROM {FITTED})) WHERE k <= 3) e
+    USING (site) WHERE year(month) = year),
+  tr AS MATERIALIZED (SELECT f.* FROM {FITTED} f WHERE NOT EXISTS (SELECT 1 FROM ey WHERE ey.site = f.site AND ey.month = f.month)),
+  tb AS (SELECT site, min(x2) AS lo, max(x2) AS hi FROM tr GROUP BY 1),
+  tm AS MATERIALIZED (SELECT * FROM {best_plane("(SELECT site, x1, x2, y, w FROM tr WHERE w IS NOT NULL)")}),
+  er AS (SELECT site, x2, y - b0 - b1 * x1 - b2 * greatest(least(x2, hi), lo) AS e FROM ey JOIN tm USING (site) JOIN tb USING (site)),
+  eb AS (SELECT site, quantile_cont(x2, 2 / 3.0) AS edge FROM er GROUP BY 1),
+  wb AS (SELECT site, round_even(avg(e), 4) AS expected_bias_log FROM er JOIN eb USING (site) WHERE x2 > edge GROUP BY 1)"""
+QUERIES["wet_end_bias"] = query(lambda s, d: D.wet_end_bias(fit_rows(s, d), keys=KEYS), "windows", "site *expected_bias_log", f"WITH {EARLY} SELECT * FROM wb", 6)
 QUERIES["annual_reconstruction"] = query(
     lambda s, d: D.annual_reconstruction(
         recon(s, d), P.year_support(B.covariates(s, d), fit(s, d), target(s, d), COVARIATES, KEYS), D.wet_end_bias(fit_rows(s, d), keys=KEYS), KEYS))

@@ -318,15 +318,24 @@ def seasonal_bias_of_rule(
     )
 
 
+def annual_grams(flux: str) -> Column:
+    """Sum of the months' mass, each month held over its own length; 0 without any."""
+    return F.coalesce(F.sum(C.monthly_flux_to_grams(flux, "month")), F.lit(0.0))
+
+
+def annual_carbon(flux: str) -> Column:
+    return F.bround(annual_grams(flux) * K.C_PER_CH4, 3)
+
+
 def monthly_flux_to_annual(monthly: DataFrame, flux: str, keys: Keys = ()) -> DataFrame:
     """Annual mass from monthly mean flux, each month held over its own length."""
-    grams = F.coalesce(F.sum(C.monthly_flux_to_grams(flux, "month")), F.lit(0.0))
+    grams = annual_grams(flux)
     return (
         monthly.groupBy(*keys, F.year("month").alias("year"))
         .agg(
             F.count("*").alias("n_months"),
             F.bround(grams, 3).alias("g_ch4_m2"),
-            F.bround(grams * K.C_PER_CH4, 3).alias("g_c_m2"),
+            annual_carbon(flux).alias("g_c_m2"),
         )
     )
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from fluxspark import constants as K
 from fluxspark.functions import columns as C
 from fluxspark.operators import lad
-from fluxspark.operators.aggregate import monthly_flux_to_annual
+from fluxspark.operators.aggregate import annual_carbon
 from fluxspark.operators.common import Keys, attach, by, checkpointed, key_join
 from fluxspark.operators.months import drier_subset, earliest_years, rising_flag
 from fluxspark.operators.stats import bias_by_band, correlation_p
@@ -345,11 +345,7 @@ def annual_reconstruction(
 ) -> DataFrame:
     """Annual carbon per variant and edge, sensitivity range, support verdict and bias expectation."""
     yk = [*keys, "year"]
-    monthly = checkpointed(monthly)
-    annual = None
-    for c in (*VARIANTS, "lower", "upper"):
-        part = monthly_flux_to_annual(monthly, c, keys).select(*yk, F.col("g_c_m2").alias(c))
-        annual = part if annual is None else key_join(annual, part, yk)
+    annual = monthly.groupBy(*keys, F.year("month").alias("year")).agg(*[annual_carbon(c).alias(c) for c in (*VARIANTS, "lower", "upper")])
     low, high = F.least(*VARIANTS), F.greatest(*VARIANTS)
     rows = attach(annual, bias, keys)
     ratio = C.predicted_over_observed("expected_bias_log")

@@ -289,10 +289,7 @@ QUERIES["joint_support"] = query(
         SELECT site, 'fit' AS "group", count(*) AS n, quantile_cont(distance, 0.5) AS median, quantile_cont(distance, 0.95) AS p95, max(distance) AS max, 0 AS n_beyond_fit_p95
         FROM own GROUP BY 1 UNION ALL SELECT site, 'target', count(*), quantile_cont(distance, 0.5), quantile_cont(distance, 0.95), max(distance),
         count(*) FILTER (distance > l) FROM far JOIN lim USING (site) GROUP BY 1""")
-QUERIES["year_support"] = query(
-    lambda s, d: P.year_support(B.covariates(s, d), fit(s, d), target(s, d), COVARIATES, KEYS), "long_cov windows",
-    "site i:year n_months n_months_outside_range *pct_months_outside covariates_outside *joint_distance_median *joint_distance_max support",
-    f"""WITH o AS (SELECT * FROM {OUT}), far AS (SELECT * FROM {NEAR(TGT)})
+YEAR_SUPPORT = f"""WITH o AS (SELECT * FROM {OUT}), far AS (SELECT * FROM {NEAR(TGT)})
         SELECT t.site, year(t.month) AS year, count(*) AS n_months, count(x.month) AS n_months_outside_range, round_even(100.0 * count(x.month) / count(*), 0) AS pct_months_outside,
         coalesce(max(names), '') AS covariates_outside,
         round_even(quantile_cont(distance, 0.5), 3) AS joint_distance_median, round_even(max(distance), 3) AS joint_distance_max,
@@ -300,7 +297,10 @@ QUERIES["year_support"] = query(
         FROM {TGT} t LEFT JOIN (SELECT DISTINCT site, month FROM o) x ON x.site = t.site AND x.month = t.month
         LEFT JOIN far f ON f.site = t.site AND f.month = t.month
         LEFT JOIN (SELECT site, year(month) AS y, string_agg(DISTINCT covariate, ', ' ORDER BY covariate) AS names FROM o GROUP BY 1, 2) c ON c.site = t.site AND c.y = year(t.month)
-        GROUP BY t.site, year(t.month)""")
+        GROUP BY t.site, year(t.month)"""
+QUERIES["year_support"] = query(
+    lambda s, d: P.year_support(B.covariates(s, d), fit(s, d), target(s, d), COVARIATES, KEYS), "long_cov windows",
+    "site i:year n_months n_months_outside_range *pct_months_outside covariates_outside *joint_distance_median *joint_distance_max support", YEAR_SUPPORT)
 QUERIES["support_classes"] = query(
     lambda s, d: P.support_classes(B.covariates(s, d), "wte_m", fit(s, d), B.EXCLUDE, KEYS), "windows", "site month *wte_m *fit_min *fit_max support",
     f"""SELECT g.site, g.month, wte_m, lo AS fit_min, hi AS fit_max, CASE WHEN g.month IN (DATE '1999-06-01', DATE '1999-09-01') THEN 'removed' WHEN wte_m IS NULL THEN 'missing'

@@ -13,7 +13,7 @@ from fluxspark.operators.common import key_join
 from fluxspark.plans import bindings as B
 from fluxspark.plans import densities as I
 from fluxspark.plans.bindings import COVARIATES, KEYS, ON, query
-from fluxspark.plans.monthly import FITS, TGT, fit, splits, target
+from fluxspark.plans.monthly import FITS, TGT, YEAR_SUPPORT, fit, splits, target
 
 QUERIES = {}
 
@@ -178,9 +178,23 @@ EARLY = f"""ey AS MATERIALIZED (SELECT * FROM {FITTED} JOIN (SELECT site, year F
   eb AS (SELECT site, quantile_cont(x2, 2 / 3.0) AS edge FROM er GROUP BY 1),
   wb AS (SELECT site, round_even(avg(e), 4) AS expected_bias_log FROM er JOIN eb USING (site) WHERE x2 > edge GROUP BY 1)"""
 QUERIES["wet_end_bias"] = query(lambda s, d: D.wet_end_bias(fit_rows(s, d), keys=KEYS), "windows", "site *expected_bias_log", f"WITH {EARLY} SELECT * FROM wb", 6)
+YEARLY = lambda c: f"round_even(sum({c} * day(last_day(month)) * 86400 * 1e-9 * 16.043) * (12.011::DOUBLE / 16.043), 3)"
+# Half-even rounding of a value of three decimals to two, in whole thousandths, so that a tie is one.
+CENTS = lambda x: f"((n_({x}) // 10) + CASE WHEN n_({x}) % 10 > 5 OR (n_({x}) % 10 = 5 AND (n_({x}) // 10) % 2 = 1) THEN 1 ELSE 0 END) / 100.0".replace(f"n_({x})", f"CAST(round({x} * 1000) AS BIGINT)")
 QUERIES["annual_reconstruction"] = query(
     lambda s, d: D.annual_reconstruction(
-        recon(s, d), P.year_support(B.covariates(s, d), fit(s, d), target(s, d), COVARIATES, KEYS), D.wet_end_bias(fit_rows(s, d), keys=KEYS), KEYS))
+        recon(s, d), P.year_support(B.covariates(s, d), fit(s, d), target(s, d), COVARIATES, KEYS), D.wet_end_bias(fit_rows(s, d), keys=KEYS), KEYS),
+    "long_cov windows",
+    "site i:year n_months support n_months_outside_range *pct_months_outside covariates_outside *joint_distance_max *clamped *unclamped *reduced *lower *upper *sensitivity_low *sensitivity_high "
+    "*sensitivity_span_pct bias_expectation *if_corrected",
+    f"""WITH {RECON}, {EARLY}, ys AS ({YEAR_SUPPORT}),
+        yr AS (SELECT site, year(month) AS year, {", ".join(f"{YEARLY(c)} AS {c}" for c in (*D.VARIANTS, "lower", "upper"))} FROM rc GROUP BY 1, 2),
+        sp AS (SELECT *, least(clamped, unclamped, reduced) AS l, greatest(clamped, unclamped, reduced) AS h FROM yr)
+        SELECT ys.site, ys.year, n_months, support, n_months_outside_range, pct_months_outside, covariates_outside, joint_distance_max, {", ".join(f"{CENTS(c)} AS {c}" for c in (*D.VARIANTS, "lower", "upper"))},
+        {CENTS("l")} AS sensitivity_low, {CENTS("h")} AS sensitivity_high, round_even(100 * (h - l) / clamped, 0) AS sensitivity_span_pct,
+        CASE WHEN abs(expected_bias_log) < 0.01 THEN 'no material bias' WHEN expected_bias_log > 0 THEN 'model predicts low' WHEN expected_bias_log <= 0 THEN 'model predicts high' END AS bias_expectation,
+        round_even(clamped / exp(-expected_bias_log), 2) AS if_corrected
+        FROM ys LEFT JOIN sp ON sp.site = ys.site AND sp.year = ys.year LEFT JOIN wb ON wb.site = ys.site""", 4)
 SEASON = "sum({c} * day(last_day(month)) * 86400 * 1e-9 * 16.043) * (12.011::DOUBLE / 16.043)"
 QUERIES["season_totals"] = query(
     lambda s, d: V.season_totals(B.flux(s, d).select(*ON, "flux_mean", "flux_sd"), ["flux_mean", "flux_sd"], keys=KEYS), "flux",

@@ -29,16 +29,15 @@ def _solver(p: int, alpha: float):
     upper = [(i, j) for i in range(p) for j in range(i, p)]
 
     @F.pandas_udf(StructType([StructField("ols", DoubleType()), StructField("ridge", DoubleType())]))
-    def solve(n: pd.Series, sx: pd.Series, sy: pd.Series, xx: pd.Series, xy: pd.Series, test: pd.Series, kept: pd.Series) -> pd.DataFrame:
+    def solve(n: pd.Series, mean_x: pd.Series, mean_y: pd.Series, xx: pd.Series, xy: pd.Series, test: pd.Series, kept: pd.Series) -> pd.DataFrame:
         out = []
-        for m, a, b, g, h, t, use in zip(n, sx, sy, xx, xy, test, kept):
-            mx, my = np.asarray(a) / m, b / m
-            G = np.zeros((p, p))
+        for m, a, my, g, h, t, use in zip(n, mean_x, mean_y, xx, xy, test, kept):
+            mx, G = np.asarray(a), np.zeros((p, p))
             for (i, j), v in zip(upper, g):
                 G[i, j] = G[j, i] = v
             k = np.flatnonzero(np.asarray(use, dtype=bool))
-            S = (G - m * np.outer(mx, mx))[np.ix_(k, k)]
-            c, d = (np.asarray(h) - m * mx * my)[k], (np.asarray(t) - mx)[k]
+            S = m * G[np.ix_(k, k)]
+            c, d = m * np.asarray(h)[k], (np.asarray(t) - mx)[k]
             s = np.sqrt(np.maximum(np.diag(S), 1e-300))
             ols = np.linalg.lstsq(S / np.outer(s, s), c / s, rcond=1e-12)[0] / s
             ridge = np.linalg.solve(S + alpha * np.eye(len(k)), c)
@@ -51,26 +50,26 @@ def _solver(p: int, alpha: float):
 def linear_forecasts(
     folds: DataFrame, width: int, keys: Keys = (), alpha: float = 1.0, kept: DataFrame | None = None
 ) -> DataFrame:
-    """Ordinary least squares and ridge of every fold, from one aggregate of sums and products.
+    """Ordinary least squares and ridge of every fold, from one aggregate of means and covariances, which are centred as they are summed.
 
     The intercept is not penalized. ``kept`` optionally masks the predictors of an origin.
     """
     fk = [*keys, "origin"]
     x, train = (lambda i: F.col("x")[i]), ~F.col("is_test")
-    sum_of = lambda e: F.sum(F.when(train, e))
+    of = lambda e: F.when(train, e)
     agg = folds.groupBy(*fk).agg(
         F.count_if(train).alias("__n"),
-        F.array(*[sum_of(x(i)) for i in range(width)]).alias("__sx"),
-        sum_of(F.col("y")).alias("__sy"),
-        F.array(*[sum_of(x(i) * x(j)) for i in range(width) for j in range(i, width)]).alias("__xx"),
-        F.array(*[sum_of(x(i) * F.col("y")) for i in range(width)]).alias("__xy"),
+        F.array(*[F.avg(of(x(i))) for i in range(width)]).alias("__mx"),
+        F.avg(of(F.col("y"))).alias("__my"),
+        F.array(*[F.covar_pop(of(x(i)), of(x(j))) for i in range(width) for j in range(i, width)]).alias("__xx"),
+        F.array(*[F.covar_pop(of(x(i)), of(F.col("y"))) for i in range(width)]).alias("__xy"),
         F.max(F.when(~train, F.struct("month", "x", "level", "actual", "train_n", "mase_scale"))).alias("t"),
     )
     if kept is None:
         agg = agg.withColumn("__kept", F.array(*[F.lit(True)] * width))
     else:
         agg = key_join(agg, kept.select("origin", F.col("mask").alias("__kept")), ["origin"], "inner")
-    solved = agg.withColumn("p", _solver(width, alpha)("__n", "__sx", "__sy", "__xx", "__xy", "t.x", "__kept"))
+    solved = agg.withColumn("p", _solver(width, alpha)("__n", "__mx", "__my", "__xx", "__xy", "t.x", "__kept"))
     both = F.explode(
         F.array(
             F.struct(F.lit("ordinary least squares").alias("method"), F.col("p.ols").alias("a")),

@@ -12,7 +12,7 @@ from pyspark.sql.window import Window
 
 from fluxspark import constants as K
 from fluxspark.functions import columns as C
-from fluxspark.functions import tails
+from fluxspark.functions import exact, tails
 from fluxspark.functions.linear import solved
 from fluxspark.operators.common import (
     Keys,
@@ -318,6 +318,26 @@ def two_samples(rows: DataFrame, first: str, second: str, value: str = "value",
     )
 
 
+def exact_two_samples(rows: DataFrame, first: str, second: str, value: str = "value", on: Keys = ("covariate",), most: int = 8, cells: int = 10_000) -> DataFrame:
+    """n1, n2, u, ks_statistic and exact p-values of two samples per group.
+
+    The rank-sum p is exact where there are no ties and one sample has at most ``most`` values, the distance p where n1 n2 is at most
+    ``cells``; elsewhere they are null, and the asymptotic ones of ``two_samples`` hold.
+    """
+    tests = two_samples(rows, first, second, value, on)
+    in1, in2 = F.coalesce(first, F.lit(False)), F.coalesce(second, F.lit(False))
+    used = rows.filter(F.col(value).isNotNull() & (in1 | in2)).groupBy(*on, value).agg(F.count("*").alias("__c"))
+    tied = used.groupBy(*on).agg((F.max("__c") > 1).alias("__tied"))
+    n1, n2 = F.col("n1"), F.col("n2")
+    u = F.round((F.col("cliffs_delta") + 1) / 2 * n1 * n2, 1)
+    small = (F.least(n1, n2) <= most) & (n1 * n2 <= cells) & ~F.col("__tied")
+    return attach(tests, tied, on).withColumn("u", u).select(
+        *on, "n1", "n2", "u", "ks_statistic",
+        F.when(small, exact.rank_sum_p(F.col("u"), n1, n2)).alias("mann_whitney_p"),
+        F.when(n1 * n2 <= cells, exact.two_sample_distance_p(F.col("ks_statistic"), n1, n2)).alias("ks_p"),
+    )
+
+
 def deseasonalise(df: DataFrame, columns: Sequence[str], keys: Keys = ()) -> DataFrame:
     """Each column less its own month-of-year mean over every month it holds."""
     moy = by(*keys, "__moy")

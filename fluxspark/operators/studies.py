@@ -237,7 +237,7 @@ def coefficient_path(
 
 
 def stability_verdict(path: DataFrame, max_drift: float = 0.25, alpha: float = 0.05, keys: Keys = ()) -> DataFrame:
-    """Whether the water-table coefficient holds as its range narrows, and why not."""
+    """Whether the water-table coefficient holds as its range narrows, and why not: ``failures`` by name, ``reasons`` with their numbers."""
     c, pct = F.col("water_table_coef"), F.col("dropped_wettest_pct")
     order = by(*keys).orderBy("dropped_wettest_pct")
     # Ties share their mean rank, as in Spearman's coefficient.
@@ -269,7 +269,15 @@ def stability_verdict(path: DataFrame, max_drift: float = 0.25, alpha: float = 0
             F.when((F.abs(r) >= 0.9) & (F.col("trend_p") < alpha), "monotone trend"),
         )
     )
-    return stats.drop("__n").withColumn("failures", failures).withColumn("stable", F.size("failures") == 0)
+    whole = lambda x: F.bround(x, 0).cast("bigint")
+    reasons = F.transform(
+        failures,
+        lambda f: F.when(f == "sign changes", F.format_string("the sign changes at %d of %d steps", "sign_changes", n))
+        .when(f == "interval spans zero", F.format_string("the interval spans zero at %d of %d steps", "steps_spanning_zero", n))
+        .when(f == "coefficient drifts", F.format_string("the coefficient drifts by %d%% of its first value", whole(100 * F.col("relative_drift"))))
+        .otherwise(F.format_string("the coefficient follows the share removed with a rank correlation of %d%%", whole(100 * r))),
+    )
+    return stats.withColumn("failures", failures).withColumn("stable", F.size("failures") == 0).withColumn("reasons", reasons).drop("__n")
 
 
 def stability_paths(paths: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ from fluxspark.operators import stats as T
 from fluxspark.operators import studies as D
 from fluxspark.operators import support as P
 from fluxspark.operators import weights as W
-from fluxspark.operators.common import exact_quantiles, key_join
+from fluxspark.operators.common import by, exact_quantiles, key_join
 from fluxspark.operators.merge import paired
 from fluxspark.plans import bindings as B
 from fluxspark.plans import densities as I
@@ -118,12 +118,12 @@ QUERIES["join_covariates"] = query(
     "cov flux", "site month *soil_temp_f *wte_m *flux_mean",
     """SELECT site, month, soil_temp_f, CASE WHEN month(month) <> 2 THEN wte_m END AS wte_m, flux_mean FROM cov FULL JOIN flux USING (site, month)""")
 QUERIES["verify_spot_checks"] = query(
-    lambda s, d: S.verify_spot_checks(B.covariates(s, d).filter("site = 0"), {"atm_temp_f": {"1996-02": 37.0, "1990-01": 1.0}, "wte_m": {"1999-05": 4.0}}, 1.0),
-    "cov", "column month *expected *actual *abs_diff match",
-    """SELECT "column", e.month, expected, actual, abs(actual - expected) AS abs_diff, coalesce(abs(actual - expected) < 1.0, FALSE) AS match
-       FROM (VALUES ('atm_temp_f', DATE '1996-02-01', 37.0), ('atm_temp_f', DATE '1990-01-01', 1.0), ('wte_m', DATE '1999-05-01', 4.0)) e("column", month, expected)
-       LEFT JOIN (SELECT month, covariate, value AS actual FROM (SELECT month, 'atm_temp_f' AS covariate, atm_temp_f AS value FROM cov WHERE site = 0
-         UNION ALL SELECT month, 'wte_m', wte_m FROM cov WHERE site = 0)) a ON a.month = e.month AND a.covariate = e."column" """)
+    lambda s, d: S.verify_spot_checks(B.covariates(s, d), {"atm_temp_f": {"1996-02": 37.0, "1990-01": 1.0}, "wte_m": {"1999-05": 4.0}}, 1.0, keys=KEYS),
+    "cov", "site column month *expected *actual *abs_diff match",
+    """SELECT s.site, "column", e.month, expected, actual, abs(actual - expected) AS abs_diff, coalesce(abs(actual - expected) < 1.0, FALSE) AS match
+       FROM (SELECT DISTINCT site FROM cov) s, (VALUES ('atm_temp_f', DATE '1996-02-01', 37.0), ('atm_temp_f', DATE '1990-01-01', 1.0), ('wte_m', DATE '1999-05-01', 4.0)) e("column", month, expected)
+       LEFT JOIN (SELECT site, month, covariate, value AS actual FROM (SELECT site, month, 'atm_temp_f' AS covariate, atm_temp_f AS value FROM cov
+         UNION ALL SELECT site, month, 'wte_m', wte_m FROM cov)) a ON a.site = s.site AND a.month = e.month AND a.covariate = e."column" """)
 QUERIES["stack_labelled"] = query(
     lambda s, d: R.stack_labelled({"soil": B.covariates(s, d).select(*ON, F.col("soil_temp_f").alias("v")), "water": B.covariates(s, d).select(*ON, F.col("wte_m").alias("v"))}),
     "cov", "site month *v family", "SELECT site, month, soil_temp_f AS v, 'soil' AS family FROM cov UNION ALL SELECT site, month, wte_m, 'water' FROM cov")
@@ -426,6 +426,27 @@ QUERIES["period_test_p_values"] = query(
         us AS (SELECT *, (cliffs_delta + 1) / 2 * n1 * n2 AS u, n1 + n2 AS n FROM cp JOIN ti USING (site, covariate)),
         zs AS (SELECT *, greatest((greatest(u, n1 * n2 - u) - n1 * n2 / 2.0 - 0.5) / sqrt(n1 * n2 / 12.0 * (n + 1 - ties / (n * (n - 1.0)))), 0) AS z, sqrt(n1 * n2 / n::DOUBLE) * ks_statistic AS k FROM us)
         SELECT site, covariate, {I.normal_p("z")} AS mann_whitney_p, {I.kolmogorov_p("k")} AS ks_p FROM zs""")
+
+
+def yearly_samples(s, d):
+    """Annual means of every covariate: the first three years of a series against all others."""
+    rows = B.covariates(s, d).unpivot([*KEYS, "month"], COVARIATES, "covariate", "value").filter("value is not null")
+    years = rows.groupBy(*KEYS, "covariate", F.year("month").alias("y")).agg(F.avg("value").alias("value"))
+    first = F.rank().over(by(*KEYS, "covariate").orderBy("y")) <= 3
+    return years.withColumn("early", first).withColumn("late", ~F.col("early"))
+
+
+# All ways to call three of the years early: the share of those at least as far from the middle, and as far apart.
+SPLITS3 = """yv AS (SELECT site, covariate, v, e, row_number() OVER (PARTITION BY site, covariate ORDER BY v) AS r, count(*) OVER (PARTITION BY site, covariate) AS n FROM (
+    SELECT site, covariate, avg(value) AS v, rank() OVER (PARTITION BY site, covariate ORDER BY year(month)) <= 3 AS e FROM long_cov GROUP BY site, covariate, year(month))),
+  tr AS (SELECT a.site, a.covariate, a.n, a.r AS i, b.r AS j, c.r AS k, a.e AND b.e AND c.e AS real FROM yv a JOIN yv b ON a.site = b.site AND a.covariate = b.covariate AND a.r < b.r
+         JOIN yv c ON c.site = a.site AND c.covariate = a.covariate AND b.r < c.r),
+  us AS (SELECT *, i + j + k - 6 AS u, 3 * (n - 3) AS top, (SELECT max(abs(((i <= r)::INT + (j <= r)::INT + (k <= r)::INT) / 3.0 - (r - (i <= r)::INT - (j <= r)::INT - (k <= r)::INT) / (n - 3.0))) FROM range(1, n + 1) p(r)) AS ks FROM tr),
+  rl AS (SELECT site, covariate, greatest(u, top - u) AS m, u AS u0, ks AS k0 FROM us WHERE real)"""
+QUERIES["exact_period_p_values"] = query(
+    lambda s, d: T.exact_two_samples(yearly_samples(s, d), "early", "late", on=[*KEYS, "covariate"]), "long_cov", "site covariate n1 n2 *u *ks_statistic *mann_whitney_p *ks_p",
+    f"""WITH {SPLITS3} SELECT site, covariate, CAST(3 AS BIGINT) AS n1, max(n) - 3 AS n2, max(u0) AS u, max(k0) AS ks_statistic, least(1, 2.0 * count(*) FILTER (u >= m) / count(*)) AS mann_whitney_p,
+        1.0 * count(*) FILTER (ks >= k0 - 1e-9) / count(*) AS ks_p FROM us JOIN rl USING (site, covariate) GROUP BY 1, 2""")
 QUERIES["early_late_contrast"] = query(
     lambda s, d: T.early_late_contrast(B.covariates(s, d), COVARIATES, ("1995-01-01", "1996-12-01"), ("2000-01-01", "2001-12-01"), KEYS).drop("mann_whitney_p"),
     "long_cov", "site covariate *early_mean *late_mean *difference",

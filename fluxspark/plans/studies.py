@@ -9,7 +9,7 @@ from fluxspark.operators import lad
 from fluxspark.operators import stats as T
 from fluxspark.operators import studies as D
 from fluxspark.operators import support as P
-from fluxspark.operators.common import key_join
+from fluxspark.operators.common import by, key_join
 from fluxspark.plans import bindings as B
 from fluxspark.plans import densities as I
 from fluxspark.plans.bindings import COVARIATES, KEYS, ON, query
@@ -130,19 +130,27 @@ QUERIES["coefficient_path"] = query(
 
 def paths(s, d):
     """A path of fixed shape per site, from the covariates' means."""
-    rows = B.covariates(s, d).groupBy("site", F.year("month").alias("y")).agg(F.avg("wte_m").alias("c")).filter("y between 1995 and 1999")
+    rows = B.covariates(s, d).groupBy("site", F.year("month").alias("y")).agg(F.avg("wte_m").alias("c")).filter("c is not null")
     return rows.select(
-        "site", ((F.col("y") - 1995) * 10).alias("dropped_wettest_pct"), F.col("c").alias("water_table_coef"), (F.col("c") < 3.95).alias("water_table_includes_zero"))
+        "site", ((F.col("y") - F.min("y").over(by("site"))) * 10).alias("dropped_wettest_pct"), F.col("c").alias("water_table_coef"), (F.col("c") < 3.95).alias("water_table_includes_zero"))
 
 
-PATHS = "(SELECT site, (year(month) - 1995) * 10 AS pct, avg(wte_m) AS c FROM cov WHERE year(month) BETWEEN 1995 AND 1999 GROUP BY 1, 2)"
+PATHS = "(SELECT site, (y - min(y) OVER (PARTITION BY site)) * 10 AS pct, c FROM (SELECT site, year(month) AS y, avg(wte_m) AS c FROM cov GROUP BY 1, 2) WHERE c IS NOT NULL)"
 QUERIES["stability_verdict"] = query(
-    lambda s, d: D.stability_verdict(paths(s, d), keys=KEYS).drop("failures", "trend_p", "stable"), "cov",
+    lambda s, d: D.stability_verdict(paths(s, d), keys=KEYS).drop("failures", "reasons", "trend_p", "stable"), "cov",
     "site *baseline_coefficient sign_changes steps_spanning_zero *coefficient_spread *trend *relative_drift",
     f"""SELECT site, b AS baseline_coefficient, count(*) FILTER (sign(c) <> sign(b)) AS sign_changes, count(*) FILTER (c < 3.95) AS steps_spanning_zero, max(c) - min(c) AS coefficient_spread,
         corr(rc, rp) AS trend, (max(c) - min(c)) / abs(b) AS relative_drift FROM (SELECT site, pct, c, first(c) OVER (PARTITION BY site ORDER BY pct) AS b,
         rank() OVER (PARTITION BY site ORDER BY c) AS rc, rank() OVER (PARTITION BY site ORDER BY pct) AS rp FROM {PATHS}) GROUP BY site, b""")
-QUERIES["stability_verdict_failures"] = query(lambda s, d: D.stability_verdict(paths(s, d), keys=KEYS).select("site", "trend_p", "failures", "stable"))
+QUERIES["stability_verdict_failures"] = query(
+    lambda s, d: D.stability_verdict(paths(s, d), keys=KEYS).select("site", "trend_p", F.array_join("reasons", "; ").alias("reasons"), "stable"), "cov", "site *trend_p reasons stable",
+    f"""WITH v AS (SELECT site, b, count(*) AS n, count(*) FILTER (sign(c) <> sign(b)) AS sc, count(*) FILTER (c < 3.95) AS sz, corr(rc, rp) AS r, (max(c) - min(c)) / abs(b) AS dr FROM (
+          SELECT site, pct, c, first(c) OVER (PARTITION BY site ORDER BY pct) AS b, rank() OVER (PARTITION BY site ORDER BY c) AS rc, rank() OVER (PARTITION BY site ORDER BY pct) AS rp FROM {PATHS}) GROUP BY 1, 2),
+        p AS (SELECT *, CASE WHEN abs(r) < 1 THEN {I.t_p("r * sqrt(n - 2) / sqrt(1 - r * r)", "n - 2")} ELSE 0 END AS trend_p FROM v),
+        f AS (SELECT *, list_filter([CASE WHEN sc > 0 THEN 'the sign changes at ' || sc || ' of ' || n || ' steps' END, CASE WHEN sz > 0 THEN 'the interval spans zero at ' || sz || ' of ' || n || ' steps' END,
+          CASE WHEN dr > 0.25 THEN 'the coefficient drifts by ' || CAST(round_even(100 * dr, 0) AS BIGINT) || '% of its first value' END,
+          CASE WHEN abs(r) >= 0.9 AND trend_p < 0.05 THEN 'the coefficient follows the share removed with a rank correlation of ' || CAST(round_even(100 * r, 0) AS BIGINT) || '%' END], lambda x: x IS NOT NULL) AS why FROM p)
+        SELECT site, trend_p, coalesce(array_to_string(why, '; '), '') AS reasons, len(why) = 0 AS stable FROM f""")
 QUERIES["stability_paths"] = query(
     lambda s, d: D.stability_paths(paths(s, d).withColumn("treatment", F.when(F.col("site") % 2 == 0, "weighted").otherwise("unweighted"))), "cov",
     "site i:dropped_wettest_pct *water_table_coef water_table_includes_zero treatment",

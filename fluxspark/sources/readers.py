@@ -179,17 +179,17 @@ def join_covariates(frames: Sequence[DataFrame], keys: Sequence[str] = ()) -> Da
 
 
 def verify_spot_checks(
-    covariates: DataFrame, expected=K.SPOT_CHECKS, tolerance: float = 1e-3, columns: Sequence[str] | None = None
+    covariates: DataFrame, expected=K.SPOT_CHECKS, tolerance: float = 1e-3, columns: Sequence[str] | None = None, keys: Sequence[str] = ()
 ) -> DataFrame:
-    """Known values beside the table's own: difference and whether it matches."""
-    spark = covariates.sparkSession
-    rows = [(c, f"{m}-01", float(v)) for c, checks in expected.items() for m, v in checks.items()]
-    known = spark.createDataFrame(rows, "column string, month string, expected double").withColumn(
-        "month", F.col("month").cast("date")
+    """Known values beside the table's own, for every key: difference and whether it matches."""
+    known = F.array(
+        *[F.struct(F.lit(c).alias("column"), F.lit(f"{m}-01").cast("date").alias("month"), F.lit(float(v)).alias("expected")) for c, checks in expected.items() for m, v in checks.items()]
     )
+    each = covariates.select(*keys).distinct() if keys else covariates.sparkSession.range(1)
+    asked = each.select(*keys, F.explode(known).alias("e")).select(*keys, "e.*")
     named = [c for c in (columns or expected) if c in covariates.columns]
-    actual = covariates.unpivot(["month"], named, "column", "actual")
+    actual = covariates.unpivot([*keys, "month"], named, "column", "actual")
     gap = F.abs(F.col("actual") - F.col("expected"))
-    return key_join(known, actual, ["column", "month"]).select(
-        "column", "month", "expected", "actual", gap.alias("abs_diff"), F.coalesce(gap < tolerance, F.lit(False)).alias("match")
+    return key_join(asked, actual, [*keys, "column", "month"]).select(
+        *keys, "column", "month", "expected", "actual", gap.alias("abs_diff"), F.coalesce(gap < tolerance, F.lit(False)).alias("match")
     )

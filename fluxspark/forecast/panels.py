@@ -85,6 +85,12 @@ def screening_panel(
     return key_join(every, best, [*keys, "driver", "horizon"]).select(*keys, "driver", "horizon", share.alias("share"))
 
 
+def with_calendar_share(panel: DataFrame, explained: DataFrame, keys: Keys = ()) -> DataFrame:
+    """The panel with what the calendar alone explains of each covariate (``covariate``, ``explained``); null beside the flux lags."""
+    shares = explained.select(*keys, F.col("covariate").alias("driver"), F.col("explained").alias("calendar_share"))
+    return key_join(panel, shares, [*keys, "driver"])
+
+
 def usage_order(panel: DataFrame, keys: Keys = ()) -> DataFrame:
     """Drivers by mean use over everything, most used first; per key where keys are given."""
     means = panel.groupBy(*keys, "driver").agg(F.avg("share").alias("mean_share"))

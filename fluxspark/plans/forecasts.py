@@ -14,11 +14,13 @@ from fluxspark.forecast import panels as P
 from fluxspark.forecast import rolling as L
 from fluxspark.forecast import scoring as S
 from fluxspark.operators import months as N
+from fluxspark.operators import stats as ST
 from fluxspark.operators.common import attach, checkpointed, key_join
 from fluxspark.operators.reshape import stack_labelled
 from fluxspark.plans import bindings as B
 from fluxspark.plans import densities as I
 from fluxspark.plans.bindings import KEYS, ON, query
+from fluxspark.plans.monthly import CALENDAR
 
 QUERIES = {}
 HORIZONS = ", ".join(f"({h})" for h in K.HORIZONS)
@@ -279,6 +281,10 @@ SPANEL = f"""(SELECT e.site, e.driver, e.horizon, CASE WHEN e.driver = 'flux, on
   LEFT JOIN (SELECT site, horizon, {DRV} AS driver, max(share) AS m FROM pf GROUP BY 1, 2, 3) b USING (site, horizon, driver))"""
 spanel = lambda s, d: P.screening_panel(predictors(s, d), B.COVARIATES, keys=KEYS)
 QUERIES["screening_panel"] = query(spanel, "series", "site driver i:horizon *share", f"{PF} SELECT * FROM {SPANEL}")
+QUERIES["screening_panel_calendar"] = query(
+    lambda s, d: P.with_calendar_share(spanel(s, d), ST.explained_by_calendar(B.covariates(s, d), B.COVARIATES, KEYS), KEYS), "series long_cov",
+    "site driver i:horizon *share *calendar_share",
+    f"{PF} SELECT p.site, p.driver, horizon, share, explained AS calendar_share FROM {SPANEL} p LEFT JOIN ({CALENDAR}) e ON e.site = p.site AND e.covariate = p.driver")
 QUERIES["usage_order"] = query(
     lambda s, d: P.usage_order(spanel(s, d)), "series", "driver *mean_share i:rank",
     f"{PF} SELECT driver, avg(share) AS mean_share, row_number() OVER (ORDER BY round(avg(share), 9) DESC, driver) AS rank FROM {SPANEL} GROUP BY driver")

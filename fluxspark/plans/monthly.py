@@ -566,10 +566,10 @@ def calendar_fit(source: str, group: str) -> str:
     return out
 
 
+CALENDAR = f"""SELECT site, covariate, count(*) AS n, CASE WHEN count(*) >= 12 THEN 1 - sum(e * e) / sum(v * v) END AS explained
+        FROM {calendar_fit("(SELECT site, month, covariate, value AS v FROM long_cov)", "site, covariate")} GROUP BY 1, 2"""
 QUERIES["explained_by_calendar"] = query(
-    lambda s, d: T.explained_by_calendar(B.covariates(s, d), COVARIATES, KEYS), "long_cov", "site covariate n *explained",
-    f"""SELECT site, covariate, count(*) AS n, CASE WHEN count(*) >= 12 THEN 1 - sum(e * e) / sum(v * v) END AS explained
-        FROM {calendar_fit("(SELECT site, month, covariate, value AS v FROM long_cov)", "site, covariate")} GROUP BY 1, 2""")
+    lambda s, d: T.explained_by_calendar(B.covariates(s, d), COVARIATES, KEYS), "long_cov", "site covariate n *explained", CALENDAR)
 LAGGED = " UNION ALL ".join(
     f"SELECT site, CAST(month + INTERVAL {k} MONTH AS DATE) AS month, '{c}_lag{k}' AS predictor, {c} AS v FROM cov WHERE {c} IS NOT NULL" for c, k in [("soil_temp_f", 1), ("wte_m", 1), ("wte_m", 2)])
 QUERIES["seasonal_redundancy"] = query(

@@ -97,34 +97,35 @@ def order_statistics(
     """Values at exact ranks, per key, without ever sorting a whole group in one task.
 
     Each target is (name, share of the group near the rank, rank as a function of the count). A sketch
-    brackets each rank. One pass counts, for all ranks together, the rows on either side of each bracket and their nearest values;
-    only rows inside a bracket are exploded, and fold into one row per distinct value before the shuffle's final step. Only these counts
+    brackets the rank. Rows outside the bracket fold into one counted row on either side, rows
+    inside it into one row per distinct value, all before the shuffle's final step. Only these counts
     are ordered, so a group or a single value may hold any share of the data.
     """
     rows = df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("__v"))
     slack = 3.0 / accuracy
     edges = [max(0.0, s - slack) for _, s, _ in targets] + [min(1.0, s + slack) for _, s, _ in targets]
-    sketch = rows.groupBy(*keys).agg(F.percentile_approx("__v", edges, accuracy).alias("__e"))
-    m, v = len(targets), F.col("__v")
-    below, above = (lambda i: v < F.col("__e")[i]), (lambda i: v > F.col("__e")[i + m])
-    inside = F.array_compact(F.array(*[F.when(~below(i) & ~above(i), F.struct(F.lit(i).alias("i"), v.alias("d"))) for i in range(m)]))
-    # Every row once for the sums (i = -1), and once more for each bracket that holds it.
-    once = F.array(F.struct(F.lit(-1).alias("i"), F.lit(None).cast("double").alias("d")))
-    spread = attach(rows, sketch, keys).select(*keys, "__v", "__e", F.explode(F.concat(once, inside)).alias("__t"))
-    first = F.col("__t.i") == -1
-    sums = [
-        F.struct(
-            F.count_if(first & below(i)).alias("lc"), F.max(F.when(first & below(i), v)).alias("lx"),
-            F.count_if(first & above(i)).alias("hc"), F.min(F.when(first & above(i), v)).alias("hx"),
+    sketch = rows.groupBy(*keys).agg(
+        F.percentile_approx("__v", edges, accuracy).alias("__e"), F.count("*").alias("__n")
+    )
+    m = len(targets)
+    side = lambda i: (
+        F.when(F.col("__v") < F.col("__e")[i], -1).when(F.col("__v") > F.col("__e")[i + m], 1).otherwise(0)
+    )
+    spread = attach(rows, sketch, keys).select(
+        *keys,
+        "__v",
+        "__n",
+        F.explode(F.array(*[F.struct(F.lit(i).alias("i"), side(i).alias("s")) for i in range(m)])).alias("__t"),
+    )
+    inside = F.when(F.col("__t.s") == 0, F.col("__v"))
+    folded = (
+        spread.groupBy(*keys, F.col("__t.i").alias("__i"), F.col("__t.s").alias("__s"), inside.alias("__d"))
+        .agg(
+            F.count("*").alias("__c"),
+            F.max("__n").alias("__n"),
+            F.when(F.first("__t.s") < 0, F.max("__v")).otherwise(F.min("__v")).alias("__x"),
         )
-        for i in range(m)
-    ]
-    summed = spread.groupBy(*keys, F.col("__t.i").alias("__i"), F.col("__t.d").alias("__d")).agg(F.count("*").alias("__c"), F.array(*sums).alias("__sums"))
-    item = lambda i, s, c, x: F.struct(i.alias("i"), F.lit(s).alias("s"), c.alias("c"), x.alias("x"))
-    sides = [F.when(p["c"] > 0, p) for i in range(m) for t in [F.col("__sums")[i]] for p in (item(F.lit(i), -1, t["lc"], t["lx"]), item(F.lit(i), 1, t["hc"], t["hx"]))]
-    each = F.when(F.col("__i") == -1, F.array_compact(F.array(*sides))).otherwise(F.array(item(F.col("__i"), 0, F.col("__c"), F.col("__d"))))
-    folded = summed.select(*keys, F.explode(each).alias("__r")).select(*keys, *[F.col(f"__r.{c}").alias(f"__{c}") for c in "iscx"])
-    folded = folded.withColumn("__n", F.sum("__c").over(Window.partitionBy(*keys, "__i")))
+    )
     w = Window.partitionBy(*keys, "__i").orderBy("__s", "__x").rowsBetween(Window.unboundedPreceding, 0)
     ranked = folded.withColumn("__through", F.sum("__c").over(w)).withColumn(
         "__before", F.col("__through") - F.col("__c")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fluxspark.functions import columns as C
-from fluxspark.operators.common import Keys, attach, key_join
+from fluxspark.operators.common import Keys, attach, by, key_join
 from fluxspark.operators.months import month_islands
 
 
@@ -210,20 +210,24 @@ def support_classes(
     removed: Sequence[str] = (),
     keys: Keys = (),
 ) -> DataFrame:
-    """Each grid month as within, above or below the fitted range, missing, or removed."""
+    """Each grid month as within, above or below the fitted range, missing, or removed.
+
+    The range is taken from the very rows it is compared with, since means that are computed again may differ in their last digits.
+    """
     from fluxspark.operators.reshape import regrid
 
     on = [*keys, "month"]
     gone = F.col("month").isin(*[F.lit(m).cast("date") for m in removed]) if removed else F.lit(False)
-    used = key_join(series.filter(~gone), fit.select(*on).distinct(), on, "left_semi")
-    bounds = used.groupBy(*keys).agg(F.min(column).alias("fit_min"), F.max(column).alias("fit_max"))
-    grid = attach(regrid(series.select(*on, column), keys), bounds, keys)
+    marks = fit.select(*on).distinct().withColumn("__fit", F.lit(True))
+    grid = key_join(regrid(series.select(*on, column), keys), marks, on)
+    used = F.when(F.col("__fit") & ~gone, F.col(column))
+    bounded = grid.withColumns({"fit_min": F.min(used).over(by(*keys)), "fit_max": F.max(used).over(by(*keys))}).drop("__fit")
     status = (
         F.when(gone, "removed")
         .when(F.col(column).isNull(), "missing")
         .otherwise(F.coalesce(C.out_of_range(column, "fit_min", "fit_max"), F.lit("within")))
     )
-    return grid.withColumn("support", status)
+    return bounded.withColumn("support", status)
 
 
 def holdout_covariate_contrast(

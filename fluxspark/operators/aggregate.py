@@ -300,19 +300,35 @@ def series_agreement(
 def seasonal_bias_of_rule(
     rule: DataFrame, balanced: DataFrame, rule_value: str, balanced_value: str, keys: Keys = ()
 ) -> DataFrame:
-    """Bias of one monthly rule against another, and how its seasonal swing compares with the series."""
+    """Bias of one monthly rule against another, and how its seasonal swing compares with the series.
+
+    Months of the year whose biases differ by less than a 1e-10th of the largest monthly mean tie, since the sums behind them agree no
+    further; the earliest of those that tie is the lowest or highest one.
+    """
     on = [*keys, "month"]
     both = rule.select(*on, F.col(rule_value).alias("__a")).join(
         balanced.select(*on, F.col(balanced_value).alias("__b")), on
     ).withColumn("__d", F.col("__a") - F.col("__b"))
     total = both.groupBy(*keys).agg(F.avg("__d").alias("mean_bias"), F.max(F.abs("__d")).alias("max_abs_bias"))
-    moy = both.groupBy(*keys, F.month("month").alias("__moy")).agg(F.avg("__d").alias("__db"), F.avg("__a").alias("__s"))
+    largest = F.max(F.nanvl(F.greatest(F.abs("__a"), F.abs("__b")), F.lit(0.0)))
+    moy = both.groupBy(*keys, F.month("month").alias("__moy")).agg(
+        F.avg("__d").alias("__db"), F.avg("__a").alias("__s"), largest.alias("__l")
+    )
     swing = moy.groupBy(*keys).agg(
-        (F.max("__db") - F.min("__db")).alias("bias_swing"),
-        F.min_by("__moy", F.struct("__db", "__moy")).alias("lowest_month"),
-        F.max_by("__moy", F.struct("__db", "__moy")).alias("highest_month"),
+        F.min("__db").alias("__lo"),
+        F.max("__db").alias("__hi"),
+        (F.max("__l") * 1e-10).alias("__tie"),
+        F.collect_list(F.struct("__db", "__moy")).alias("__months"),
         (F.max("__s") - F.min("__s")).alias("series_amplitude"),
     )
+    earliest = lambda near: F.array_min(F.transform(F.filter("__months", lambda m: near(m["__db"])), lambda m: m["__moy"]))
+    swing = swing.select(
+        *keys,
+        (F.col("__hi") - F.col("__lo")).alias("bias_swing"),
+        earliest(lambda x: x <= F.col("__lo") + F.col("__tie")).alias("lowest_month"),
+        earliest(lambda x: x >= F.col("__hi") - F.col("__tie")).alias("highest_month"),
+        "series_amplitude",
+    )
     return attach(total, swing, keys).withColumn(
         "swing_pct_of_amplitude", F.try_divide(100 * F.col("bias_swing"), F.col("series_amplitude"))
     )

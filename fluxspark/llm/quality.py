@@ -128,10 +128,25 @@ def positions(places: np.ndarray, distinct: int) -> np.ndarray:
     return out
 
 
+def climbs(places: np.ndarray, lens: np.ndarray) -> np.ndarray:
+    """Places that ascend in each text, as steps from one to the next; a text's first one as it is."""
+    first = np.cumsum(lens) - lens
+    steps = np.diff(places, prepend=np.uint32(0))
+    steps[first] = places[first]
+    return steps
+
+
+def climbed(steps: np.ndarray, lens: np.ndarray) -> np.ndarray:
+    """The places of climbs."""
+    first, total = np.cumsum(lens) - lens, np.cumsum(steps, dtype=np.int64)
+    return total - np.repeat(total[first] - steps[first], lens)
+
+
 def gram_blocks(docs: DataFrame, ranges: int) -> DataFrame:
     """The n-grams of texts (columns text, digest, trusted), packed in blocks of texts: a row per block and range of hashes.
 
-    keys, places, own: hashes in the range (see by_rank) and counts in a text. docs, lens, grams, trusted: the block's texts that have
+    keys, places, own: hashes in the range (see by_rank, each as the step from the one before), their places in the order of (text, place)
+    (see climbs) and counts in a text. docs, lens, grams, trusted: the block's texts that have
     some, with how many, all n-grams, and the mark. One row of each block has the digests and n-grams of all its texts.
     """
 
@@ -148,7 +163,10 @@ def gram_blocks(docs: DataFrame, ranges: int) -> DataFrame:
             if cut.start == cut.stop and not whole:
                 continue
             d, n = np.unique(doc[cut], return_counts=True)
-            packs = [packed_numbers(x) for x in (*by_rank(keys[cut]), own[cut], d, n.astype("<u4"), grams[d], marks[d])]
+            distinct, places = by_rank(keys[cut])
+            climb = np.lexsort((places, doc[cut]))  # keys that are not repeated keep their order
+            steps = np.diff(distinct, prepend=np.uint32(0)), climbs(places[climb], n)
+            packs = [packed_numbers(x) for x in (*steps, own[cut][climb], d, n.astype("<u4"), grams[d], marks[d])]
             packs += [b"".join(x[4] for x in held), packed_numbers(grams)] if whole else [None, None]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([r], pa.int32()), pa.array([block], pa.int64()), *[pa.array([x], pa.binary()) for x in packs]], names=["range", "block", *BLOCK]
@@ -187,6 +205,7 @@ def text_ratios(docs: DataFrame) -> DataFrame | None:
 
     def add_range(rows: pa.Table) -> pa.Table:
         keys, places, own, docs, lens, n, marks = (numbers(rows[c]) for c in BLOCK[:7])
+        keys, places = [np.cumsum(k, dtype=np.uint32) for k in keys], list(map(climbed, places, lens))
         starts = np.cumsum([0, *map(len, keys)])
         _, same = np.unique(np.concatenate(keys), return_inverse=True)
         gram = np.concatenate([same[k + positions(p, len(x))] for k, p, x in zip(starts, places, keys, strict=False)])

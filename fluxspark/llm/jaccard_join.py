@@ -24,8 +24,8 @@ WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 32, 5
 #: A pair is dropped when its chance of reaching the similarity is under this; checked after every STEP values.
 TOLERANCE, STEP = 1e-7, 20
-#: Documents that meet in one task: two blocks of this many, on average.
-BLOCK = 256
+#: Documents that meet in one task: two blocks of this many, on average. Pairs compared at once.
+BLOCK, PAIRS = 256, 1 << 17
 HASHES = BANDS * ROWS
 _WORD = re.compile(r"[^ \t-\r]+")
 _K, _M = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -92,9 +92,21 @@ def least_matches(similarity: float, tolerance: float) -> np.ndarray:
     return out
 
 
-def prune(sig: np.ndarray, n: np.ndarray, similarity: float = SIMILARITY, tolerance: float = TOLERANCE) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (i < j) that are left after every step. Sizes too unequal for the similarity go first."""
-    i, j = np.triu_indices(len(n), 1)
+def inner_pairs(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (i < j) of rows in the same one of consecutive groups of these sizes."""
+    starts, pairs = np.cumsum(sizes) - sizes, [np.empty((2, 0), dtype=np.int64)]
+    for m in np.unique(sizes):
+        first = starts[sizes == m][:, None]
+        pairs.append(np.stack([(first + x).ravel() for x in np.triu_indices(m, 1)]))
+    i, j = np.concatenate(pairs, axis=1)
+    return i, j
+
+
+def prune(
+    sig: np.ndarray, n: np.ndarray, similarity: float = SIMILARITY, tolerance: float = TOLERANCE, sizes: np.ndarray | None = None
+) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (i < j) that are left after every step: of all rows, or inside consecutive groups of these sizes. Sizes too unequal for the similarity go first."""
+    i, j = inner_pairs(np.array([len(n)]) if sizes is None else sizes)
     fits = np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j]) - 1e-9
     i, j = i[fits], j[fits]
     need, matches = least_matches(similarity, tolerance), np.zeros(len(i), dtype=np.int64)
@@ -160,20 +172,41 @@ def candidate_links(classes: DataFrame) -> DataFrame:
     )
     units = alone.unionByName(met).join(classes.select("cid", "n", "sig"), "cid")
 
-    def survivors(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.drop_duplicates("cid").sort_values("cid", ignore_index=True)
-        sig = np.frombuffer(b"".join(group["sig"]), dtype=np.uint32).reshape(len(group), HASHES)
-        i, j = prune(sig, group["n"].to_numpy())
-        up, side = roots(len(group), i, j), group["side"].to_numpy()
-        linked = up != np.arange(len(up))
-        if side.any():  # links inside a block come from its own unit
-            same = side[i] == side[j]
-            linked &= roots(len(group), i[same], j[same]) == np.arange(len(up))
-        linked = np.flatnonzero(linked)
-        cid = group["cid"].to_numpy()
-        return pd.DataFrame({"a": cid[linked], "b": cid[up[linked]]})
-
-    return units.groupBy("unit").applyInPandas(survivors, "a bigint, b bigint")
+    def survivors(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.drop_duplicates(["unit", "cid"]).sort_values(["unit", "cid"], ignore_index=True)
+        _, sizes = np.unique(rows["unit"].to_numpy(), return_counts=True)
+        n, cid, side = (rows[c].to_numpy() for c in ("n", "cid", "side"))
+        sig = np.frombuffer(b"".join(rows["sig"]), dtype=np.uint32).reshape(len(rows), HASHES)
+        # Units meet in runs of about PAIRS pairs; a larger unit is a run of its own.
+        run, ends, links = np.cumsum(sizes * (sizes - 1) // 2) // PAIRS, np.cumsum(sizes), []
+        for r in np.unique(run):
+            own = sizes[run == r]
+            cut = slice(ends[run == r][0] - own[0], ends[run == r][-1])
+            i, j = prune(sig[cut], n[cut], sizes=own)
+            every = np.arange(own.sum())
+            up, half = roots(len(every), i, j), side[cut]
+            linked = up != every
+            same = half[i] == half[j]
+            two = np.repeat(np.maximum.reduceat(half, np.cumsum(own) - own), own) > 0
+            linked &= ~two | (roots(len(every), i[same], j[same]) == every)  # links inside a block come from its own unit
+            links.append(np.stack([cid[cut][linked], cid[cut][up[linked]]]))
+        a, b = np.concatenate(links, axis=1)
+        return pd.DataFrame({"a": a, "b": b})
+
+    def by_unit(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest: list[pd.DataFrame] = []
+        for frame in frames:
+            if len(frame):
+                rows = pd.concat([*rest, frame], ignore_index=True)
+                open_ = rows["unit"] == rows["unit"].iloc[-1]
+                if not open_.all():
+                    yield survivors(rows[~open_])
+                rest = [rows[open_]]
+        if rest:
+            yield survivors(rest[0])
+
+    # Most units are pairs: many go through Python at once, in place of a call each.
+    return units.repartition("unit").sortWithinPartitions("unit").mapInPandas(by_unit, "a bigint, b bigint")
 
 
 def intersections(sets: list[np.ndarray]) -> np.ndarray:
@@ -245,7 +278,7 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """Per row of ``docs`` (uid, doc_id, text): uid, doc_id, class_id, n_links, n_copies, kept.
+    """Per row of ``docs`` (uid, doc_id, text): uid, doc_id, class_id, n_links, n_copies, kept, tkey (MD5 of the text).
 
     Two documents are linked if the Jaccard similarity of their sets of five-word shingles is at least ``similarity``; n_links
     counts the documents linked to this one. class_id is the least doc_id of those it is linked to, directly or not.
@@ -272,9 +305,9 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     named = named.join(links, named["cid"] == links["__cid"], "left").join(groups.withColumnRenamed("node", "__node"), F.col("cid") == F.col("__node"), "left")
     named = named.select("key", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("label", "cid").alias("group"))
     # A row without words is a group of its own, under a number that no class has.
-    placed = rows.select("uid", "doc_id", "key").join(named, "key", "left").withColumn("group", F.coalesce("group", -1 - F.col("uid")))
+    placed = rows.select("uid", "doc_id", "tkey", "key").join(named, "key", "left").withColumn("group", F.coalesce("group", -1 - F.col("uid")))
     firsts = placed.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "uid")).alias("first"))
     return placed.join(firsts, "group").select(
         "uid", "doc_id", F.col("first.doc_id").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.coalesce("copies", F.lit(1)) - 1).alias("n_links"),
-        F.coalesce("copies", F.lit(1)).alias("n_copies"), (F.col("uid") == F.col("first.uid")).alias("kept"),
+        F.coalesce("copies", F.lit(1)).alias("n_copies"), (F.col("uid") == F.col("first.uid")).alias("kept"), "tkey",
     )

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fluxspark.llm import bpe, jaccard_join, mixing, pii, quality
-from fluxspark.llm.shared import numbered, written
+from fluxspark.llm.shared import content_key, told_apart, written
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,9 +25,10 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: the least doc_id."""
-    rows = numbered(docs.select(F.struct("*").alias("row")), "pipeline-rows", "uid")
-    found = jaccard_join.near_duplicates(rows.select("uid", "row.doc_id", "row.text"))
-    return rows.join(found.filter("kept").select("uid"), "uid").select("row.*")
+    found = jaccard_join.near_duplicates(docs.select(F.monotonically_increasing_id().alias("uid"), "doc_id", "text"))
+    kept = found.filter("kept").groupBy(content_key(F.col("doc_id"), F.col("tkey")).alias("key")).agg(F.count("*").alias("n"))
+    keyed = docs.withColumn("__tkey", F.md5("text"))
+    return told_apart(keyed, "doc_id", "__tkey").join(kept, "key").filter("copy <= n").select("row.*").drop("__tkey")
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from fluxspark.llm.shared import attach, key_join, numbered, running_total, word_count
+from fluxspark.llm.shared import attach, content_key, key_join, numbered, running_total, told_apart, word_count
 
 #: Rows of one bucket of a source's shuffled order, and of a range of finish times until these are RANGES.
 BUCKET_ROWS, RANGES = 2_000, 65_536
@@ -123,8 +123,12 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
 
     A copy that the cut leaves less than half of is left out, one with at least half is kept whole.
     """
-    kept = numbered(docs.select(F.struct("*").alias("row")), "mix-rows", "uid")
-    rows = kept.select("uid", "row.doc_id", "row.source", word_count(F.col("row.text")).alias("size"))
-    taken, timed = mix(rows, **options)
-    whole = taken.join(timed.select("uid", "size"), "uid").filter("2 * words >= size").select("uid", "finish")
-    return kept.join(whole, "uid").repartitionByRange("finish", "uid").sortWithinPartitions("finish", "uid").select("row.*")
+    same = ["doc_id", "source", "text"]
+    sizes = docs.select(content_key(*map(F.col, same)).alias("key"), "doc_id", "source", word_count(F.col("text")).alias("size"))
+    rows = numbered(sizes, "mix-sizes", "uid")
+    taken, timed = mix(rows.select("uid", "doc_id", "source", "size"), **options)
+    whole = taken.join(rows.select("uid", "key", "size"), "uid").filter("2 * words >= size")
+    # Documents of one key are the same to the mix: the n-th of them takes the times of the n-th such row.
+    times = whole.groupBy("key", "uid").agg(F.collect_list("finish").alias("finish")).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("uid", "finish"))).alias("times"))
+    served = told_apart(docs, *same).join(times, "key").select("row", F.get("times", F.col("copy") - 1).alias("t")).select("row", "t.uid", F.explode("t.finish").alias("finish"))
+    return served.repartitionByRange("finish", "uid").sortWithinPartitions("finish", "uid").select("row.*")

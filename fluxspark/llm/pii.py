@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fluxspark.llm.shared import numbered, written
+from fluxspark.llm.shared import content_key, written
 
 KINDS = ("email", "ip", "card", "phone")
 # A match can begin where the one before ended, or where no character of its first class precedes. The runs are
@@ -183,8 +183,11 @@ def redacted(text: Column, spans: Column) -> Column:
 
 def redact(docs: DataFrame) -> DataFrame:
     """The documents, columns as they were, with personal data replaced in text (n_chars follows where there is such a column)."""
-    kept = numbered(docs.select(F.struct("*").alias("row")), "pii-rows", "uid")
-    found = find_spans(kept.select("uid", "row.doc_id", "row.text")).select("uid", "spans")
-    clean = kept.join(found, "uid").select("row.*", redacted(F.col("row.text"), F.col("spans")).alias("__clean"))
+    # Equal texts have equal spans, so spans return by the text; a text without any needs none.
+    key = lambda text: content_key(text, F.when(text.isNull(), F.col("doc_id")))
+    scanned = find_spans(docs.select(F.monotonically_increasing_id().alias("uid"), key(F.col("text")).alias("doc_id"), "text"))
+    found = scanned.filter(F.size("spans") > 0).groupBy(F.col("doc_id").alias("key")).agg(F.first("spans").alias("spans"))
+    keyed = docs.select(F.struct("*").alias("row"), key(F.col("text")).alias("key"))
+    clean = keyed.join(found, "key", "left").select("row.*", redacted(F.col("row.text"), F.col("spans")).alias("__clean"))
     new = {"text": F.col("__clean"), "n_chars": F.length("__clean").cast("bigint")}
     return clean.select(*[new[c].alias(c) if c in new else F.col(f"`{c}`") for c in docs.columns])

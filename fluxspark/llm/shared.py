@@ -42,6 +42,20 @@ def numbered(df: DataFrame, name: str, uid: str = "__uid") -> DataFrame:
     return written(df.withColumn(uid, F.monotonically_increasing_id()), name)
 
 
+def content_key(*columns: Column) -> Column:
+    """One key of these columns, never null; nulls are values of their own."""
+    return F.md5(F.to_json(F.struct(*[c.alias(f"c{i}") for i, c in enumerate(columns)])))
+
+
+def told_apart(docs: DataFrame, *names: str) -> DataFrame:
+    """key, row, copy: each document as a struct under the content_key of the named columns, and its number (from 1) among those of one key.
+
+    The documents are read again where they are used, and no copy of them is written; so they should come from a table.
+    """
+    keyed = docs.select(F.struct("*").alias("row")).select(content_key(*[F.col(f"row.{n}") for n in names]).alias("key"), "row")
+    return keyed.withColumn("copy", F.row_number().over(Window.partitionBy("key").orderBy("key")))
+
+
 def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("bigint")
 
@@ -79,4 +93,4 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
             return labels
 
 
-__all__ = ["WORD", "attach", "components", "key_join", "numbered", "running_total", "shared_dir", "word_count", "written"]
+__all__ = ["WORD", "attach", "components", "content_key", "key_join", "numbered", "running_total", "shared_dir", "told_apart", "word_count", "written"]

@@ -207,15 +207,21 @@ class Tokenizer:
             self.old_chunks, self.chunks = self.chunks, {}
         return out
 
-    def encode(self, texts: Iterable[str | None]) -> Iterator[bytes]:
+    def slices(self, texts: Iterable[str | None]) -> Iterator[list[bytes]]:
+        """Ids of all texts, as many at a time as fill a slice."""
         held, chars = [], 0
         for text in texts:
             held.append(text or "")
             chars += len(held[-1])
             if chars >= SLICE_CHARS:
-                yield from self.encode_slice(held)
+                yield self.encode_slice(held)
                 held, chars = [], 0
-        yield from self.encode_slice(held)
+        if held:
+            yield self.encode_slice(held)
+
+    def encode(self, texts: Iterable[str | None]) -> Iterator[bytes]:
+        for ids in self.slices(texts):
+            yield from ids
 
     def decode(self, ids: Iterable[int]) -> str:
         """Tokens joined by spaces, as the library does for a file that names no decoder."""
@@ -232,20 +238,23 @@ def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids", back:
 
     Ids are array<int>, or little-endian unsigned 32-bit integers in a binary column if ``packed``. Columns of these names are
     replaced; rows and other columns stay as they are. Equal texts get equal ids, an empty table stays
-    empty. No shuffle; a worker holds one Arrow batch, a slice of it and bounded memories.
+    empty. No shuffle; a worker holds one Arrow batch, a slice of it with its ids and decoded texts, and bounded memories.
     """
 
+    def columns(bpe: Tokenizer, raw: list[bytes]) -> pa.StructArray:
+        if packed:
+            coded: pa.Array = pa.array(raw, pa.binary())
+        else:
+            ends = np.cumsum([0, *map(len, raw)]) // 4
+            coded = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(raw), dtype="<i4")))
+        decoded = pa.array([bpe.decode(np.frombuffer(r, "<u4").tolist()) for r in raw] if back else [None] * len(raw), pa.string())
+        return pa.StructArray.from_arrays([coded, decoded], ["ids", "back"])
+
     def ids_of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         bpe = tokenizer(path)
         for batch in batches:
-            raw = list(bpe.encode(x.as_py() for x in batch))
-            if packed:
-                coded: pa.Array = pa.array(raw, pa.binary())
-            else:
-                ends = np.cumsum([0, *map(len, raw)]) // 4
-                coded = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(raw), dtype="<i4")))
-            decoded = pa.array([bpe.decode(np.frombuffer(r, "<u4").tolist()) for r in raw] if back else [None] * len(raw), pa.string())
-            yield pa.StructArray.from_arrays([coded, decoded], ["ids", "back"])
+            for raw in bpe.slices(x.as_py() for x in batch):
+                yield columns(bpe, raw)
 
     udf = F.arrow_udf(ids_of, f"struct<ids:{'binary' if packed else 'array<int>'},back:string>")
     new = {ids: "ids"} | ({back: "back"} if back else {})

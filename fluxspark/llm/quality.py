@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 BITS = 22
 #: Ranges at least.
 LEAST_RANGES = 64
+#: Shares in which a block's n-grams are put in order, one at a time.
+PASSES = 8
 #: Added to each n-gram's count in both multinomials.
 SMOOTHING = 3.0
 #: Mean log-likelihood ratio in nats per n-gram under which a document goes.
@@ -101,13 +103,15 @@ def packed_numbers(x: np.ndarray) -> bytes:
     return len(x).to_bytes(4, "little") + pa.compress(x.view(np.uint8).reshape(-1, 4).T.tobytes(), "zstd", asbytes=True)
 
 
+def unpacked(pack: bytes, kind: str = "<u4") -> np.ndarray:
+    """The array of packed_numbers."""
+    n = int.from_bytes(pack[:4], "little")
+    return np.frombuffer(pa.decompress(pack[4:], 4 * n, "zstd"), np.uint8).reshape(4, n).T.copy().view(kind).ravel()
+
+
 def numbers(packs: pa.ChunkedArray, kind: str = "<u4") -> list[np.ndarray]:
-    """The arrays of packed_numbers."""
-    out = []
-    for p in packs.to_pylist():
-        n = int.from_bytes(p[:4], "little")
-        out.append(np.frombuffer(pa.decompress(p[4:], 4 * n, "zstd"), np.uint8).reshape(4, n).T.copy().view(kind).ravel())
-    return out
+    """The arrays of many packed_numbers."""
+    return [unpacked(p, kind) for p in packs.to_pylist()]
 
 
 def by_rank(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -150,41 +154,47 @@ def gram_blocks(docs: DataFrame, ranges: int) -> DataFrame:
     some, with how many, all n-grams, and the mark. One row of each block has the digests and n-grams of all its texts.
     """
 
-    def packed(held: list, block: int) -> Iterator[pa.RecordBatch]:
-        found, own = np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held]).astype("<u4")
-        grams, marks = np.array([x[2] for x in held], "<u4"), np.array([x[3] for x in held], "<u4")
-        doc = np.repeat(np.arange(len(held), dtype="<u4"), [len(x[0]) for x in held])
-        at = ((found & np.uint64(0xFFFFFFFF)) * np.uint64(ranges) >> np.uint64(32)).astype(np.uint16 if ranges <= 1 << 16 else np.uint32)
-        order = np.argsort(at, kind="stable")
-        keys, own, doc, ends = (found >> np.uint64(32)).astype("<u4")[order], own[order], doc[order], np.bincount(at, minlength=ranges).cumsum()
-        first = 0
-        for r in range(ranges):
-            cut, first, whole = slice(first, ends[r]), ends[r], r == block % ranges
-            if cut.start == cut.stop and not whole:
-                continue
-            d, n = np.unique(doc[cut], return_counts=True)
-            distinct, places = by_rank(keys[cut])
-            climb = np.lexsort((places, doc[cut]))  # keys that are not repeated keep their order
-            steps = np.diff(distinct, prepend=np.uint32(0)), climbs(places[climb], n)
-            packs = [packed_numbers(x) for x in (*steps, own[cut][climb], d, n.astype("<u4"), grams[d], marks[d])]
-            packs += [b"".join(x[4] for x in held), packed_numbers(grams)] if whole else [None, None]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([r], pa.int32()), pa.array([block], pa.int64()), *[pa.array([x], pa.binary()) for x in packs]], names=["range", "block", *BLOCK]
-            )
+    kind = np.uint16 if ranges <= 1 << 16 else np.uint32
+    step = -(-ranges // PASSES)
+
+    def packed(held: list[bytearray], heads: list, block: int) -> Iterator[pa.RecordBatch]:
+        keys, own, at = (np.frombuffer(x, t) for x, t in zip(held, ("<u4", "<u4", kind), strict=True))
+        lens, grams, marks = (np.array([x[i] for x in heads], "<u4") for i in range(3))
+        doc = np.repeat(np.arange(len(heads), dtype="<u4"), lens)
+        for low in range(0, ranges, step):  # a pass orders its ranges' share of the block, so the order of all is never held
+            share = np.flatnonzero((at >= low) & (at < low + step))
+            share = share[np.argsort(at[share], kind="stable")]
+            ends, first = np.bincount(at[share] - kind(low), minlength=step).cumsum(), 0
+            for r in range(low, min(low + step, ranges)):
+                cut, first, whole = share[first : ends[r - low]], ends[r - low], r == block % ranges
+                if not len(cut) and not whole:
+                    continue
+                d, n = np.unique(doc[cut], return_counts=True)
+                distinct, places = by_rank(keys[cut])
+                climb = np.lexsort((places, doc[cut]))  # keys that are not repeated keep their order
+                steps = np.diff(distinct, prepend=np.uint32(0)), climbs(places[climb], n)
+                packs = [packed_numbers(x) for x in (*steps, own[cut][climb], d, n.astype("<u4"), grams[d], marks[d])]
+                packs += [b"".join(x[3] for x in heads), packed_numbers(grams)] if whole else [None, None]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([r], pa.int32()), pa.array([block], pa.int64()), *[pa.array([x], pa.binary()) for x in packs]], names=["range", "block", *BLOCK]
+                )
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, held, size, block = _Hashes(), [], 0, TaskContext.get().partitionId() << 32
+        hashes, held, heads, size, block = _Hashes(), [bytearray() for _ in range(3)], [], 0, TaskContext.get().partitionId() << 32
         for batch in batches:
             for text, digest, trusted in zip(batch["text"], batch["digest"], batch["trusted"], strict=True):
                 if words := _WORD.findall(text.as_py() or ""):
                     found, own = np.unique(gram_hashes(words, hashes), return_counts=True)
-                    held.append((found, own, 2 * len(words) - 1, trusted.as_py(), digest.as_py()))
+                    at = (found & np.uint64(0xFFFFFFFF)) * np.uint64(ranges) >> np.uint64(32)
+                    for whole, x in zip(held, ((found >> np.uint64(32)).astype("<u4"), own.astype("<u4"), at.astype(kind)), strict=True):
+                        whole += x.tobytes()
+                    heads.append((len(found), 2 * len(words) - 1, trusted.as_py(), digest.as_py()))
                     size += len(found)
                     if size >> BITS:
-                        yield from packed(held, block)
-                        held, size, block = [], 0, block + 1
-        if held:
-            yield from packed(held, block)
+                        yield from packed(held, heads, block)
+                        held, heads, size, block = [bytearray() for _ in range(3)], [], 0, block + 1
+        if heads:
+            yield from packed(held, heads, block)
 
     return docs.select("text", "digest", "trusted").mapInArrow(count, "range int, block bigint, " + ", ".join(f"{c} binary" for c in BLOCK))
 
@@ -192,6 +202,35 @@ def gram_blocks(docs: DataFrame, ranges: int) -> DataFrame:
 BLOCK = ["keys", "places", "own", "docs", "lens", "grams", "trusted", "digests", "totals"]
 
 
+def range_parts(rows: pa.Table, raw: float, trusted: float) -> pa.Table:
+    """One range of hashes (rows of gram_blocks): the sums of log ratios of each block's texts over it.
+
+    raw, trusted: n-grams of all texts and of trusted ones. Counts are summed over all blocks; the rest goes block by block.
+    """
+    keys = [np.cumsum(k, dtype=np.uint32) for k in numbers(rows["keys"])]
+    sizes, keys = list(map(len, keys)), np.concatenate(keys)
+    distinct, same = np.unique(keys, return_inverse=True)
+    all_own, good, same = np.zeros(len(distinct)), np.zeros(len(distinct)), same.astype(np.uint32)
+    del keys, distinct
+    starts, grams, parts = np.cumsum([0, *sizes]), [], []
+
+    def block(i: int, *names: str) -> list[np.ndarray]:
+        return [unpacked(rows[c][i].as_py()) for c in names]
+
+    for i, (start, size) in enumerate(zip(starts, sizes, strict=False)):
+        places, own, lens, marks = block(i, "places", "own", "lens", "trusted")
+        gram = same[start + positions(climbed(places, lens), size)]
+        np.add.at(all_own, gram.astype(np.int64), own.astype(float))
+        np.add.at(good, gram.astype(np.int64), own * np.repeat(marks, lens).astype(float))
+        grams.append(gram)
+    for i, gram in enumerate(grams):
+        own, lens, n = block(i, "own", "lens", "grams")
+        logs = log_ratios(good[gram], all_own[gram], own.astype(float), trusted, np.repeat(np.maximum(raw - n, 1.0), lens))
+        parts.append(packed_numbers(np.bincount(np.repeat(np.arange(len(lens)), lens), own * logs, len(lens)).astype("<f4")))
+    columns = [rows["block"], rows["docs"], pa.array(parts, pa.binary()), rows["digests"], rows["totals"]]
+    return pa.table(columns, names=["block", "docs", "parts", "digests", "totals"])
+
+
 def text_ratios(docs: DataFrame) -> DataFrame | None:
     """digest, ratio of every text with words (columns text, digest, trusted); none if no trusted text has words.
 
@@ -204,18 +243,7 @@ def text_ratios(docs: DataFrame) -> DataFrame | None:
         return None
 
     def add_range(rows: pa.Table) -> pa.Table:
-        keys, places, own, docs, lens, n, marks = (numbers(rows[c]) for c in BLOCK[:7])
-        keys, places = [np.cumsum(k, dtype=np.uint32) for k in keys], list(map(climbed, places, lens))
-        starts = np.cumsum([0, *map(len, keys)])
-        _, same = np.unique(np.concatenate(keys), return_inverse=True)
-        gram = np.concatenate([same[k + positions(p, len(x))] for k, p, x in zip(starts, places, keys, strict=False)])
-        own, lens, n, marks = map(np.concatenate, (own, lens, n, marks))
-        text = np.repeat(np.arange(len(lens)), lens)
-        all_own, good = np.bincount(gram, own), np.bincount(gram, own * marks[text])
-        logs = log_ratios(good[gram], all_own[gram], own.astype(float), trusted, np.maximum(raw - n, 1.0)[text])
-        parts = np.split(np.bincount(text, own * logs, len(lens)).astype("<f4"), np.cumsum([*map(len, docs)])[:-1])
-        packs = pa.array([packed_numbers(x) for x in parts], pa.binary())
-        return pa.table([rows["block"], rows["docs"], packs, rows["digests"], rows["totals"]], names=["block", "docs", "parts", "digests", "totals"])
+        return range_parts(rows, raw, trusted)
 
     def add_block(rows: pa.Table) -> pa.Table:
         whole = rows.filter(pc.is_valid(rows["digests"]))
